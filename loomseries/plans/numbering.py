@@ -10,15 +10,28 @@ per ``(key, bucket)``. The only window over a whole key is over that table.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import saved
+
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
 
 
+def time_then_id(ts: str, ident: str) -> Column:
+    """One number that orders rows by time and then id.
+
+    Unlike a struct it can be updated in place, so min_by / max_by over it stay
+    hash aggregates with partial results on the map side.
+    """
+    micros = F.unix_micros(F.col(ts).cast("timestamp")).cast("decimal(17,0)")
+    return (micros * F.lit(Decimal(10**19)) + F.col(ident).cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def bucket_of(df: DataFrame, order: str, grain: int) -> Column:
     """Bucket number: whole grains in the microseconds of a timestamp, or in a whole number itself."""
     micros = isinstance(df.schema[order].dataType, (T.TimestampType, T.TimestampNTZType))
@@ -42,3 +55,20 @@ def number_rows(
         .withColumn(name, (F.col("_pos") + F.col("_skip")).cast("long"))
         .drop("_bucket", "_pos", "_skip")
     )
+
+
+def global_rank(df: DataFrame, *order, name: str = "rank") -> DataFrame:
+    """Add ``name``: 1, 2, 3, ... over the whole table in ``order``.
+
+    The rows are range partitioned, sorted and written, which fixes their
+    places; each partition's rows then count on from the sizes of the
+    partitions before it, a table with one row per partition.
+    """
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    fixed = saved(sorted_rows.withColumn("_id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = fixed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"))
+    joined = fixed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return joined.withColumn(name, (F.col("_skip") + place + 1).cast("long")).drop("_id", "_part", "_skip")

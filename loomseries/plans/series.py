@@ -112,6 +112,23 @@ class Series:
         done = joined.withColumns({k: F.col(f"_t_{k}") + F.col(f"_b_{k}") for k in terms})
         return replace(base, df=done.drop(*[f"_{p}_{k}" for p in "tb" for k in terms]))
 
+    # -- carried values -------------------------------------------------
+    def running_last(self, **columns: Column) -> "Series":
+        """The newest value so far that is not NULL, this row included."""
+        base = self.owned().add(**{f"_t_{k}": v for k, v in columns.items()})
+        ends = base.df.groupBy(*self.group).agg(
+            *[F.max_by(f"_t_{k}", F.when(F.col(f"_t_{k}").isNotNull(), F.col("rn"))).alias(f"_c_{k}") for k in columns]
+        )
+        before = Window.partitionBy(*self.key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(
+            *self.group, *[F.last(f"_c_{k}", ignorenulls=True).over(before).alias(f"_b_{k}") for k in columns]
+        )
+        upto = self.w.rowsBetween(Window.unboundedPreceding, 0)
+        inside = base.add(**{f"_t_{k}": F.last(f"_t_{k}", ignorenulls=True).over(upto) for k in columns})
+        joined = inside.df.join(carried, self.group)
+        done = joined.withColumns({k: F.coalesce(f"_t_{k}", f"_b_{k}") for k in columns})
+        return replace(base, df=done.drop(*[f"_{p}_{k}" for p in "tb" for k in columns]))
+
 
 def ratio(top: Column, bottom: Column) -> Column:
     """Division where x/0 is NULL instead of an error or an infinity."""

@@ -32,8 +32,8 @@ CONDITIONS = {
     "evening_star": "o2 < c2 AND big2 AND bot1 >= top2 AND small1 AND o > c AND top <= bot1 AND c <= c2",
     "four_price_doji": "tiny AND bare_up AND bare_lo",
     "gravestone_doji": "tiny AND long_up AND bare_lo",
-    "hammer": "small AND bare_up AND long_lo AND bot <= l1 + 0.3 * at",
-    "hanging_man": "small AND bare_up AND long_lo AND bot >= h1 - 0.3 * at",
+    "hammer": "small AND bare_up AND long_lo AND bot <= l1 + 0.3 * av",
+    "hanging_man": "small AND bare_up AND long_lo AND bot >= h1 - 0.3 * av",
     "inverted_hammer": "small AND long_up AND bare_lo AND top <= bot1",
     "long_legged_doji": "tiny AND long_up AND long_lo",
     "marubozu": "big AND bare_up AND bare_lo",
@@ -54,15 +54,15 @@ def _base_sql() -> str:
         body = f"abs(o{b} - c{b})"
         flags += [
             f"greatest(o{b}, c{b}) AS top{b}", f"least(o{b}, c{b}) AS bot{b}",
-            f"{body} < 0.05 * at AS tiny{b}", f"{body} < 0.5 * ab AS small{b}", f"{body} > 1.4 * ab AS big{b}",
+            f"{body} < 0.05 * av AS tiny{b}", f"{body} < 0.5 * ab AS small{b}", f"{body} > 1.4 * ab AS big{b}",
         ]
     lags = [f"lag({full}, {n}) {ORD} AS {x}{n}"
             for x, full in zip("ohlc", ("open", "high", "low", "close")) for n in (1, 2)]
     return f"""WITH {BAR_SQL.format(unit="hour")},
 k0 AS (SELECT sym, ts, rn, open AS o, high AS h, low AS l, close AS c, {", ".join(lags)},
-         avg(abs(open - close)) {prev(10)} AS ab, avg(high - low) {prev(10)} AS at FROM s0),
+         avg(abs(open - close)) {prev(10)} AS ab, avg(high - low) {prev(10)} AS av FROM s0),
 k1 AS (SELECT *, abs(o - c) AS body, {", ".join(flags)} FROM k0 WHERE rn > 10),
-k AS (SELECT *, h - top < 0.05 * at AS bare_up, bot - l < 0.05 * at AS bare_lo,
+k AS (SELECT *, h - top < 0.05 * av AS bare_up, bot - l < 0.05 * av AS bare_lo,
          h - top > 0.6 * ab AS long_up, bot - l > 0.6 * ab AS long_lo FROM k1),
 m AS (SELECT sym, ts, rn, CAST({" + ".join(f"CASE WHEN {x} THEN {1 << i} ELSE 0 END" for i, x in enumerate(CONDITIONS.values()))} AS BIGINT)
          AS patterns FROM k)

@@ -148,7 +148,9 @@ CASES["linregintercept"] = Case("tick", (P,), [_line], {"linregintercept": "m -
 CASES["linregslope"] = Case("tick", (P,), [_line], {"linregslope": "b"})
 CASES["tsf"] = Case("tick", (P,), [_line], {"tsf": "m + 3 * b"})
 CASES["fosc"] = Case(
-    "tick", (P,), [_line, {"f": "m + 3 * b"}, {"f1": lag("f")}], {"fosc": "100 * (real - f1) / nullif(real, 0)"}, digits=5)
+    "tick", (7,),
+    [{"f": f"avg(real) {trail(7)} + 4 * regr_slope(real, rn) {trail(7)}"}, {"f1": lag("f")}],
+    {"fosc": "100 * (real - f1) / nullif(real, 0)"}, digits=5)
 _wma9 = "(" + _dot("real", [str(k) for k in range(1, 10)]) + ") / 45"
 _wma4 = "(" + _dot("real", [str(k) for k in range(1, 5)]) + ") / 10"
 CASES["hma"] = Case(

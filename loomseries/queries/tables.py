@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.numbering import DAY
+from ..plans.numbering import DAY, time_then_id
 from ..session import saved
 
 
@@ -17,10 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bars(spark: SparkSession, sf_dir: str, unit: str = "hour") -> DataFrame:
     """Open, high, low, close and volume per event type and hour (or day)."""
-    # One number that orders events by time and then id. Unlike a struct it can be
-    # updated in place in a hash aggregate, so the events need no sort.
-    micros = F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(17,0)")
-    first = (micros * F.lit(Decimal(10**19)) + F.col("event_id").cast("decimal(19,0)")).cast("decimal(38,0)")
+    first = time_then_id("ts", "event_id")
     grouped = (
         table(spark, sf_dir, "events")
         .groupBy(F.col("event_type").alias("sym"), F.date_trunc(unit, "ts").cast("timestamp_ntz").alias("bar_ts"))

@@ -53,3 +53,24 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class GrowingTable:
+    """A table in the shared folder that an iteration appends to; batches are never rewritten."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+        self.schema = None
+        self.batches = 0
+
+    def append(self, df: DataFrame) -> DataFrame:
+        """Write one batch and return it as read back from its files."""
+        self.schema = self.schema or df.schema
+        batch = f"{self.path}/batch={self.batches}"
+        df.write.parquet(batch)
+        self.batches += 1
+        return self.spark.read.schema(self.schema).parquet(batch)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
