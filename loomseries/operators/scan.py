@@ -4,16 +4,20 @@
 ``floor`` are columns. Such steps compose: any run of them is again
 max(L, A * v + B). So each chunk is first reduced to one (A, B, L) row, the
 value that enters each chunk follows from those rows, and a last pass fills in
-the values. No task ever holds more than one chunk of a key.
+the values.
 
 ``state_scan`` is for steps that do not compose into a fixed form. It starts
 each chunk from the state the chunk before ended in, and repeats only the
 chunks whose entering state changed until none does.
+
+The Python side sees the sorted rows of a partition as a stream of Arrow
+batches and keeps only the current value, so neither a long chunk nor a
+large number of short keys is a problem.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 import numpy as np
@@ -37,9 +41,26 @@ def step_seed(seed_at: Column, seed: Column, a: Column | float, b: Column) -> tu
     return a_col, b_col
 
 
-def _run(a, b, lo, v):
+def fields_of(df: DataFrame, names) -> list[T.StructField]:
+    return [T.StructField(n, df.schema[n].dataType, True) for n in names]
+
+
+def doubles(names) -> list[T.StructField]:
+    return [T.StructField(n, T.DoubleType()) for n in names]
+
+
+def by_group(df: DataFrame, group: list[str], order: str) -> DataFrame:
+    """Rows of a group together in one partition, in order."""
+    return df.repartition(*group).sortWithinPartitions(*group, order)
+
+
+def _follow(first, enter, a, b, lo, v):
+    """Values of the recursion; where ``first``, ``enter`` takes the place of the value before."""
     out = np.empty(len(b))
-    for i, (x, y, z) in enumerate(zip(a.tolist(), b.tolist(), lo.tolist())):
+    rows = zip(first.tolist(), enter.tolist(), a.tolist(), b.tolist(), lo.tolist())
+    for i, (new, start, x, y, z) in enumerate(rows):
+        if new:
+            v = start
         v = y if x == 0.0 else x * v + y
         if v < z:
             v = z
@@ -47,76 +68,94 @@ def _run(a, b, lo, v):
     return out
 
 
-def _reduce(a, b, lo):
-    big_a, big_b, big_l = 1.0, 0.0, NO_FLOOR
-    for x, y, z in zip(a.tolist(), b.tolist(), lo.tolist()):
+def _compose(first, a, b, lo, run):
+    """(A, B, L) of the rows since the last ``first``, at every row."""
+    out = np.empty((3, len(b)))
+    big_a, big_b, big_l = run
+    for i, (new, x, y, z) in enumerate(zip(first.tolist(), a.tolist(), b.tolist(), lo.tolist())):
+        if new:
+            big_a, big_b, big_l = 1.0, 0.0, NO_FLOOR
         if x == 0.0:
             big_a, big_b, big_l = 0.0, y, z
         else:
             big_l = z if big_l == NO_FLOOR else max(x * big_l + y, z)
             big_a, big_b = x * big_a, x * big_b + y
-    return big_a, big_b, big_l
+        out[:, i] = big_a, big_b, big_l
+    return out
 
 
 def scan(s: Series, **specs: tuple) -> Series:
     """Add one column per spec ``name=(a, b)`` or ``name=(a, b, floor)``; ``a`` must be >= 0 with a floor."""
     base = s.owned()
     names = list(specs)
-    parts = {}
-    for name, spec in specs.items():
-        a, b, *rest = spec
-        floor = rest[0] if rest else F.lit(NO_FLOOR)
-        for tag, value in zip("abl", (a, b, floor)):
-            parts[f"_{tag}_{name}"] = value.cast("double")
-    base = base.add(**parts)
-    group, key = base.group, list(base.key)
-    key_fields = [base.df.schema[k] for k in key]
+    parts = {f"_{t}_{n}": value.cast("double") for n in names for t, value in zip("abl", specs[n])}
+    group, key, chunk_rows = base.group, list(base.key), base.chunk_rows
+    kept = base.df.columns
     trio = [f"_{tag}_{name}" for name in names for tag in "abl"]
-
-    def reduce_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn", kind="stable")
-        row = {g: [pdf[g].iloc[0]] for g in group}
-        for name in names:
-            values = _reduce(*(pdf[f"_{t}_{name}"].to_numpy() for t in "abl"))
-            row.update({f"_{t}_{name}": [v] for t, v in zip("abl", values)})
-        return pd.DataFrame(row)
-
-    # Both uses of base.df keep all its columns, so that they share one shuffle.
-    summary_type = T.StructType(
-        key_fields + [T.StructField("chunk", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in trio]
-    )
-    summary = base.df.groupBy(*group).applyInPandas(reduce_chunk, summary_type)
-
-    def enter(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk", kind="stable")
-        out = pdf[group].copy()
-        for name in names:
-            ends = _run(*(pdf[f"_{t}_{name}"].to_numpy() for t in "abl"), 0.0)
-            out[f"_v_{name}"] = np.concatenate(([0.0], ends[:-1]))
-        return out
-
-    enter_type = T.StructType(
-        key_fields
-        + [T.StructField("chunk", T.LongType())]
-        + [T.StructField(f"_v_{n}", T.DoubleType()) for n in names]
-    )
-    entering = summary.groupBy(*key).applyInPandas(enter, enter_type)
-
-    keep = [f for f in base.df.schema.fields if f.name not in trio]
-    kept = [f.name for f in keep]
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn", kind="stable")
-        out = pdf[kept].copy()
-        for name in names:
-            parts_of = (pdf[f"_{t}_{name}"].to_numpy() for t in "abl")
-            out[name] = _run(*parts_of, float(pdf[f"_v_{name}"].iloc[0]))
-        return out
-
-    fill_type = T.StructType(
-        [T.StructField(f.name, f.dataType, True) for f in keep] + [T.StructField(n, T.DoubleType()) for n in names]
-    )
-    filled = base.df.join(entering, group).groupBy(*group).applyInPandas(fill, fill_type)
+    # Both uses keep all columns and the join below adds no filter, so that they share one shuffle.
+    rows = base.df.withColumns(parts)
+
+    def columns(pdf, name):
+        a, b = (pdf[f"_{t}_{name}"].to_numpy(dtype=float) for t in "ab")
+        free = np.full(len(pdf), NO_FLOOR)
+        return a, b, pdf[f"_l_{name}"].to_numpy(dtype=float) if f"_l_{name}" in pdf else free
+
+    def reduce_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run = {n: (1.0, 0.0, NO_FLOOR) for n in names}
+        held = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            first = ((pdf["rn"].to_numpy() - 1) % chunk_rows) == 0
+            out = pdf[group].copy()
+            for n in names:
+                composed = _compose(first, *columns(pdf, n), run[n])
+                run[n] = tuple(composed[:, -1].tolist())
+                for t, values in zip("abl", composed):
+                    out[f"_{t}_{n}"] = values
+            ends = np.append(np.flatnonzero(first)[np.flatnonzero(first) > 0] - 1, len(out) - 1)
+            if held is not None and first[0]:
+                yield held
+            yield out.iloc[ends[:-1]]
+            held = out.iloc[ends[-1:]]
+        if held is not None:
+            yield held
+
+    summary_type = T.StructType(fields_of(base.df, group) + doubles(trio))
+    summary = by_group(rows, group, "rn").mapInPandas(reduce_chunks, summary_type)
+
+    def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        value = dict.fromkeys(names, 0.0)
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            first = pdf["chunk"].to_numpy() == 0
+            out = pdf[group].copy()
+            for n in names:
+                ends = _follow(first, np.zeros(len(pdf)), *columns(pdf, n), value[n])
+                before = np.append(value[n], ends[:-1])
+                out[f"_v_{n}"] = np.where(first, 0.0, before)
+                value[n] = float(ends[-1])
+            yield out
+
+    enter_type = T.StructType(fields_of(base.df, group) + doubles(f"_v_{n}" for n in names))
+    entering = by_group(summary, key, "chunk").mapInPandas(enter, enter_type)
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        value = dict.fromkeys(names, 0.0)
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            first = ((pdf["rn"].to_numpy() - 1) % chunk_rows) == 0
+            out = pdf[kept].copy()
+            for n in names:
+                out[n] = _follow(first, pdf[f"_v_{n}"].to_numpy(dtype=float), *columns(pdf, n), value[n])
+                value[n] = float(out[n].iloc[-1])
+            yield out
+
+    fill_type = T.StructType(fields_of(base.df, kept) + doubles(names))
+    joined = by_group(rows, group, "rn").join(entering, group, "left").sortWithinPartitions(*group, "rn")
+    filled = joined.mapInPandas(fill, fill_type)
     clean = {n: F.when(~F.isnan(n), F.col(n)) for n in names}
     return replace(base, df=filled.withColumns(clean))
 
@@ -127,32 +166,59 @@ def state_scan(
     width: int,
     outputs: list[str],
 ) -> Series:
-    """Run ``step(rows of a chunk, entering state) -> (output columns, leaving state)`` over each key.
+    """Run ``step(rows, entering state) -> (output columns, leaving state)`` over each key.
 
     A state is ``width`` doubles; all-NaN means "nothing seen yet". The result
     is that of one pass in order, whatever the number of rounds.
     """
     base = s.owned()
     base = replace(base, df=saved(base.df))  # read once per round
-    group, key = base.group, list(base.key)
+    group, key, chunk_rows = base.group, list(base.key), base.chunk_rows
+    kept = base.df.columns
     state = [f"_s{i}" for i in range(width)]
-    key_fields = [base.df.schema[k] for k in key]
-    state_type = T.StructType(
-        key_fields + [T.StructField("chunk", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in state]
-    )
-
-    def entering_of(pdf: pd.DataFrame) -> np.ndarray:
-        return pdf[state].iloc[0].to_numpy(dtype=float)
 
-    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn", kind="stable")
-        _, after = step(pdf, entering_of(pdf))
-        row = {g: [pdf[g].iloc[0]] for g in group}
-        row.update({c: [float(v)] for c, v in zip(state, after)})
-        return pd.DataFrame(row)
+    def pieces(batches: Iterator[pd.DataFrame]):
+        """Runs of rows of one chunk with their outputs and the state after them."""
+        now = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            first = np.flatnonzero(((pdf["rn"].to_numpy() - 1) % chunk_rows) == 0)
+            cuts = sorted({0, len(pdf), *first.tolist()})
+            starts = set(first.tolist())
+            for lo, hi in zip(cuts, cuts[1:]):
+                rows = pdf.iloc[lo:hi]
+                if lo in starts:
+                    now = rows[state].iloc[0].to_numpy(dtype=float)
+                values, now = step(rows, now)
+                yield rows, values, now, lo in starts
+
+    def leave(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for rows, _, after, new in pieces(batches):
+            if new and held is not None:
+                yield held
+            held = rows[group].iloc[-1:].copy()
+            for name, value in zip(state, after):
+                held[name] = float(value)
+        if held is not None:
+            yield held
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, values, _, _ in pieces(batches):
+            out = rows[kept].copy()
+            for name in outputs:
+                out[name] = values[name]
+            yield out
+
+    state_type = T.StructType(fields_of(base.df, group) + doubles(state))
+
+    def with_state(entering: DataFrame) -> DataFrame:
+        joined = base.df.join(entering, group)
+        return by_group(joined, group, "rn")
 
     def run_chunks(entering: DataFrame) -> DataFrame:
-        return base.df.join(entering, group).groupBy(*group).applyInPandas(leave, state_type)
+        return with_state(entering).mapInPandas(leave, state_type)
 
     def shift(ends: DataFrame) -> DataFrame:
         over = Window.partitionBy(*key).orderBy("chunk")
@@ -174,19 +240,6 @@ def state_scan(
         entering = saved(entering.join(changed, group, "left_anti").unionByName(changed))
         ends = saved(ends.join(changed.select(*group), group, "left_anti").unionByName(redone))
 
-    kept_fields = base.df.schema.fields
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn", kind="stable")
-        values, _ = step(pdf, entering_of(pdf))
-        out = pdf[[f.name for f in kept_fields]].copy()
-        for name in outputs:
-            out[name] = values[name]
-        return out
-
-    fill_type = T.StructType(
-        [T.StructField(f.name, f.dataType, True) for f in kept_fields]
-        + [T.StructField(n, T.DoubleType()) for n in outputs]
-    )
-    filled = base.df.join(entering, group).groupBy(*group).applyInPandas(fill, fill_type)
+    fill_type = T.StructType(fields_of(base.df, kept) + doubles(outputs))
+    filled = with_state(entering).mapInPandas(fill, fill_type)
     return replace(base, df=filled.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in outputs}))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.series import CHUNK_ROWS, Series
-from .scan import scan
+from .scan import by_group, doubles, fields_of, scan
 
 
 def priority_schedule(
@@ -29,31 +29,50 @@ def priority_schedule(
     s = Series.of(jobs.select(*key, "id", "at", "bt", "priority"), key, ["at", "id"], grain, chunk_rows)
     arrive, work = F.col("at").cast("double"), F.col("bt").cast("double")
     s = scan(s, end=(F.lit(1.0), work, arrive + work)).span(1)
-    s = s.add(opens=F.when((F.col("rn") == 1) | (F.col("at") >= s.lag("end")), F.lit(1.0)).otherwise(F.lit(0.0)))
-    s = s.running_sum(period=F.col("opens"))
-    fields = [s.df.schema[k] for k in (*key, "id", "at", "bt", "priority")]
+    s = s.add(opens=(F.col("rn") == 1) | (F.col("at") >= s.lag("end")))
+    # A busy period goes to the chunk it starts in.
+    s = s.owned().add(home=F.when(F.col("opens"), F.col("chunk")))
+    s = s.running_last(home=F.col("home"))
+    fields = fields_of(s.df, (*key, "id", "at", "bt", "priority"))
     names = [f.name for f in fields]
 
-    def serve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "id"], kind="stable").reset_index(drop=True)
-        at, bt, pr = pdf["at"].tolist(), pdf["bt"].tolist(), pdf["priority"].tolist()
-        done = np.zeros(len(pdf))
-        waiting, i, now = [], 0, at[0]
-        while waiting or i < len(at):
+    def serve(at: list, bt: list, pr: list) -> list:
+        """Completion times of one busy period, in order of arrival."""
+        done, waiting, i, now = [0.0] * len(at), [], 0, at[0]
+        for _ in at:
             while i < len(at) and at[i] <= now:
                 heapq.heappush(waiting, (pr[i], i))
                 i += 1
             _, job = heapq.heappop(waiting)
             now += bt[job]
             done[job] = now
+        return done
+
+    def serve_periods(pdf: pd.DataFrame) -> pd.DataFrame:
+        cuts = [*np.flatnonzero(pdf["opens"].to_numpy()).tolist(), len(pdf)]
+        at, bt, pr = (pdf[n].tolist() for n in ("at", "bt", "priority"))
+        done = []
+        for lo, hi in zip(cuts, cuts[1:]):
+            done += serve(at[lo:hi], bt[lo:hi], pr[lo:hi])
         out = pdf[names].copy()
-        out["ct"] = done
-        out["tat"] = done - pdf["at"]
-        out["wt"] = out["tat"] - pdf["bt"]
+        out["ct"] = np.array(done, dtype=float)
+        out["tat"] = out["ct"] - out["at"]
+        out["wt"] = out["tat"] - out["bt"]
         return out
 
-    schema = T.StructType(fields + [T.StructField(n, T.DoubleType()) for n in ("ct", "tat", "wt")])
-    return s.df.groupBy(*key, "period").applyInPandas(serve, schema)
+    def serve_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []  # rows of the period that is still open
+        for pdf in batches:
+            cuts = np.flatnonzero(pdf["opens"].to_numpy())
+            if len(cuts) and (held or cuts[-1] > 0):
+                yield serve_periods(pd.concat([*held, pdf.iloc[: cuts[-1]]]))
+                held = []
+            held.append(pdf.iloc[cuts[-1] :] if len(cuts) else pdf)
+        if held:
+            yield serve_periods(pd.concat(held))
+
+    schema = T.StructType(fields + doubles(("ct", "tat", "wt")))
+    return by_group(s.df, [*key, "home"], "rn").mapInPandas(serve_all, schema)
 
 
 def schedule_averages(scheduled: DataFrame, key: Sequence[str]) -> DataFrame:

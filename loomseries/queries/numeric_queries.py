@@ -53,13 +53,13 @@ def matrix_arg_min(spark, d):
 
 
 # -- statistics
-@query("running_stats", """SELECT sym, event_id, round(avg(x) OVER w, 5) AS mean, round(coalesce(var_samp(x) OVER w, 0), 4) AS var_sample,
-  round(var_pop(x) OVER w, 4) AS var_population FROM (SELECT event_type AS sym, event_id, ts, value AS x FROM events)
+@query("running_stats", """SELECT sym, event_id, round(avg(x) OVER w, 8) AS mean, round(coalesce(var_samp(x) OVER w, 0), 6) AS var_sample,
+  round(var_pop(x) OVER w, 6) AS var_population FROM (SELECT event_type AS sym, event_id, ts, value AS x FROM events)
   WINDOW w AS (PARTITION BY sym ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def running_stats(spark, d):
     s = Series.of(ticks(spark, d).drop("user_id"), ["sym"], ["ts", "event_id"], TICK_GRAIN)
     out = stats.running_stats(s, "real").df.select("sym", "event_id", "mean", "var_sample", "var_population")
-    return rounded(rounded(out, ["mean"], 5), ["var_sample", "var_population"], 4)
+    return rounded(rounded(out, ["mean"], 8), ["var_sample", "var_population"], 6)
 
 
 def _points(spark, d):
