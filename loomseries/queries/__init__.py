@@ -1,8 +1,15 @@
 """All registered queries and their comparison SQL."""
 
-from . import candle_queries, graph_queries, indicator_queries, numeric_queries, record_queries
+from . import (
+    candle_queries,
+    graph_queries,
+    indicator_queries,
+    numeric_queries,
+    record_queries,
+    stream_queries,
+)
 
-MODULES = [indicator_queries, candle_queries, record_queries, numeric_queries, graph_queries]
+MODULES = [indicator_queries, candle_queries, record_queries, numeric_queries, graph_queries, stream_queries]
 
 
 def all_queries() -> dict:
