@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..plans.series import Series, c, ratio
 from .lags import true_range
 from .registry import indicator
-from .scan import scan, state_scan, step_seed
+from .scan import floats, scan, state_scan, step_seed
 from .windows import money_flow, moves
 
 PERIOD = "period"
@@ -318,12 +318,12 @@ def kvo(s: Series, short, long) -> Series:
     return s.add(kvo=c.fast - c.slow)
 
 
-def _fisher_step(pdf, state):
+def _fisher_step(rows, state):
     pull = 0.0 if np.isnan(state[0]) else state[0]
     fish = 0.0 if np.isnan(state[1]) else state[1]
-    n = len(pdf)
+    n = rows.num_rows
     now, before = np.full(n, np.nan), np.full(n, np.nan)
-    for i, place in enumerate(pdf["place"].tolist()):
+    for i, place in enumerate(floats(rows, "place").tolist()):
         if place != place:  # still in the warm-up
             continue
         pull = 0.66 * place + 0.67 * pull
@@ -351,10 +351,10 @@ def _psar_step(unit: float, limit: float):
     Prices are multiplied by the direction, so that one set of rules serves both.
     """
 
-    def step(pdf, state):
+    def step(rows, state):
         way, stop, edge, pace = state
-        out = np.full(len(pdf), np.nan)
-        columns = (pdf[n].tolist() for n in ("high", "low", "high1", "low1", "high2", "low2"))
+        out = np.full(rows.num_rows, np.nan)
+        columns = (floats(rows, n).tolist() for n in ("high", "low", "high1", "low1", "high2", "low2"))
         for i, (hi, lo, hi1, lo1, hi2, lo2) in enumerate(zip(*columns)):
             if hi1 != hi1:  # first bar of the key
                 continue

@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +54,22 @@ def by_group(df: DataFrame, group: list[str], order: str) -> DataFrame:
     return df.repartition(*group).sortWithinPartitions(*group, order)
 
 
+def floats(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """A column as doubles, NULL as NaN."""
+    return batch.column(name).to_numpy(zero_copy_only=False).astype(float)
+
+
+def chunk_starts(batch: pa.RecordBatch, chunk_rows: int) -> np.ndarray:
+    """True on the first row of each chunk."""
+    return (batch.column("rn").to_numpy(zero_copy_only=False) - 1) % chunk_rows == 0
+
+
+def with_columns(batch: pa.RecordBatch, keep: list[str], **added: np.ndarray) -> pa.RecordBatch:
+    """Kept columns as they are, and added doubles."""
+    arrays = [batch.column(n) for n in keep] + [pa.array(v, type=pa.float64()) for v in added.values()]
+    return pa.RecordBatch.from_arrays(arrays, names=[*keep, *added])
+
+
 def _follow(first, enter, a, b, lo, v):
     """Values of the recursion; where ``first``, ``enter`` takes the place of the value before."""
     out = np.empty(len(b))
@@ -95,74 +111,75 @@ def scan(s: Series, **specs: tuple) -> Series:
     # Both uses keep all columns and the join below adds no filter, so that they share one shuffle.
     rows = base.df.withColumns(parts)
 
-    def columns(pdf, name):
-        a, b = (pdf[f"_{t}_{name}"].to_numpy(dtype=float) for t in "ab")
-        free = np.full(len(pdf), NO_FLOOR)
-        return a, b, pdf[f"_l_{name}"].to_numpy(dtype=float) if f"_l_{name}" in pdf else free
+    def columns(batch, name):
+        a, b = floats(batch, f"_a_{name}"), floats(batch, f"_b_{name}")
+        floor = f"_l_{name}"
+        return a, b, floats(batch, floor) if floor in batch.schema.names else np.full(len(b), NO_FLOOR)
 
-    def reduce_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def reduce_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = {n: (1.0, 0.0, NO_FLOOR) for n in names}
         held = None
-        for pdf in batches:
-            if pdf.empty:
+        for batch in batches:
+            if batch.num_rows == 0:
                 continue
-            first = ((pdf["rn"].to_numpy() - 1) % chunk_rows) == 0
-            out = pdf[group].copy()
+            first = chunk_starts(batch, chunk_rows)
+            added = {}
             for n in names:
-                composed = _compose(first, *columns(pdf, n), run[n])
+                composed = _compose(first, *columns(batch, n), run[n])
                 run[n] = tuple(composed[:, -1].tolist())
-                for t, values in zip("abl", composed):
-                    out[f"_{t}_{n}"] = values
-            ends = np.append(np.flatnonzero(first)[np.flatnonzero(first) > 0] - 1, len(out) - 1)
+                added.update({f"_{t}_{n}": values for t, values in zip("abl", composed)})
+            out = with_columns(batch, group, **added)
+            starts = np.flatnonzero(first)
             if held is not None and first[0]:
                 yield held
-            yield out.iloc[ends[:-1]]
-            held = out.iloc[ends[-1:]]
+            ends = starts[starts > 0] - 1
+            if len(ends):
+                yield out.take(pa.array(ends))
+            held = out.slice(out.num_rows - 1)
         if held is not None:
             yield held
 
     summary_type = T.StructType(fields_of(base.df, group) + doubles(trio))
-    summary = by_group(rows, group, "rn").mapInPandas(reduce_chunks, summary_type)
+    summary = by_group(rows, group, "rn").mapInArrow(reduce_chunks, summary_type)
 
-    def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = dict.fromkeys(names, 0.0)
-        for pdf in batches:
-            if pdf.empty:
+        for batch in batches:
+            if batch.num_rows == 0:
                 continue
-            first = pdf["chunk"].to_numpy() == 0
-            out = pdf[group].copy()
+            first = batch.column("chunk").to_numpy(zero_copy_only=False) == 0
+            added = {}
             for n in names:
-                ends = _follow(first, np.zeros(len(pdf)), *columns(pdf, n), value[n])
-                before = np.append(value[n], ends[:-1])
-                out[f"_v_{n}"] = np.where(first, 0.0, before)
+                ends = _follow(first, np.zeros(len(first)), *columns(batch, n), value[n])
+                added[f"_v_{n}"] = np.where(first, 0.0, np.append(value[n], ends[:-1]))
                 value[n] = float(ends[-1])
-            yield out
+            yield with_columns(batch, group, **added)
 
     enter_type = T.StructType(fields_of(base.df, group) + doubles(f"_v_{n}" for n in names))
-    entering = by_group(summary, key, "chunk").mapInPandas(enter, enter_type)
+    entering = by_group(summary, key, "chunk").mapInArrow(enter, enter_type)
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = dict.fromkeys(names, 0.0)
-        for pdf in batches:
-            if pdf.empty:
+        for batch in batches:
+            if batch.num_rows == 0:
                 continue
-            first = ((pdf["rn"].to_numpy() - 1) % chunk_rows) == 0
-            out = pdf[kept].copy()
+            first = chunk_starts(batch, chunk_rows)
+            added = {}
             for n in names:
-                out[n] = _follow(first, pdf[f"_v_{n}"].to_numpy(dtype=float), *columns(pdf, n), value[n])
-                value[n] = float(out[n].iloc[-1])
-            yield out
+                added[n] = _follow(first, floats(batch, f"_v_{n}"), *columns(batch, n), value[n])
+                value[n] = float(added[n][-1])
+            yield with_columns(batch, kept, **added)
 
     fill_type = T.StructType(fields_of(base.df, kept) + doubles(names))
     joined = by_group(rows, group, "rn").join(entering, group, "left").sortWithinPartitions(*group, "rn")
-    filled = joined.mapInPandas(fill, fill_type)
+    filled = joined.mapInArrow(fill, fill_type)
     clean = {n: F.when(~F.isnan(n), F.col(n)) for n in names}
     return replace(base, df=filled.withColumns(clean))
 
 
 def state_scan(
     s: Series,
-    step: Callable[[pd.DataFrame, np.ndarray], tuple[dict[str, np.ndarray], np.ndarray]],
+    step: Callable[[pa.RecordBatch, np.ndarray], tuple[dict[str, np.ndarray], np.ndarray]],
     width: int,
     outputs: list[str],
 ) -> Series:
@@ -177,39 +194,34 @@ def state_scan(
     kept = base.df.columns
     state = [f"_s{i}" for i in range(width)]
 
-    def pieces(batches: Iterator[pd.DataFrame]):
+    def pieces(batches: Iterator[pa.RecordBatch]):
         """Runs of rows of one chunk with their outputs and the state after them."""
         now = None
-        for pdf in batches:
-            if pdf.empty:
+        for batch in batches:
+            if batch.num_rows == 0:
                 continue
-            first = np.flatnonzero(((pdf["rn"].to_numpy() - 1) % chunk_rows) == 0)
-            cuts = sorted({0, len(pdf), *first.tolist()})
-            starts = set(first.tolist())
+            starts = set(np.flatnonzero(chunk_starts(batch, chunk_rows)).tolist())
+            cuts = sorted({0, batch.num_rows, *starts})
             for lo, hi in zip(cuts, cuts[1:]):
-                rows = pdf.iloc[lo:hi]
+                rows = batch.slice(lo, hi - lo)
                 if lo in starts:
-                    now = rows[state].iloc[0].to_numpy(dtype=float)
+                    now = np.array([floats(rows.slice(0, 1), c)[0] for c in state])
                 values, now = step(rows, now)
                 yield rows, values, now, lo in starts
 
-    def leave(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for rows, _, after, new in pieces(batches):
             if new and held is not None:
                 yield held
-            held = rows[group].iloc[-1:].copy()
-            for name, value in zip(state, after):
-                held[name] = float(value)
+            last = rows.slice(rows.num_rows - 1)
+            held = with_columns(last, group, **{c: np.array([float(v)]) for c, v in zip(state, after)})
         if held is not None:
             yield held
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, values, _, _ in pieces(batches):
-            out = rows[kept].copy()
-            for name in outputs:
-                out[name] = values[name]
-            yield out
+            yield with_columns(rows, kept, **{n: values[n] for n in outputs})
 
     state_type = T.StructType(fields_of(base.df, group) + doubles(state))
 
@@ -218,7 +230,7 @@ def state_scan(
         return by_group(joined, group, "rn")
 
     def run_chunks(entering: DataFrame) -> DataFrame:
-        return with_state(entering).mapInPandas(leave, state_type)
+        return with_state(entering).mapInArrow(leave, state_type)
 
     def shift(ends: DataFrame) -> DataFrame:
         over = Window.partitionBy(*key).orderBy("chunk")
@@ -241,5 +253,5 @@ def state_scan(
         ends = saved(ends.join(changed.select(*group), group, "left_anti").unionByName(redone))
 
     fill_type = T.StructType(fields_of(base.df, kept) + doubles(outputs))
-    filled = with_state(entering).mapInPandas(fill, fill_type)
+    filled = with_state(entering).mapInArrow(fill, fill_type)
     return replace(base, df=filled.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in outputs}))
