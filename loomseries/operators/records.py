@@ -110,6 +110,11 @@ def missing_required(required: Column, included: Column) -> Column:
     return F.array_except(required, included)
 
 
+def unknown_keys(json: Column, allowed: Sequence[str]) -> Column:
+    """Keys of a JSON object that a record with these fields forbids."""
+    return F.array_except(F.json_object_keys(json), F.array(*[F.lit(a) for a in allowed]))
+
+
 # -- keyed combinations --------------------------------------------------
 def attach_inner_left(paths: DataFrame, deps: DataFrame, signatures: DataFrame, key: str) -> DataFrame:
     """Paths that have dependencies, with a signature where there is one."""
@@ -155,6 +160,15 @@ def multiset_difference(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> D
     return counted.filter("n_left <> n_right")
 
 
+def distinct_union(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.unionByName(b).distinct()
+
+
+def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows of ``a`` that are not in ``b``."""
+    return a.select(*b.columns).subtract(b)
+
+
 def catalog_entries(catalog: DataFrame) -> DataFrame:
     """Entries of ``all_functions``, ``functions`` and the values of ``source_files``; duplicates stay."""
     present = set(catalog.columns)

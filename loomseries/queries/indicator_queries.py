@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.indicators import REGISTRY, compute
+from ..plans.series import CHUNK_ROWS
 from .series_sql import CUM, chain, lag, rec, trail
 from .tables import BAR_GRAIN, TICK_GRAIN, bars, rounded, ticks
 
@@ -366,14 +367,16 @@ SELECT sym, ts, round(shown, 6) + 0.0 AS psar FROM p WHERE rn > 1"""
 CASES["psar"] = Case("hour", (0.02, 0.2))
 
 
-def run_case(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def run_case(spark: SparkSession, sf_dir: str, name: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     case = CASES[name]
     inputs = {k: v() for k, v in case.inputs.items()}
     if case.source == "tick":
-        df = compute(name, ticks(spark, sf_dir), case.options, order=("ts", "event_id"), inputs=inputs, grain=TICK_GRAIN)
+        df = compute(name, ticks(spark, sf_dir), case.options, order=("ts", "event_id"), inputs=inputs,
+                     grain=TICK_GRAIN, chunk_rows=chunk_rows)
         df = df.drop("ts")
     else:
-        df = compute(name, bars(spark, sf_dir, case.source), case.options, inputs=inputs, grain=BAR_GRAIN)
+        df = compute(name, bars(spark, sf_dir, case.source), case.options, inputs=inputs,
+                     grain=BAR_GRAIN, chunk_rows=chunk_rows)
     df = case.finish(df) if case.finish else df
     return rounded(df, [c for c in df.columns if c not in ("sym", "ts", "event_id")], case.digits)
 

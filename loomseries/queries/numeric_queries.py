@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numbers as nm
-from ..operators import intervals, schedule, stats, vector
+from ..operators import combine, intervals, schedule, stats, vector
 from ..plans.series import Series
 from .tables import TICK_GRAIN, rounded, table, ticks
 
@@ -100,6 +100,13 @@ def range_aggregate(spark, d):
     return rounded(out, ["sum_value"], 2)
 
 
+@query("custom_combine", """SELECT event_type AS sym, CAST(max(event_id) AS DOUBLE) AS top FROM events GROUP BY 1""")
+def custom_combine(spark, d):
+    """A combine function of the caller, here the larger of two."""
+    df = table(spark, d, "events").select(F.col("event_type").alias("sym"), F.col("event_id").cast("double").alias("x"))
+    return combine.fold_aggregate(df, "sym", "x", max, float("-inf"), "top")
+
+
 @query("point_update", """SELECT p_partkey, coalesce(s_acctbal, p_retailprice) AS p_retailprice FROM part LEFT JOIN supplier ON s_suppkey = p_partkey""")
 def point_update(spark, d):
     new = table(spark, d, "supplier").select(F.col("s_suppkey").alias("p_partkey"), F.col("s_acctbal").alias("p_retailprice"))

@@ -286,6 +286,23 @@ def multiset_difference(spark, d):
     return rec.multiset_difference(a, table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation")), ["nation"])
 
 
+@query("distinct_union", "SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier")
+def distinct_union(spark, d):
+    a = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"))
+    return rec.distinct_union(a, table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation")))
+
+
+@query("set_difference", "SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 10")
+def set_difference(spark, d):
+    used = table(spark, d, "lineitem").filter("l_quantity > 10").select(F.col("l_partkey").alias("p_partkey"))
+    return rec.set_difference(table(spark, d, "part").select("p_partkey"), used)
+
+
+@query("unknown_keys", "SELECT event_id, list_filter(json_keys(props), lambda k: k <> 'a') AS extra FROM events")
+def unknown_keys(spark, d):
+    return table(spark, d, "events").select("event_id", rec.unknown_keys(F.col("props"), ["a"]).alias("extra"))
+
+
 @query("catalog_union", """SELECT name, kind, count(*) AS n FROM (SELECT p_name AS name, p_type AS kind FROM part UNION ALL
   SELECT unnest([n_name, r_name]), 'place' FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL
   SELECT unnest([s_name, n_name]), 'source' FROM supplier JOIN nation ON n_nationkey = s_nationkey) GROUP BY ALL""")

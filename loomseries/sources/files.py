@@ -68,8 +68,13 @@ def write_counts(counts: DataFrame, path: str) -> None:
 
 
 def write_matrix(rows: DataFrame, cells: str, path: str) -> None:
-    """Rows of numbers as comma text with four significant digits."""
-    line = F.array_join(F.transform(cells, lambda x: F.format_string("%.4g", x.cast("double"))), ",")
+    """Rows of numbers as comma text with at most four significant digits and no trailing zeros."""
+
+    def short(x):
+        text = F.format_string("%.4g", x.cast("double"))
+        return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
+
+    line = F.array_join(F.transform(cells, short), ",")
     rows.select(line.alias("value")).write.text(path)
 
 
