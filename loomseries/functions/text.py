@@ -11,14 +11,19 @@ from pyspark.sql import types as T
 WORD = "[A-Za-z]+(?:['-][A-Za-z]+)*['-]?"
 
 
+def _clean(word: Column) -> Column:
+    return F.rtrim(F.lower(word), F.lit("-"))
+
+
 def words(text: Column) -> Column:
     """Lower-case words of a text, in order."""
     found = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    return F.transform(found, lambda w: F.lower(F.regexp_replace(w, "-$", "")))
+    return F.transform(found, _clean)
 
 
 def word_counts(df: DataFrame, text: str) -> DataFrame:
-    return df.select(F.explode(words(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    found = df.select(F.explode(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("word"))
+    return found.groupBy(_clean(F.col("word")).alias("word")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def word_count_of(text: Column) -> Column:

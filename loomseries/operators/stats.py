@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.series import Series
@@ -91,32 +91,21 @@ def range_aggregate(
     whole numbers from 0; the top level takes ranges beyond ``FAN ** levels``.
     """
     tree = block_tree(data, position, value, levels)
-    none = F.array().cast("array<struct<level:int,block:bigint>>")
     lo, hi = F.greatest(F.col(first), F.lit(0)).cast("long"), F.col(last).cast("long") + 1
-    df = queries.select(ident, lo.alias("_lo0"), hi.alias("_hi0"))
-    pieces = []
-    for level in range(levels + 1):
-        a, b = F.col(f"_lo{level}"), F.col(f"_hi{level}")
-
-        def run(frm: Column, to: Column, level=level) -> Column:
-            blocks = F.when(frm < to, F.sequence(frm, to - 1))
-            return F.coalesce(F.transform(blocks, lambda x: F.struct(F.lit(level).alias("level"), x.alias("block"))), none)
-
-        if level == levels:
-            pieces.append(run(a, b))
-            break
-        up = F.expr(f"(_lo{level} + {FAN - 1}) div {FAN}")
-        down = F.expr(f"_hi{level} div {FAN}")
-        df = df.withColumn("_up", up).withColumn("_down", down)
-        whole = F.col("_up") < F.col("_down")
-        df = df.withColumns({
-            f"_piece{level}": F.when(whole, F.concat(run(a, F.col("_up") * FAN), run(F.col("_down") * FAN, b)))
-            .otherwise(run(a, b)),
-            f"_lo{level + 1}": F.when(whole, F.col("_up")).otherwise(F.lit(0).cast("long")),
-            f"_hi{level + 1}": F.when(whole, F.col("_down")).otherwise(F.lit(0).cast("long")),
-        })
-        pieces.append(F.col(f"_piece{level}"))
-    needed = df.select(ident, F.inline(F.concat(*pieces)))
+    asked = queries.select(
+        ident, lo.alias("_lo"), hi.alias("_hi"), F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
+    width = F.pow(F.lit(float(FAN)), F.col("level")).cast("long")
+    asked = asked.withColumn("_w", width)
+    # Whole blocks of this level inside the range, and of the next level, which take the middle over.
+    asked = asked.selectExpr(
+        f"{ident}", "level",
+        "(_lo + _w - 1) div _w AS a", "_hi div _w AS b",
+        f"((_lo + _w * {FAN} - 1) div (_w * {FAN})) * {FAN} AS c", f"(_hi div (_w * {FAN})) * {FAN} AS d",
+    ).filter("a < b")
+    run = "IF({0} < {1}, sequence({0}, {1} - 1), cast(array() AS array<bigint>))"
+    middle = f"c < d AND level < {levels}"
+    blocks = f"IF({middle}, concat({run.format('a', 'c')}, {run.format('d', 'b')}), sequence(a, b - 1))"
+    needed = asked.selectExpr(f"{ident}", "level", f"explode({blocks}) AS block")
     return needed.join(tree, ["level", "block"]).groupBy(ident).agg(
         F.min("lo").alias("min_value"), F.max("hi").alias("max_value"), F.sum("total").alias("sum_value"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -12,11 +13,16 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def unit(v: Column) -> Column:
-    """The vector divided by its length; NULL for a vector of length 0."""
-    wide = F.transform(v, lambda x: x.cast("double"))
-    length = F.sqrt(dot(wide, wide))
-    return F.when(length > 0, F.transform(wide, lambda x: x / length))
+def unit(df: DataFrame, vector: str) -> DataFrame:
+    """Replace vectors by unit vectors; those of length 0 become NULL.
+
+    The length is its own generated column, so it is taken once per row and
+    not once per element.
+    """
+    wide = F.col(vector).cast("array<double>")
+    sized = df.withColumn("_size", F.explode(F.array(F.sqrt(dot(wide, wide)))))
+    scaled = F.when(F.col("_size") > 0, F.transform(wide, lambda x: x / F.col("_size")))
+    return sized.withColumn(vector, scaled).drop("_size")
 
 
 def has_vector(column: str) -> Column:
@@ -29,13 +35,15 @@ def nearest(df: DataFrame, vector: str, ident: str, query: Sequence[float], k: i
     One pass over the table: each task keeps its best k. Ties go to the
     smaller id.
     """
-    target = unit(F.array(*[F.lit(float(x)) for x in query]))
+    size = math.sqrt(sum(float(x) ** 2 for x in query))
+    target = F.array(*[F.lit(float(x) / size) for x in query])
+    wide = F.col(vector).cast("array<double>")
+    near = F.try_divide(dot(wide, target), F.sqrt(dot(wide, wide)))
+    # Between unit vectors the squared distance is 2 - 2 cos.
     scored = (
         df.filter(has_vector(vector))
-        .select(ident, unit(F.col(vector)).alias("_u"), target.alias("_q"))
-        .select(ident, F.aggregate(
-            F.zip_with("_u", "_q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v
-        ).alias("l2_sq"))
-        .filter("l2_sq IS NOT NULL")
+        .select(ident, near.alias("cosine"))
+        .filter("cosine IS NOT NULL")
+        .select(ident, F.greatest(2 - 2 * F.col("cosine"), F.lit(0.0)).alias("l2_sq"), "cosine")
     )
-    return scored.withColumn("cosine", 1 - F.col("l2_sq") / 2).orderBy("l2_sq", ident).limit(k)
+    return scored.orderBy("l2_sq", ident).limit(k)

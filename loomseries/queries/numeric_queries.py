@@ -45,6 +45,14 @@ def vector_norms(spark, d):
     return rounded(df.select("vec_id", F.sqrt(vector.dot(wide, wide)).alias("norm")), ["norm"])
 
 
+@query("unit_vectors", f"""WITH {UNIT_SQL} SELECT vec_id, round(u[1], 6) + 0.0 AS first, round(u[64], 6) + 0.0 AS last, len(u) AS width FROM u""")
+def unit_vectors(spark, d):
+    df = vector.unit(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding").filter("embedding IS NOT NULL")
+    out = df.select("vec_id", F.get("embedding", F.lit(0)).alias("first"), F.element_at("embedding", -1).alias("last"),
+                    F.size("embedding").cast("long").alias("width"))
+    return rounded(out, ["first", "last"])
+
+
 @query("matrix_arg_min", """WITH m AS (SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS col, unnest(embedding) AS value FROM embeddings)
   SELECT value, vec_id, col FROM m ORDER BY value, vec_id, col LIMIT 1""")
 def matrix_arg_min(spark, d):
