@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..plans.series import Series, c, ratio
 from .lags import true_range
 from .registry import indicator
-from .scan import floats, scan, state_scan, step_seed
+from .scan import Step, floats, scan, state_scan, step_after, step_seed
 from .windows import money_flow, moves
 
 PERIOD = "period"
@@ -64,26 +64,26 @@ def macd(s: Series, short, long, signal) -> Series:
     classic = int(short) == 12 and int(long) == 26
     fast = _ema_step(c.real, short, weight=0.15 if classic else None)
     slow = _ema_step(c.real, long, weight=0.075 if classic else None)
-    s = scan(s, fast=fast, slow=slow)
-    s = s.add(macd=c.fast - c.slow)
-    s = scan(s, macd_signal=_ema_step(c.macd, signal, int(long)))
+    # The signal is a mean of fast - slow, hence the difference of the means of both.
+    k = 2.0 / (int(signal) + 1)
+    s = scan(s, fast=fast, slow=slow, fast_mean=step_after(int(long), "fast", k), slow_mean=step_after(int(long), "slow", k))
+    s = s.add(macd=c.fast - c.slow, macd_signal=c.fast_mean - c.slow_mean)
     return s.add(macd_histogram=c.macd - c.macd_signal)
 
 
 @indicator("dema", "Double Exponential Moving Average", "overlay", "R", "real", "dema", PERIOD,
            lambda p: 2 * (int(p) - 1))
 def dema(s: Series, period) -> Series:
-    s = scan(s, e1=_ema_step(c.real, period))
-    s = scan(s, e2=_ema_step(c.e1, period, int(period)))
+    p = int(period)
+    s = scan(s, e1=_ema_step(c.real, p), e2=step_after(p, "e1", 2.0 / (p + 1)))
     return s.add(dema=c.e1 * F.lit(2.0) - c.e2)
 
 
 def _triple(s: Series, period) -> Series:
     """Three exponential means, each seeded from the one before once that has seen ``period`` rows."""
     p = int(period)
-    s = scan(s, e1=_ema_step(c.real, p))
-    s = scan(s, e2=_ema_step(c.e1, p, p))
-    return scan(s, e3=_ema_step(c.e2, p, 2 * p - 1))
+    k = 2.0 / (p + 1)
+    return scan(s, e1=_ema_step(c.real, p), e2=step_after(p, "e1", k), e3=step_after(2 * p - 1, "e2", k))
 
 
 @indicator("tema", "Triple Exponential Moving Average", "overlay", "R", "real", "tema", PERIOD,
@@ -237,8 +237,8 @@ def cvi(s: Series, period) -> Series:
 @indicator("mass", "Mass Index", "indicator", "R", "high low", "mass", PERIOD, lambda p: int(p) + 15)
 def mass(s: Series, period) -> Series:
     p = int(period)
-    s = scan(s, e1=_ema_step(c.high - c.low, 9))  # fixed value: both means run over 9 bars
-    s = scan(s, e2=_ema_step(c.e1, 9, 9)).span(p - 1)
+    # Fixed value: both means run over 9 bars.
+    s = scan(s, e1=_ema_step(c.high - c.low, 9), e2=step_after(9, "e1", 0.2)).span(p - 1)
     s = s.add(part=ratio(c.e1, c.e2))
     full = F.count("part").over(s.trail(p)) == p
     return s.add(mass=F.when(full, F.sum("part").over(s.trail(p))))
@@ -287,14 +287,14 @@ def pvi(s: Series) -> Series:
 def decay(s: Series, period) -> Series:
     a = F.when(c.rn == 1, F.lit(0.0)).otherwise(F.lit(1.0))
     b = F.when(c.rn == 1, c.real).otherwise(F.lit(-1.0 / int(period)))
-    return scan(s, decay=(a, b, c.real))
+    return scan(s, decay=Step(a, b, c.real))
 
 
 @indicator("edecay", "Exponential Decay", "math", "R", "real", "edecay", PERIOD)
 def edecay(s: Series, period) -> Series:
     a = F.when(c.rn == 1, F.lit(0.0)).otherwise(F.lit(1.0 - 1.0 / int(period)))
     b = F.when(c.rn == 1, c.real).otherwise(F.lit(0.0))
-    return scan(s, edecay=(a, b, c.real))
+    return scan(s, edecay=Step(a, b, c.real))
 
 
 @indicator("kvo", "Klinger Volume Oscillator", "indicator", "R", "high low close volume", "kvo", FAST_SLOW, 1,
@@ -305,13 +305,13 @@ def kvo(s: Series, short, long) -> Series:
     s = s.add(step=F.signum(c.price - s.lag("price")), last_width=s.lag("width"))
     # The trend is the last direction that was not flat; 0 until there was one.
     moved = F.when((c.step != 0) & (c.rn > 1), F.lit(1.0)).otherwise(F.lit(0.0))
-    s = scan(s.add(moved=moved), trend=(F.lit(1.0) - c.moved, c.moved * F.coalesce(c.step, F.lit(0.0)))).span(1)
+    s = scan(s.add(moved=moved), trend=Step(F.lit(1.0) - c.moved, c.moved * F.coalesce(c.step, F.lit(0.0)))).span(1)
     turned = (c.rn > 1) & (c.moved == 1) & (c.trend != s.lag("trend"))
     s = s.add(turned=turned)
     first = F.col("turned") | (c.rn == 1)
     cum_a = F.when(first, F.lit(0.0)).otherwise(F.lit(1.0))
     cum_b = F.when(c.rn == 1, F.lit(0.0)).when(c.turned, c.last_width + c.width).otherwise(c.width)
-    s = scan(s, cum=(cum_a, cum_b))
+    s = scan(s, cum=Step(cum_a, cum_b))
     sign = F.when(c.trend < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
     s = s.add(force=c.volume * F.abs(ratio(c.width, c.cum) * F.lit(2.0) - F.lit(1.0)) * F.lit(100.0) * sign)
     s = scan(s, fast=_ema_step(c.force, short, 2), slow=_ema_step(c.force, long, 2))

@@ -2,9 +2,11 @@
 
 ``scan`` runs v = max(floor, a * v + b) row by row, where ``a``, ``b`` and
 ``floor`` are columns. Such steps compose: any run of them is again
-max(L, A * v + B). So each chunk is first reduced to one (A, B, L) row, the
-value that enters each chunk follows from those rows, and a last pass fills in
-the values.
+max(L, A * v + B). So each chunk is first reduced to one row of such numbers,
+the value that enters each chunk follows from those rows, and a last pass
+fills in the values. A recursion may take the new value of another one as its
+input (an average of an average); together they are still one linear step, so
+a whole cascade is one scan.
 
 ``state_scan`` is for steps that do not compose into a fixed form. It starts
 each chunk from the state the chunk before ended in, and repeats only the
@@ -18,7 +20,7 @@ large number of short keys is a problem.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +34,34 @@ from ..session import saved
 NO_FLOOR = float("-inf")
 
 
-def step_seed(seed_at: Column, seed: Column, a: Column | float, b: Column) -> tuple[Column, Column]:
-    """(a, b) that is zero before the seed row, the seed at it, and the recursion after it."""
+@dataclass(frozen=True)
+class Step:
+    """v = max(floor, a * v + b + gain * feed), where ``feed`` names a recursion given before this one."""
+
+    a: Column
+    b: Column
+    floor: Column | None = None
+    feed: str | None = None
+    gain: Column | None = None
+
+
+def step_seed(seed_at: Column, seed: Column, a: Column | float, b: Column) -> Step:
+    """Zero before the seed row, the seed at it, and the recursion after it."""
     started = F.col("rn") > seed_at
     at = F.col("rn") == seed_at
     a_col = F.when(started, a if isinstance(a, Column) else F.lit(float(a))).otherwise(F.lit(0.0))
     b_col = F.when(at, seed).when(started, b).otherwise(F.lit(0.0))
-    return a_col, b_col
+    return Step(a_col, b_col)
+
+
+def step_after(seed_at: int, feed: str, weight: float) -> Step:
+    """Exponential mean of the recursion ``feed``, seeded with its value on row ``seed_at``."""
+    started = F.col("rn") > seed_at
+    at = F.col("rn") == seed_at
+    return Step(
+        F.when(started, F.lit(1.0 - weight)).otherwise(F.lit(0.0)), F.lit(0.0), None, feed,
+        F.when(at, F.lit(1.0)).when(started, F.lit(weight)).otherwise(F.lit(0.0)),
+    )
 
 
 def fields_of(df: DataFrame, names) -> list[T.StructField]:
@@ -100,36 +123,79 @@ def _compose(first, a, b, lo, run):
     return out
 
 
-def scan(s: Series, **specs: tuple) -> Series:
-    """Add one column per spec ``name=(a, b)`` or ``name=(a, b, floor)``; ``a`` must be >= 0 with a floor."""
+def _count_since(first, marked, before):
+    """Marked rows since the last ``first``, at every row; ``before`` is the count that leads in."""
+    total = np.cumsum(marked) + before
+    base = np.where(first, total - marked, -1.0)
+    return total - np.maximum(np.maximum.accumulate(base), 0.0)
+
+
+def scan(s: Series, **steps: Step) -> Series:
+    """Add one column per step; with a floor, ``a`` must not be negative."""
     base = s.owned()
-    names = list(specs)
-    parts = {f"_{t}_{n}": value.cast("double") for n in names for t, value in zip("abl", specs[n])}
+    names = list(steps)
+    parts = {}
+    for n, step in steps.items():
+        for tag, value in (("a", step.a), ("b", step.b), ("l", step.floor), ("g", step.gain)):
+            if value is not None:
+                parts[f"_{tag}_{n}"] = value.cast("double")
+    feed = {n: step.feed for n, step in steps.items()}
+    floored = [n for n, step in steps.items() if step.floor is not None]
+    # For each recursion the ones that reach it, itself first.
+    reach = {}
+    for n in names:
+        reach[n] = [n, *(reach[feed[n]] if feed[n] else [])]
     group, key, chunk_rows = base.group, list(base.key), base.chunk_rows
     kept = base.df.columns
-    trio = [f"_{tag}_{name}" for name in names for tag in "abl"]
     # Both uses keep all columns and the join below adds no filter, so that they share one shuffle.
     rows = base.df.withColumns(parts)
 
-    def columns(batch, name):
-        a, b = floats(batch, f"_a_{name}"), floats(batch, f"_b_{name}")
-        floor = f"_l_{name}"
-        return a, b, floats(batch, floor) if floor in batch.schema.names else np.full(len(b), NO_FLOOR)
+    def run(batch, first, enter, value, only=names, inputs=True):
+        """Values of the recursions ``only``; without ``inputs`` what is left of the entering values alone."""
+        done = {}
+        for n in only:
+            b = floats(batch, f"_b_{n}") if inputs else np.zeros(batch.num_rows)
+            if feed[n] in done:
+                gain = floats(batch, f"_g_{n}")
+                b = b + np.where(gain == 0.0, 0.0, gain * done[feed[n]])
+            floor = floats(batch, f"_l_{n}") if n in floored and inputs else np.full(batch.num_rows, NO_FLOOR)
+            done[n] = _follow(first, enter[n], floats(batch, f"_a_{n}"), b, floor, value[n])
+        return done
+
+    # Summary of a chunk: value from zero, part of each entering value, floor, and whether it was reset.
+    totals = [f"_c_{n}" for n in names]
+    shares = [f"_m_{n}_{j}" for n in names for j in reach[n]]
+    extra = [f"_l_{n}" for n in floored] + [f"_r_{n}" for n in names]
 
     def reduce_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = {n: (1.0, 0.0, NO_FLOOR) for n in names}
+        zero = dict.fromkeys(names, 0.0)
+        value, left = dict(zero), {j: dict(zero) for j in names}
+        limits = {n: (1.0, 0.0, NO_FLOOR) for n in floored}
+        resets = dict(zero)
         held = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             first = chunk_starts(batch, chunk_rows)
-            added = {}
-            for n in names:
-                composed = _compose(first, *columns(batch, n), run[n])
-                run[n] = tuple(composed[:, -1].tolist())
-                added.update({f"_{t}_{n}": values for t, values in zip("abl", composed)})
-            out = with_columns(batch, group, **added)
             starts = np.flatnonzero(first)
+            none = {n: np.zeros(batch.num_rows) for n in names}
+            done = run(batch, first, none, value)
+            added = {f"_c_{n}": done[n] for n in names}
+            value = {n: float(done[n][-1]) for n in names}
+            for j in names:
+                fed = [n for n in names if j in reach[n]]
+                one = {**none, j: np.ones(batch.num_rows)}
+                part = run(batch, first, one, left[j], fed, inputs=False)
+                added.update({f"_m_{n}_{j}": part[n] for n in fed})
+                left[j].update({n: float(part[n][-1]) for n in fed})
+            for n in floored:
+                added[f"_m_{n}_{n}"], added[f"_c_{n}"], added[f"_l_{n}"] = _compose(
+                    first, floats(batch, f"_a_{n}"), floats(batch, f"_b_{n}"), floats(batch, f"_l_{n}"), limits[n])
+                limits[n] = tuple(float(added[c][-1]) for c in (f"_m_{n}_{n}", f"_c_{n}", f"_l_{n}"))
+            for n in names:
+                added[f"_r_{n}"] = _count_since(first, floats(batch, f"_a_{n}") == 0.0, resets[n])
+                resets[n] = float(added[f"_r_{n}"][-1])
+            out = with_columns(batch, group, **{c: added[c] for c in (*totals, *shares, *extra)})
             if held is not None and first[0]:
                 yield held
             ends = starts[starts > 0] - 1
@@ -139,7 +205,7 @@ def scan(s: Series, **specs: tuple) -> Series:
         if held is not None:
             yield held
 
-    summary_type = T.StructType(fields_of(base.df, group) + doubles(trio))
+    summary_type = T.StructType(fields_of(base.df, group) + doubles((*totals, *shares, *extra)))
     summary = by_group(rows, group, "rn").mapInArrow(reduce_chunks, summary_type)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,12 +213,23 @@ def scan(s: Series, **specs: tuple) -> Series:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            first = batch.column("chunk").to_numpy(zero_copy_only=False) == 0
-            added = {}
-            for n in names:
-                ends = _follow(first, np.zeros(len(first)), *columns(batch, n), value[n])
-                added[f"_v_{n}"] = np.where(first, 0.0, np.append(value[n], ends[:-1]))
-                value[n] = float(ends[-1])
+            numbers = {c: floats(batch, c).tolist() for c in (*totals, *shares, *extra)}
+            chunk = batch.column("chunk").to_pylist()
+            added = {f"_v_{n}": np.zeros(batch.num_rows) for n in names}
+            for i, at in enumerate(chunk):
+                value = value if at else dict.fromkeys(names, 0.0)
+                after = {}
+                for n in names:
+                    added[f"_v_{n}"][i] = value[n]
+                    after[n] = numbers[f"_c_{n}"][i]
+                    for j in reach[n]:
+                        share = numbers[f"_m_{n}_{j}"][i]
+                        # After a reset nothing is left of the old value, not even a NaN.
+                        if share != 0.0 or not numbers[f"_r_{j}"][i]:
+                            after[n] += share * value[j]
+                    if n in floored and after[n] < numbers[f"_l_{n}"][i]:
+                        after[n] = numbers[f"_l_{n}"][i]
+                value = after
             yield with_columns(batch, group, **added)
 
     enter_type = T.StructType(fields_of(base.df, group) + doubles(f"_v_{n}" for n in names))
@@ -164,11 +241,9 @@ def scan(s: Series, **specs: tuple) -> Series:
             if batch.num_rows == 0:
                 continue
             first = chunk_starts(batch, chunk_rows)
-            added = {}
-            for n in names:
-                added[n] = _follow(first, floats(batch, f"_v_{n}"), *columns(batch, n), value[n])
-                value[n] = float(added[n][-1])
-            yield with_columns(batch, kept, **added)
+            done = run(batch, first, {n: floats(batch, f"_v_{n}") for n in names}, value)
+            value = {n: float(done[n][-1]) for n in names}
+            yield with_columns(batch, kept, **done)
 
     fill_type = T.StructType(fields_of(base.df, kept) + doubles(names))
     joined = by_group(rows, group, "rn").join(entering, group, "left").sortWithinPartitions(*group, "rn")

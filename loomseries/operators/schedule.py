@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.series import CHUNK_ROWS, Series
-from .scan import by_group, doubles, fields_of, scan
+from .scan import Step, by_group, doubles, fields_of, scan
 
 
 def priority_schedule(
@@ -28,7 +28,7 @@ def priority_schedule(
     """
     s = Series.of(jobs.select(*key, "id", "at", "bt", "priority"), key, ["at", "id"], grain, chunk_rows)
     arrive, work = F.col("at").cast("double"), F.col("bt").cast("double")
-    s = scan(s, end=(F.lit(1.0), work, arrive + work)).span(1)
+    s = scan(s, end=Step(F.lit(1.0), work, arrive + work)).span(1)
     s = s.add(opens=(F.col("rn") == 1) | (F.col("at") >= s.lag("end")))
     # A busy period goes to the chunk it starts in.
     s = s.owned().add(home=F.when(F.col("opens"), F.col("chunk")))

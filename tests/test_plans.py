@@ -124,3 +124,38 @@ def test_narrowest_interval(spark):
         inside = [n for n in nodes if n[2] <= pos < n[3]]
         want = min(inside, key=lambda n: (n[3] - n[2], -n[2], n[1]))[1] if inside else None
         assert got.get(pos) == want
+
+
+def test_scan_cascade_floor_and_reset(spark):
+    """Cascades, floors and resets over many chunks against a plain loop."""
+    from loomseries.operators.scan import Step, scan, step_after
+
+    rng = random.Random(11)
+    rows = [("hot" if rng.random() < 0.8 else "cold", i, rng.uniform(-5, 5), rng.random() < 0.05) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, t long, x double, cut boolean")
+    s = Series.of(df, ["k"], ["t"], 16, chunk_rows=8)
+    a = F.when((F.col("rn") == 1) | F.col("cut"), 0.0).otherwise(0.7)
+    s = scan(
+        s, e=Step(a, F.col("x")), m=step_after(3, "e", 0.25), mm=step_after(20, "m", 0.5),
+        f=Step(F.lit(0.9), F.lit(-0.1), F.col("x")))
+    got = {(r.k, r.t): r for r in s.df.collect()}
+    for key in ("hot", "cold"):
+        e = m = mm = f = 0.0
+        for n, (_, t, x, cut) in enumerate((r for r in rows if r[0] == key), 1):
+            e = x if n == 1 or cut else 0.7 * e + x
+            m = 0.0 if n < 3 else e if n == 3 else m + (e - m) * 0.25
+            mm = 0.0 if n < 20 else m if n == 20 else mm + (m - mm) * 0.5
+            f = max(x, 0.9 * f - 0.1)
+            r = got[key, t]
+            for name, want in (("e", e), ("m", m), ("mm", mm), ("f", f)):
+                assert abs(r[name] - want) < 1e-9, (name, key, n)
+
+
+def test_scan_keeps_nan_until_a_reset(spark):
+    from loomseries.operators.scan import Step, scan
+
+    df = spark.createDataFrame([("a", i, None if i == 3 else 1.0) for i in range(40)], "k string, t long, x double")
+    s = Series.of(df, ["k"], ["t"], 16, chunk_rows=8)
+    a = F.when(F.col("rn") == 30, 0.0).otherwise(0.5)
+    rows = scan(s, v=Step(a, F.col("x"))).df.orderBy("t").collect()
+    assert [r.v is None for r in rows] == [3 <= i < 29 for i in range(40)]
