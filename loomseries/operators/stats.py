@@ -75,9 +75,8 @@ def block_tree(data: DataFrame, position: str, value: str, levels: int) -> DataF
     """Minimum, maximum and sum per block of ``FAN ** level`` positions, for every level."""
     spread = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
     placed = data.select(F.col(position).alias("_p"), F.col(value).alias("_v"), spread)
-    width = F.pow(F.lit(float(FAN)), F.col("level")).cast("long")
-    block = (F.col("_p") - F.pmod(F.col("_p"), width)) / width
-    return placed.groupBy("level", block.cast("long").alias("block")).agg(
+    block = F.expr(f"_p div cast(pow({FAN}, level) AS bigint)")
+    return placed.groupBy("level", block.alias("block")).agg(
         F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.sum("_v").alias("total"))
 
 
