@@ -199,6 +199,16 @@ def message_cost(messages: DataFrame, key: str, tokens: Column) -> DataFrame:
     return messages.groupBy(key).agg((F.sum(tokens) + F.count(F.lit(1)) * 4 + 3).cast("long").alias("tokens"))
 
 
+def usage_by_model(calls: DataFrame) -> DataFrame:
+    """Calls, prompt and completion tokens per model of a call log."""
+    usage = F.col("response.usage")
+    return calls.groupBy("model").agg(
+        F.count(F.lit(1)).alias("calls"),
+        F.sum(usage["prompt_tokens"]).alias("prompt_tokens"),
+        F.sum(usage["completion_tokens"]).alias("completion_tokens"),
+    )
+
+
 def validation_summary(info: DataFrame) -> DataFrame:
     """Counts over ``(initial_failure_type, total_iterations, final_status)``."""
     failed_first = F.col("initial_failure_type") != "none"

@@ -303,11 +303,9 @@ def kvo(s: Series, short, long) -> Series:
     s = s.span(1)
     s = s.add(price=c.high + c.low + c.close, width=c.high - c.low)
     s = s.add(step=F.signum(c.price - s.lag("price")), last_width=s.lag("width"))
-    # The trend is the last direction that was not flat; 0 until there was one.
-    moved = F.when((c.step != 0) & (c.rn > 1), F.lit(1.0)).otherwise(F.lit(0.0))
-    s = scan(s.add(moved=moved), trend=Step(F.lit(1.0) - c.moved, c.moved * F.coalesce(c.step, F.lit(0.0)))).span(1)
-    turned = (c.rn > 1) & (c.moved == 1) & (c.trend != s.lag("trend"))
-    s = s.add(turned=turned)
+    # The trend is the last direction that was not flat, NULL until there was one.
+    s = s.running_last(trend=F.when((c.step != 0) & (c.rn > 1), c.step)).span(1)
+    s = s.add(turned=~c.trend.eqNullSafe(s.lag("trend")))
     first = F.col("turned") | (c.rn == 1)
     cum_a = F.when(first, F.lit(0.0)).otherwise(F.lit(1.0))
     cum_b = F.when(c.rn == 1, F.lit(0.0)).when(c.turned, c.last_width + c.width).otherwise(c.width)

@@ -87,6 +87,22 @@ def chunk_starts(batch: pa.RecordBatch, chunk_rows: int) -> np.ndarray:
     return (batch.column("rn").to_numpy(zero_copy_only=False) - 1) % chunk_rows == 0
 
 
+def whole_chunks(batches: Iterator[pa.RecordBatch], chunk_rows: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches that are not empty, with their chunk starts.
+
+    A partition must begin with the start of a chunk. Should a plan ever cut a
+    chunk over two tasks, this fails instead of starting from a wrong value.
+    """
+    begun = False
+    for batch in batches:
+        if batch.num_rows:
+            first = chunk_starts(batch, chunk_rows)
+            if not begun and not first[0]:
+                raise RuntimeError("a chunk was split over two tasks")
+            begun = True
+            yield batch, first
+
+
 def with_columns(batch: pa.RecordBatch, keep: list[str], **added: np.ndarray) -> pa.RecordBatch:
     """Kept columns as they are, and added doubles."""
     arrays = [batch.column(n) for n in keep] + [pa.array(v, type=pa.float64()) for v in added.values()]
@@ -173,10 +189,7 @@ def scan(s: Series, **steps: Step) -> Series:
         limits = {n: (1.0, 0.0, NO_FLOOR) for n in floored}
         resets = dict(zero)
         held = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            first = chunk_starts(batch, chunk_rows)
+        for batch, first in whole_chunks(batches, chunk_rows):
             starts = np.flatnonzero(first)
             none = {n: np.zeros(batch.num_rows) for n in names}
             done = run(batch, first, none, value)
@@ -237,10 +250,7 @@ def scan(s: Series, **steps: Step) -> Series:
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = dict.fromkeys(names, 0.0)
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            first = chunk_starts(batch, chunk_rows)
+        for batch, first in whole_chunks(batches, chunk_rows):
             done = run(batch, first, {n: floats(batch, f"_v_{n}") for n in names}, value)
             value = {n: float(done[n][-1]) for n in names}
             yield with_columns(batch, kept, **done)
@@ -272,10 +282,8 @@ def state_scan(
     def pieces(batches: Iterator[pa.RecordBatch]):
         """Runs of rows of one chunk with their outputs and the state after them."""
         now = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            starts = set(np.flatnonzero(chunk_starts(batch, chunk_rows)).tolist())
+        for batch, first in whole_chunks(batches, chunk_rows):
+            starts = set(np.flatnonzero(first).tolist())
             cuts = sorted({0, batch.num_rows, *starts})
             for lo, hi in zip(cuts, cuts[1:]):
                 rows = batch.slice(lo, hi - lo)

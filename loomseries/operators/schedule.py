@@ -63,7 +63,11 @@ def priority_schedule(
     def serve_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = []  # rows of the period that is still open
         for pdf in batches:
+            if pdf.empty:
+                continue
             cuts = np.flatnonzero(pdf["opens"].to_numpy())
+            if not held and not (len(cuts) and cuts[0] == 0):
+                raise RuntimeError("a busy period was split over two tasks")
             if len(cuts) and (held or cuts[-1] > 0):
                 yield serve_periods(pd.concat([*held, pdf.iloc[: cuts[-1]]]))
                 held = []

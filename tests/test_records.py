@@ -157,6 +157,7 @@ def test_files(spark, tmp_path):
         (log / f"{i}.json").write_text(json.dumps(call, indent=1))
     df = files.read_call_log(spark, str(log))
     assert df.agg(F.sum("response.usage.prompt_tokens")).first()[0] == 8
+    assert {r.model: (r.calls, r.prompt_tokens) for r in rec.usage_by_model(df).collect()} == {"m": (1, 3), None: (1, 5)}
     files.append_call_log(df, str(tmp_path / "out"))
     files.append_call_log(df, str(tmp_path / "out"))
     assert files.read_call_log(spark, str(tmp_path / "out")).count() == 4

@@ -4,6 +4,7 @@ import pytest
 from loomseries.operators.indicators import compute
 from loomseries.plans.series import Series
 from loomseries.operators.stats import running_stats
+from loomseries.sources.files import append_batch
 from loomseries.streaming.stateful import AverageTrueRange, MovingAverage, Progress, RunningStats, apply, run_available
 
 
@@ -43,6 +44,16 @@ def test_average_true_range(batches):
     close(values(got, "atr"), values(compute("atr", full, [4], order=["t"], grain=10), "atr"))
 
 
+def test_incremental_save(spark, batches, tmp_path):
+    """Batches land as they are read, and a repeated batch replaces itself."""
+    full, stream = batches
+    write = append_batch(str(tmp_path / "saved"))
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    write(full.filter("t < 7"), 0)
+    assert spark.read.parquet(str(tmp_path / "saved")).count() == 60
+
+
 def test_running_stats_and_progress(batches):
     full, stream = batches
     got = run_available(apply(stream, RunningStats(["sym"], ["t"])))
