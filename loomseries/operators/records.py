@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.numbering import number_rows
 
@@ -110,6 +111,22 @@ def missing_required(required: Column, included: Column) -> Column:
     return F.array_except(required, included)
 
 
+def fill_nulls(value: Column, kind: T.DataType) -> Column:
+    """A record with its missing texts, arrays and maps empty, at every depth; missing structs stay NULL."""
+    if isinstance(kind, T.StringType):
+        return F.coalesce(value, F.lit(""))
+    if isinstance(kind, T.ArrayType):
+        nested = isinstance(kind.elementType, T.StructType)
+        items = F.transform(value, lambda x: fill_nulls(x, kind.elementType)) if nested else value
+        return F.coalesce(items, F.array().cast(kind))
+    if isinstance(kind, T.MapType):
+        return F.coalesce(value, F.create_map().cast(kind))
+    if isinstance(kind, T.StructType):
+        fields = [fill_nulls(value[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    return value
+
+
 def unknown_keys(json: Column, allowed: Sequence[str]) -> Column:
     """Keys of a JSON object that a record with these fields forbids."""
     return F.array_except(F.json_object_keys(json), F.array(*[F.lit(a) for a in allowed]))

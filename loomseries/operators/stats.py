@@ -68,20 +68,29 @@ def kmeans(points: DataFrame) -> DataFrame:
 
 
 # -- range aggregates ----------------------------------------------------
-FAN = 16  # children per node of the block tree
+FAN = 4  # children per node of the block tree
+
+
+def _merged(df: DataFrame, *keys: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("total").alias("total"))
 
 
 def block_tree(data: DataFrame, position: str, value: str, levels: int) -> DataFrame:
-    """Minimum, maximum and sum per block of ``FAN ** level`` positions, for every level."""
-    spread = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
-    placed = data.select(F.col(position).alias("_p"), F.col(value).alias("_v"), spread)
-    block = F.expr(f"_p div cast(pow({FAN}, level) AS bigint)")
-    return placed.groupBy("level", block.alias("block")).agg(
-        F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.sum("_v").alias("total"))
+    """Minimum, maximum and sum per block of ``FAN ** level`` positions, for every level.
+
+    The levels above the first are built from the first, so that the data
+    itself is grouped once.
+    """
+    rows = data.select(F.col(position).cast("long").alias("block"), *[F.col(value).alias(n) for n in ("lo", "hi", "total")])
+    places = _merged(rows, "block")
+    pairs = places.withColumn("block", F.expr(f"block div {FAN}"))
+    first = _merged(pairs, "block").withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(levels))))
+    upper = _merged(first.withColumn("block", F.expr(f"block div cast(pow({FAN}, level - 1) AS bigint)")), "level", "block")
+    return places.withColumn("level", F.lit(0)).unionByName(upper)
 
 
 def range_aggregate(
-    data: DataFrame, position: str, value: str, queries: DataFrame, ident: str, first: str, last: str, levels: int = 8
+    data: DataFrame, position: str, value: str, queries: DataFrame, ident: str, first: str, last: str, levels: int = 16
 ) -> DataFrame:
     """Minimum, maximum and sum of ``value`` over positions ``first..last`` of each query.
 

@@ -307,6 +307,15 @@ def set_difference(spark, d):
     return rec.set_difference(table(spark, d, "part").select("p_partkey"), used)
 
 
+@query("filled_records", """SELECT doc_id, lang, coalesce(n, '') AS note, CASE WHEN n IS NULL THEN [] ELSE [n] END AS notes FROM (
+  SELECT d.doc_id, lang, CASE l.quality WHEN 1 THEN 'good' END AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)""")
+def filled_records(spark, d):
+    note = F.when(F.col("quality") == 1, "good")
+    notes = table(spark, d, "labels").select("doc_id", note.alias("note"), F.when(note.isNotNull(), F.array(note)).alias("notes"))
+    df = table(spark, d, "documents").select("doc_id", "lang").join(notes, "doc_id", "left")
+    return df.select(*[rec.fill_nulls(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
 @query("unknown_keys", "SELECT event_id, list_filter(json_keys(props), lambda k: k <> 'a') AS extra FROM events")
 def unknown_keys(spark, d):
     return table(spark, d, "events").select("event_id", rec.unknown_keys(F.col("props"), ["a"]).alias("extra"))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
+_local_dirs: dict[str, str] = {}  # one folder per local session without a setting
+
 
 def build_session(app: str = "loomseries", master: str = "local[8]", **conf: str) -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
@@ -38,9 +40,15 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that every executor can reach")
-    made = tempfile.mkdtemp(prefix="loomseries-")
-    spark.conf.set(CHECKPOINT_KEY, made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="loomseries-")
+    return _local_dirs[app]
+
+
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, under the application's own id so that it can be removed afterwards."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{kind}/{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -50,7 +58,7 @@ def saved(df: DataFrame) -> DataFrame:
     once however many branches read it, and lost executors lose nothing.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = scratch_path(spark, "tables")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -60,7 +68,7 @@ class GrowingTable:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+        self.path = scratch_path(spark, "tables")
         self.schema = None
         self.batches = 0
 

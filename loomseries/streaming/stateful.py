@@ -8,7 +8,6 @@ before they are applied, so the size of a batch is what bounds a task; set
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..session import shared_dir
+from ..session import scratch_path
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -155,7 +154,7 @@ def apply(stream: DataFrame, processor: Folding) -> DataFrame:
 def run_available(stream: DataFrame) -> DataFrame:
     """Run a stream over what its source holds now and return the rows it wrote."""
     spark: SparkSession = stream.sparkSession
-    folder = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "streams")
     query = (
         stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state")
         .trigger(availableNow=True).start(f"{folder}/rows")

@@ -179,3 +179,10 @@ def test_catalog_entries(spark):
         [([("a", "x")], [("a", "x"), ("b", "y")], {"m.c": [("c", "z")]})],
         f"all_functions {entry}, functions {entry}, source_files map<string,{entry}>")
     assert sorted(r.name for r in rec.catalog_entries(df).collect()) == ["a", "a", "b", "c"]
+
+
+def test_fill_nulls(spark):
+    df = spark.createDataFrame(
+        [((None, None, [(None, 1)], None),)], "r struct<a:string,b:array<int>,c:array<struct<d:string,e:int>>,f:struct<g:string>>")
+    r = df.select(rec.fill_nulls(F.col("r"), df.schema["r"].dataType).alias("r")).first().r
+    assert r.a == "" and r.b == [] and r.c[0].d == "" and r.c[0].e == 1 and r.f is None
