@@ -196,17 +196,23 @@ def base_digits(spark, d):
     return table(spark, d, "orders").select("o_orderkey", nm.to_base(F.col("o_orderkey"), "0123456789abcdef").alias("digits"))
 
 
-@query("alaw_codes", """WITH s AS (SELECT event_id, CAST(floor(value * 100) AS BIGINT) % 65536 - 32768 AS pcm FROM events),
+ALAW_SQL = """s AS (SELECT event_id, CAST(floor(value * 100) AS BIGINT) % 65536 - 32768 AS pcm FROM events),
   a AS (SELECT *, CASE WHEN pcm < 0 THEN -pcm - 1 ELSE pcm END AS m FROM s),
   b AS (SELECT *, CASE WHEN m >= 16384 THEN 7 WHEN m >= 8192 THEN 6 WHEN m >= 4096 THEN 5 WHEN m >= 2048 THEN 4 WHEN m >= 1024 THEN 3
-    WHEN m >= 512 THEN 2 WHEN m >= 256 THEN 1 ELSE 0 END AS g FROM a)
-  SELECT event_id, CAST(xor(CASE WHEN pcm < 0 THEN 128 ELSE 0 END + g * 16 + ((m >> CASE WHEN g = 0 THEN 4 ELSE g + 3 END) & 15), 213) AS INTEGER) AS code FROM b""")
+    WHEN m >= 512 THEN 2 WHEN m >= 256 THEN 1 ELSE 0 END AS g FROM a),
+  e AS (SELECT event_id, pcm, CAST(xor(CASE WHEN pcm < 0 THEN 128 ELSE 0 END + g * 16 + ((m >> CASE WHEN g = 0 THEN 4 ELSE g + 3 END) & 15), 213) AS INTEGER) AS code FROM b)"""
+
+
+@query("alaw_codes", f"WITH {ALAW_SQL} SELECT event_id, code FROM e")
 def alaw_codes(spark, d):
     pcm = (F.floor(F.col("value") * 100).cast("long") % 65536 - 32768).cast("int")
     return table(spark, d, "events").select("event_id", nm.alaw_encode(pcm).alias("code"))
 
 
-@query("alaw_round_trip")
+@query("alaw_round_trip", f"""WITH {ALAW_SQL}, x AS (SELECT *, xor(code, 213) AS p FROM e),
+  y AS (SELECT *, (p >> 4) & 7 AS seg, (p & 15) * 16 + 8 AS low FROM x),
+  z AS (SELECT *, (low + CASE WHEN seg > 0 THEN 256 ELSE 0 END) << greatest(seg - 1, 0) AS size FROM y)
+  SELECT event_id, CAST(pcm AS INTEGER) AS pcm, CAST(CASE WHEN p & 128 <> 0 THEN -size ELSE size END AS INTEGER) AS back FROM z""")
 def alaw_round_trip(spark, d):
     pcm = (F.floor(F.col("value") * 100).cast("long") % 65536 - 32768).cast("int")
     df = table(spark, d, "events").select("event_id", pcm.alias("pcm"))
@@ -231,12 +237,24 @@ def _jobs(spark, d):
         F.ceil(F.col("value") * 50).cast("long").alias("bt"), (F.col("event_id") % 7).alias("priority"))
 
 
-@query("priority_schedule")
+JOBS_SQL = """jobs AS (SELECT user_id, event_id AS id, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS at, CAST(ceil(value * 50) AS BIGINT) AS bt,
+    event_id % 7 AS priority FROM events),
+  served AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS now, CAST([] AS BIGINT[]) AS done, CAST(-1 AS BIGINT) AS id FROM jobs
+    UNION ALL SELECT user_id, greatest(now, j[2]) + j[3], list_append(done, j[1]), j[1] FROM (
+      SELECT s.user_id, s.now, s.done, arg_min([k.id, k.at, k.bt], CASE WHEN k.at <= s.now THEN [0, 0, k.priority, k.at, k.id]
+        ELSE [1, k.at, k.priority, k.at, k.id] END) AS j
+      FROM served s JOIN jobs k ON k.user_id = s.user_id AND NOT list_contains(s.done, k.id) GROUP BY ALL)),
+  timed AS (SELECT j.*, CAST(now AS DOUBLE) AS ct, CAST(now - j.at AS DOUBLE) AS tat, CAST(now - j.at - j.bt AS DOUBLE) AS wt
+    FROM served s JOIN jobs j ON j.id = s.id)"""
+
+
+@query("priority_schedule", f"WITH RECURSIVE {JOBS_SQL} SELECT * FROM timed")
 def priority_schedule(spark, d):
     return schedule.priority_schedule(_jobs(spark, d), ["user_id"], 3600)
 
 
-@query("schedule_averages")
+@query("schedule_averages", f"""WITH RECURSIVE {JOBS_SQL} SELECT user_id, round(avg(ct), 4) AS avg_ct, round(avg(tat), 4) AS avg_tat,
+  round(avg(wt), 4) AS avg_wt FROM timed GROUP BY user_id""")
 def schedule_averages(spark, d):
     out = schedule.schedule_averages(schedule.priority_schedule(_jobs(spark, d), ["user_id"], 3600), ["user_id"])
     return rounded(out, ["avg_ct", "avg_tat", "avg_wt"], 4)
