@@ -450,7 +450,12 @@ def affine_round_trip(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.affine_decrypt(cipher, 7, 20).alias("text"))
 
 
-@query("lcs_names")
+@query("lcs_names", """WITH RECURSIVE pairs AS (SELECT DISTINCT p_name AS a, lower(p_type) AS b FROM part),
+  r AS (SELECT a, b, 0 AS i, list_transform(range(length(b) + 1), lambda x: CAST(0 AS BIGINT)) AS cells FROM pairs UNION ALL
+    SELECT a, b, i + 1, list_transform(range(length(b) + 1), lambda j: list_max(list_transform(range(j + 1), lambda k:
+      greatest(cells[k + 1], CASE WHEN k > 0 AND substr(b, k, 1) = substr(a, i + 1, 1) THEN cells[k] + 1 ELSE 0 END))))
+    FROM r WHERE i < length(a))
+  SELECT p_partkey, CAST(cells[-1] AS INTEGER) AS lcs FROM part JOIN r ON a = p_name AND b = lower(p_type) AND i = length(a)""")
 def lcs_names(spark, d):
     return table(spark, d, "part").select("p_partkey", tx.lcs_length(F.col("p_name"), F.lower("p_type")).alias("lcs"))
 
