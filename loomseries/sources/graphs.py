@@ -22,12 +22,12 @@ PATHS = T.StructType([
 def read_dot(spark: SparkSession, path: str) -> DataFrame:
     """Statements ``(graph, statement)`` of the .dot files under ``path``; the graph is the file's stem.
 
-    Files are cut at the semicolons while they are read, so a file need not
-    fit into one row.
+    Files are cut where an attribute list ends a line, so a file need not fit
+    into one row; a statement without attributes stays with the one after it.
     """
-    lines = spark.read.option("lineSep", ";").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.dot").text(path)
+    lines = spark.read.option("lineSep", "];\n").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.dot").text(path)
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.dot$", 1)
-    return lines.select(stem.alias("graph"), F.concat("value", F.lit(";")).alias("statement"))
+    return lines.select(stem.alias("graph"), F.concat("value", F.lit("];")).alias("statement"))
 
 
 def parse_edges(statements: DataFrame, text: str) -> DataFrame:

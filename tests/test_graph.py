@@ -1,3 +1,4 @@
+import json
 import random
 
 from loomseries.operators import graph as gr
@@ -107,6 +108,15 @@ def test_dot_files(spark, tmp_path):
     nodes = {r.node: (r.type, r.label) for r in gs.parse_nodes(statements, "statement").collect()}
     assert nodes == {"n1": ("START", "START | START"), "n2": ("CONDITION", "CONDITION | a[i] > 0"), "n3": ("RETURN", "RETURN")}
 
+    read = gs.read_dot(spark, str(tmp_path))
+    assert {(r.graph, r.src, r.dst) for r in gs.parse_edges(read, "statement").collect()} == {("main", *e) for e in edges}
+    assert {r.node: (r.type, r.label) for r in gs.parse_nodes(read, "statement").collect()} == nodes
+
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "main.json").write_text(json.dumps(
+        {"source_file": "main.dot", "total_paths": 1, "paths": [{"path_id": 1, "path": "START --> RETURN"}]}, indent=2))
+    assert [tuple(r) for r in gs.read_paths(spark, str(tmp_path / "docs")).collect()] == [("main", 1, "START --> RETURN")]
+
     made = edges_of(spark, {"g": ["AB", "BC"]})
     plain = spark.createDataFrame([("g", n, "STATEMENT", f'say "{n}"') for n in "ABC"], "graph string, node string, type string, code string")
     gs.write_dot(plain, made, str(tmp_path / "out"))
