@@ -13,7 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 21  # texts are handled in pieces of about this size, which bounds the temporary arrays
+# Texts are handled in pieces of about this size, which bounds the temporary arrays.
+PIECE_BYTES = 1 << 21
+PIECE_ROWS = 4096
 
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -111,16 +113,41 @@ def texts_of(column: pa.Array, piece: int = PIECE_BYTES) -> Iterator[tuple[int,
     row = 0
     while row < len(column):
         end = max(row + 1, int(np.searchsorted(at, at[row] + piece, side="right")) - 1)
+        end = min(end, row + PIECE_ROWS, len(column))
         yield row, Texts(data[at[row] : at[end]], at[row : end + 1] - at[row])
         row = end
 
 
-def grams(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of n neighbouring hashes; one entry for every place that has n of them."""
-    if len(hashes) < n:
-        return np.zeros(0, np.uint64)
-    count = len(hashes) - n + 1
-    total = np.zeros(count, np.uint64)
+def grams(hashes: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
+    """Hash of the n neighbouring hashes from each place in ``at`` on."""
+    total = np.zeros(len(at), np.uint64)
     for i in range(n):
-        total = total * np.uint64(0xD6E8FEB86659FD93) + hashes[i : i + count]
+        total = total * np.uint64(0xD6E8FEB86659FD93) + hashes[at + i]
     return mix(total + np.uint64(n))
+
+
+def sequence_hashes(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Hash of the hashes between each two neighbouring ``cuts``, which depends on their order."""
+    n = len(hashes)
+    up, down = _tables(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(hashes + np.uint64(_BASE)) * up[:n], out=sums[1:])
+    return mix((sums[cuts[1:]] - sums[cuts[:-1]]) * down[cuts[:-1]] + np.diff(cuts).astype(np.uint64))
+
+
+def binary_rows(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as an Arrow binary column."""
+    rows = np.ascontiguousarray(rows)
+    width = rows.shape[1] * rows.itemsize
+    offsets = (np.arange(len(rows) + 1) * width).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
+
+
+def matrix_of(column: pa.Array, dtype, width: int) -> np.ndarray:
+    """The inverse of ``binary_rows``; every value must have the full width."""
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    at = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1]
+    size = np.dtype(dtype).itemsize * width
+    if not len(column):
+        return np.zeros((0, width), dtype)
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[0] + size * len(column)].view(dtype).reshape(-1, width)
