@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, minhash, mixing, quality, rules, sharding, topk
+from . import bpe, langid, minhash, mixing, quality, rules, sharding, topk, warczip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,11 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warczip.archive(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 TOP_K_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
@@ -67,7 +72,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_sharding, op2_bpe, op3_topk, op4_quality, op5_minhash, op6_mixing, op7_language, op8_rules)}
+        op1_sharding, op2_bpe, op3_topk, op4_quality, op5_minhash, op6_mixing, op7_language, op8_rules, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
