@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, mixing, quality, rules, sharding, topk, warczip
+from . import bpe, langid, linededup, minhash, mixing, quality, rules, sharding, topk, warczip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +54,12 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line dedup leaves of every document, as a digest of the text."""
+    cleaned = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", "removed_lines", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warczip.archive(table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
@@ -72,7 +79,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_sharding, op2_bpe, op3_topk, op4_quality, op5_minhash, op6_mixing, op7_language, op8_rules, op10_warc)}
+        op1_sharding, op2_bpe, op3_topk, op4_quality, op5_minhash, op6_mixing, op7_language, op8_rules, op9_lines, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
