@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scan import fields_of
@@ -19,25 +20,32 @@ def fold_aggregate(
     """``combine`` over the values of each key; it must be associative and commutative.
 
     Every task first folds its own rows to one value per key, so what is
-    shuffled and brought together for a key is one row per task.
+    shuffled and brought together for a key is one row per task. Rows are
+    sorted by key for that, and one key's value is held at a time. NULL values
+    don't count, as in SQL; a key without other values gets NULL.
     """
-    pairs = df.select(key, value)
+    pairs = df.select(key, F.col(value).cast("double").alias(out))
     schema = T.StructType([*fields_of(df, [key]), T.StructField(out, T.DoubleType())])
 
-    def fold(values) -> float:
-        return float(functools.reduce(combine, values, identity))
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict = {}
-        for pdf in batches:
-            for name, values in pdf.groupby(key, sort=False, dropna=False)[value]:
-                kept[name] = combine(kept.get(name, identity), fold(values.tolist()))
-        yield pd.DataFrame({key: list(kept), out: [float(v) for v in kept.values()]})
-
-    def final(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({key: [pdf[key].iloc[0]], out: [fold(pdf[out].tolist())]})
-
-    return pairs.mapInPandas(partial, schema).groupBy(key).applyInPandas(final, schema)
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, now, total = False, None, None
+        for batch in batches:
+            names, folded = [], []
+            for name, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not open_ or name != now:
+                    if open_:
+                        names.append(now)
+                        folded.append(total)
+                    open_, now, total = True, name, None
+                if x is not None:
+                    total = float(combine(identity if total is None else total, x))
+            yield pa.RecordBatch.from_arrays([pa.array(names, batch.schema.field(0).type), pa.array(folded, pa.float64())], [key, out])
+            kind = batch.schema.field(0).type
+        if open_:
+            yield pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([total], pa.float64())], [key, out])
+
+    partial = pairs.sortWithinPartitions(key).mapInArrow(runs, schema)
+    return partial.repartition(key).sortWithinPartitions(key).mapInArrow(runs, schema)
 
 
 def call_rows(

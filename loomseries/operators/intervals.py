@@ -24,13 +24,19 @@ def asof_last(
 
     Both sides are laid into one series, in which the value of the newest
     right row is carried forward. No pair of rows is formed, and a dominant
-    key is cut into chunks.
+    key is cut into chunks. Of right rows at one time the largest ``ident``
+    counts. A left row keeps its place with a NULL key (which matches NULL keys)
+    and with a NULL time (which comes before all others).
     """
     keys = list(key)
     payload = F.struct(*columns)
-    lefts = left.select(*keys, at, F.lit(1).alias("_side"), F.col(ident).cast("string").alias("_id"),
+    left_id, right_id = F.col(ident), F.col(ident)
+    if left.schema[ident].dataType != right.schema[ident].dataType:
+        # Ids are only compared within a side; the left ones have to have a type that fits.
+        left_id = F.lit(None).cast(right.schema[ident].dataType)
+    lefts = left.select(*keys, at, F.lit(1).alias("_side"), left_id.alias("_id"),
                         F.struct(*[c for c in left.columns if c not in (*keys, at)]).alias("_left"))
-    rights = right.select(*keys, at, F.lit(0).alias("_side"), F.col(ident).cast("string").alias("_id"),
+    rights = right.select(*keys, at, F.lit(0).alias("_side"), right_id.alias("_id"),
                           payload.alias("_right"))
     both = lefts.unionByName(rights, allowMissingColumns=True)
     s = Series.of(both, keys, [at, "_side", "_id"], grain, chunk_rows).running_last(_found=F.col("_right"))

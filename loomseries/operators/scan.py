@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.numbering import matched
 from ..plans.series import Series
 from ..session import saved
 
@@ -77,6 +78,30 @@ def by_group(df: DataFrame, group: list[str], order: str) -> DataFrame:
     return df.repartition(*group).sortWithinPartitions(*group, order)
 
 
+def homed(df: DataFrame, key: list[str]) -> DataFrame:
+    """Add ``_h``, a hash of the key that is never NULL: chunks are dealt out and joined by it."""
+    return df.withColumn("_h", F.xxhash64(*key))
+
+
+def by_home(df: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of a chunk together in one partition, in order."""
+    return df.repartition("_h", "chunk").sortWithinPartitions("_h", "chunk", *key, "rn")
+
+
+def join_chunks(rows: DataFrame, per_chunk: DataFrame, key: list[str]) -> DataFrame:
+    """Each row with the columns of its chunk; NULL keys have chunks too.
+
+    The keys are compared after the join by hash, so that both sides keep the
+    partitioning of ``by_home``.
+    """
+    other = per_chunk.withColumnsRenamed({n: f"_on_{n}" for n in (*key, "_h", "chunk")})
+    same = (rows["_h"] == other["_on__h"]) & (rows["chunk"] == other["_on_chunk"])
+    for n in key:
+        a, b = rows[n], other[f"_on_{n}"]
+        same = same & F.coalesce(a == b, a.isNull() & b.isNull())
+    return rows.join(other, same, "left").drop("_on__h", "_on_chunk", *[f"_on_{n}" for n in key])
+
+
 def floats(batch: pa.RecordBatch, name: str) -> np.ndarray:
     """A column as doubles, NULL as NaN."""
     return batch.column(name).to_numpy(zero_copy_only=False).astype(float)
@@ -148,7 +173,8 @@ def _count_since(first, marked, before):
 
 def scan(s: Series, **steps: Step) -> Series:
     """Add one column per step; with a floor, ``a`` must not be negative."""
-    base = s.owned()
+    whole = s.owned()
+    base = replace(whole, df=homed(whole.df, list(whole.key)))
     names = list(steps)
     parts = {}
     for n, step in steps.items():
@@ -161,8 +187,8 @@ def scan(s: Series, **steps: Step) -> Series:
     reach = {}
     for n in names:
         reach[n] = [n, *(reach[feed[n]] if feed[n] else [])]
-    group, key, chunk_rows = base.group, list(base.key), base.chunk_rows
-    kept = base.df.columns
+    group, key, chunk_rows = [*base.group, "_h"], list(base.key), base.chunk_rows
+    kept = whole.df.columns
     # Both uses keep all columns and the join below adds no filter, so that they share one shuffle.
     rows = base.df.withColumns(parts)
 
@@ -219,7 +245,7 @@ def scan(s: Series, **steps: Step) -> Series:
             yield held
 
     summary_type = T.StructType(fields_of(base.df, group) + doubles((*totals, *shares, *extra)))
-    summary = by_group(rows, group, "rn").mapInArrow(reduce_chunks, summary_type)
+    summary = by_home(rows, key).mapInArrow(reduce_chunks, summary_type)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = dict.fromkeys(names, 0.0)
@@ -256,10 +282,10 @@ def scan(s: Series, **steps: Step) -> Series:
             yield with_columns(batch, kept, **done)
 
     fill_type = T.StructType(fields_of(base.df, kept) + doubles(names))
-    joined = by_group(rows, group, "rn").join(entering, group, "left").sortWithinPartitions(*group, "rn")
+    joined = join_chunks(by_home(rows, key), entering, key).sortWithinPartitions("_h", "chunk", *key, "rn")
     filled = joined.mapInArrow(fill, fill_type)
     clean = {n: F.when(~F.isnan(n), F.col(n)) for n in names}
-    return replace(base, df=filled.withColumns(clean))
+    return replace(whole, df=filled.withColumns(clean))
 
 
 def state_scan(
@@ -309,7 +335,7 @@ def state_scan(
     state_type = T.StructType(fields_of(base.df, group) + doubles(state))
 
     def with_state(entering: DataFrame) -> DataFrame:
-        joined = base.df.join(entering, group)
+        joined = matched(base.df, entering, group)
         return by_group(joined, group, "rn")
 
     def run_chunks(entering: DataFrame) -> DataFrame:
@@ -328,12 +354,12 @@ def state_scan(
         same = F.lit(True)
         for c in state:
             same = same & F.col(c).eqNullSafe(F.col(f"{c}_old"))
-        changed = saved(following.join(old, group).filter(~same).select(*group, *state))
+        changed = saved(matched(following, old, group).filter(~same).select(*group, *state))
         if changed.isEmpty():
             break
         redone = run_chunks(changed)
-        entering = saved(entering.join(changed, group, "left_anti").unionByName(changed))
-        ends = saved(ends.join(changed.select(*group), group, "left_anti").unionByName(redone))
+        entering = saved(matched(entering, changed, group, "left_anti").unionByName(changed))
+        ends = saved(matched(ends, changed.select(*group), group, "left_anti").unionByName(redone))
 
     fill_type = T.StructType(fields_of(base.df, kept) + doubles(outputs))
     filled = with_state(entering).mapInArrow(fill, fill_type)

@@ -17,9 +17,7 @@ def running_stats(s: Series, column: str) -> Series:
     Sums are taken of the distances from the key's first value, which keeps
     them small; they run inside chunks and over chunk totals.
     """
-    key = list(s.key)
-    first = s.df.filter("rn = 1").select(*key, F.col(column).alias("_k"))
-    shifted = Series(s.df.join(first, key), s.key, s.order, s.chunk_rows)
+    shifted = s.running_last(_k=F.when(F.col("rn") == 1, F.col(column)))
     away = F.col(column) - F.col("_k")
     sums = shifted.running_sum(_s1=away, _s2=away * away)
     n = F.col("rn").cast("double")
@@ -75,18 +73,31 @@ def _merged(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("total").alias("total"))
 
 
+def _floor_div(a: str, b: str) -> str:
+    """Whole-number division that rounds down, also below 0."""
+    return f"(({a} - pmod({a}, {b})) div {b})"
+
+
 def block_tree(data: DataFrame, position: str, value: str, levels: int) -> DataFrame:
     """Minimum, maximum and sum per block of ``FAN ** level`` positions, for every level.
 
-    The levels above the first are built from the first, so that the data
-    itself is grouped once.
+    Each four levels are built from the highest one below them, so rows are
+    repeated four times at most, and then only those of grouped blocks.
     """
     rows = data.select(F.col(position).cast("long").alias("block"), *[F.col(value).alias(n) for n in ("lo", "hi", "total")])
     places = _merged(rows, "block")
-    pairs = places.withColumn("block", F.expr(f"block div {FAN}"))
-    first = _merged(pairs, "block").withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(levels))))
-    upper = _merged(first.withColumn("block", F.expr(f"block div cast(pow({FAN}, level - 1) AS bigint)")), "level", "block")
-    return places.withColumn("level", F.lit(0)).unionByName(upper)
+    tree = places.withColumn("level", F.lit(0))
+    below, done = places.withColumn("block", F.expr(_floor_div("block", f"{FAN}L"))), 1
+    below = _merged(below, "block")
+    while done <= levels:
+        top = min(done + 3, levels)
+        some = below.withColumn("level", F.explode(F.sequence(F.lit(done), F.lit(top))))
+        width = f"cast(pow({FAN}, level - {done}) AS bigint)"
+        some = _merged(some.withColumn("block", F.expr(_floor_div("block", width))), "level", "block")
+        tree = tree.unionByName(some)
+        below = some.filter(F.col("level") == top).drop("level").withColumn("block", F.expr(_floor_div("block", f"{FAN}L")))
+        below, done = _merged(below, "block"), top + 1
+    return tree
 
 
 def range_aggregate(
@@ -95,27 +106,30 @@ def range_aggregate(
     """Minimum, maximum and sum of ``value`` over positions ``first..last`` of each query.
 
     A range splits into few whole blocks of the tree, so each query joins on a
-    small number of (level, block) keys, however long it is. Positions are
-    whole numbers from 0; the top level takes ranges beyond ``FAN ** levels``.
+    small number of (level, block) keys, however long it is; the top level takes
+    ranges beyond ``FAN ** levels``. A query whose range has no rows keeps its
+    place, with the sum 0 and no minimum or maximum.
     """
     tree = block_tree(data, position, value, levels)
-    lo, hi = F.greatest(F.col(first), F.lit(0)).cast("long"), F.col(last).cast("long") + 1
     asked = queries.select(
-        ident, lo.alias("_lo"), hi.alias("_hi"), F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
-    width = F.pow(F.lit(float(FAN)), F.col("level")).cast("long")
-    asked = asked.withColumn("_w", width)
+        ident, F.col(first).cast("long").alias("_lo"), (F.col(last).cast("long") + 1).alias("_hi"),
+        F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
+    asked = asked.withColumn("_w", F.pow(F.lit(float(FAN)), F.col("level")).cast("long"))
     # Whole blocks of this level inside the range, and of the next level, which take the middle over.
+    wide = f"(_w * {FAN})"
     asked = asked.selectExpr(
         f"{ident}", "level",
-        "(_lo + _w - 1) div _w AS a", "_hi div _w AS b",
-        f"((_lo + _w * {FAN} - 1) div (_w * {FAN})) * {FAN} AS c", f"(_hi div (_w * {FAN})) * {FAN} AS d",
+        f"{_floor_div('(_lo + _w - 1)', '_w')} AS a", f"{_floor_div('_hi', '_w')} AS b",
+        f"{_floor_div(f'(_lo + {wide} - 1)', wide)} * {FAN} AS c", f"{_floor_div('_hi', wide)} * {FAN} AS d",
     ).filter("a < b")
     run = "IF({0} < {1}, sequence({0}, {1} - 1), cast(array() AS array<bigint>))"
     middle = f"c < d AND level < {levels}"
     blocks = f"IF({middle}, concat({run.format('a', 'c')}, {run.format('d', 'b')}), sequence(a, b - 1))"
     needed = asked.selectExpr(f"{ident}", "level", f"explode({blocks}) AS block")
-    return needed.join(tree, ["level", "block"]).groupBy(ident).agg(
-        F.min("lo").alias("min_value"), F.max("hi").alias("max_value"), F.sum("total").alias("sum_value"))
+    found = needed.join(tree, ["level", "block"]).select(ident, "lo", "hi", "total")
+    every = queries.select(ident, *[F.lit(None).cast(found.schema[n].dataType).alias(n) for n in ("lo", "hi", "total")])
+    return found.unionByName(every).groupBy(ident).agg(
+        F.min("lo").alias("min_value"), F.max("hi").alias("max_value"), F.coalesce(F.sum("total"), F.lit(0)).alias("sum_value"))
 
 
 def point_update(data: DataFrame, updates: DataFrame, position: str, value: str) -> DataFrame:

@@ -33,10 +33,10 @@ def nearest(df: DataFrame, vector: str, ident: str, query: Sequence[float], k: i
     """The ``k`` rows closest to one query vector by squared distance of the unit vectors.
 
     One pass over the table: each task keeps its best k. Ties go to the
-    smaller id.
+    smaller id. A query vector without direction (zero or empty) is near nothing.
     """
     size = math.sqrt(sum(float(x) ** 2 for x in query))
-    target = F.array(*[F.lit(float(x) / size) for x in query])
+    target = F.array(*[F.lit(float(x) / size) for x in query if size]).cast("array<double>")
     wide = F.col(vector).cast("array<double>")
     near = F.try_divide(dot(wide, target), F.sqrt(dot(wide, wide)))
     # Between unit vectors the squared distance is 2 - 2 cos.

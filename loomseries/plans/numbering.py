@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from decimal import Decimal
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,21 +41,34 @@ def bucket_of(df: DataFrame, order: str, grain: int) -> Column:
     return F.expr(f"{value} div {int(grain)}")
 
 
+def matched(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal columns, where NULL equals NULL."""
+    other = right.withColumnsRenamed({n: f"_on_{n}" for n in on})
+    same = reduce(and_, [left[n].eqNullSafe(other[f"_on_{n}"]) for n in on])
+    return left.join(other, same, how).drop(*[f"_on_{n}" for n in on])
+
+
 def number_rows(
     df: DataFrame, key: Sequence[str], order: Sequence[str], grain: int, name: str = "rn"
 ) -> DataFrame:
-    """Add ``name``: 1, 2, 3, ... per ``key`` in ``order``; ``order`` must be unique per key."""
+    """Add ``name``: 1, 2, 3, ... per ``key`` in ``order``; ``order`` must be unique per key.
+
+    A NULL key is a key like any other, and NULL order values come first. The
+    offset of a bucket travels as one row more, ahead of the bucket's own rows,
+    so no join can lose any of them.
+    """
     keys = list(key)
     placed = df.withColumn("_bucket", bucket_of(df, order[0], grain))
     sizes = placed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    both = placed.unionByName(offsets, allowMissingColumns=True)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(F.col("_skip").isNull(), *order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     return (
-        placed.withColumn("_pos", F.row_number().over(inside))
-        .join(offsets, [*keys, "_bucket"])
-        .withColumn(name, (F.col("_pos") + F.col("_skip")).cast("long"))
-        .drop("_bucket", "_pos", "_skip")
+        both.withColumn(name, (F.row_number().over(inside) - 1 + F.max("_skip").over(upto)).cast("long"))
+        .filter("_skip IS NULL")
+        .drop("_bucket", "_skip")
     )
 
 
@@ -70,5 +85,5 @@ def global_rank(df: DataFrame, *order, name: str = "rank") -> DataFrame:
     sizes = fixed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"))
-    joined = fixed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    joined = fixed.withColumn("_part", part).join(offsets, "_part")
     return joined.withColumn(name, (F.col("_skip") + place + 1).cast("long")).drop("_id", "_part", "_skip")

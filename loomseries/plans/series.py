@@ -76,14 +76,14 @@ class Series:
         return replace(self, df=self.df.withColumns(columns))
 
     def span(self, n: int) -> "Series":
-        """Copy the last ``n`` rows of each chunk into the chunk after it."""
+        """Copy the last ``n`` rows before each chunk into it; they may come from several chunks."""
         if n <= self.halo:
             return self
-        if n > self.chunk_rows:
-            raise ValueError(f"a frame of {n} rows needs chunks of at least {n} rows")
         base = self.owned()
-        tail = (F.col("rn") - 1) % F.lit(self.chunk_rows) >= F.lit(self.chunk_rows - n)
-        homes = F.when(tail, F.array(F.col("chunk"), F.col("chunk") + 1)).otherwise(F.array(F.col("chunk")))
+        # A row at place p of its chunk is among the last n rows before the i-th chunk after it if p >= i * chunk_rows - n.
+        place = (F.col("rn") - 1) % F.lit(self.chunk_rows)
+        ahead = F.floor((place + F.lit(n)) / F.lit(self.chunk_rows)).cast("long")
+        homes = F.sequence(F.col("chunk"), F.col("chunk") + ahead)
         copied = (
             base.df.withColumn("_home", F.col("chunk"))
             .withColumn("chunk", F.explode(homes))
@@ -98,19 +98,19 @@ class Series:
         return replace(self, df=self.df.filter("_own").drop("_own"), halo=0)
 
     # -- running totals -------------------------------------------------
+    def _with_carried(self, carried: DataFrame) -> "Series":
+        """One row more per chunk, ahead of its rows (its ``rn`` is NULL), with what earlier chunks hand on."""
+        return replace(self, df=self.df.unionByName(carried, allowMissingColumns=True))
+
     def running_sum(self, **terms: Column) -> "Series":
-        """Sum from the first row of the key: sum inside the chunk plus the total of earlier chunks."""
+        """Sum from the first row of the key: the total of earlier chunks and the rows of the chunk so far."""
         base = self.owned().add(**{f"_t_{k}": v for k, v in terms.items()})
         totals = base.df.groupBy(*self.group).agg(*[F.sum(f"_t_{k}").alias(f"_c_{k}") for k in terms])
         before = Window.partitionBy(*self.key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-        carried = totals.select(
-            *self.group, *[F.coalesce(F.sum(f"_c_{k}").over(before), F.lit(0.0)).alias(f"_b_{k}") for k in terms]
-        )
+        carried = totals.select(*self.group, *[F.sum(f"_c_{k}").over(before).alias(f"_t_{k}") for k in terms])
         upto = self.w.rowsBetween(Window.unboundedPreceding, 0)
-        inside = base.add(**{f"_t_{k}": F.sum(f"_t_{k}").over(upto) for k in terms})
-        joined = inside.df.join(carried, self.group)
-        done = joined.withColumns({k: F.col(f"_t_{k}") + F.col(f"_b_{k}") for k in terms})
-        return replace(base, df=done.drop(*[f"_{p}_{k}" for p in "tb" for k in terms]))
+        done = base._with_carried(carried).add(**{k: F.sum(f"_t_{k}").over(upto) for k in terms})
+        return replace(base, df=done.df.filter("rn IS NOT NULL").drop(*[f"_t_{k}" for k in terms]))
 
     # -- carried values -------------------------------------------------
     def running_last(self, **columns: Column) -> "Series":
@@ -121,13 +121,11 @@ class Series:
         )
         before = Window.partitionBy(*self.key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
         carried = ends.select(
-            *self.group, *[F.last(f"_c_{k}", ignorenulls=True).over(before).alias(f"_b_{k}") for k in columns]
+            *self.group, *[F.last(f"_c_{k}", ignorenulls=True).over(before).alias(f"_t_{k}") for k in columns]
         )
         upto = self.w.rowsBetween(Window.unboundedPreceding, 0)
-        inside = base.add(**{f"_t_{k}": F.last(f"_t_{k}", ignorenulls=True).over(upto) for k in columns})
-        joined = inside.df.join(carried, self.group)
-        done = joined.withColumns({k: F.coalesce(f"_t_{k}", f"_b_{k}") for k in columns})
-        return replace(base, df=done.drop(*[f"_{p}_{k}" for p in "tb" for k in columns]))
+        done = base._with_carried(carried).add(**{k: F.last(f"_t_{k}", ignorenulls=True).over(upto) for k in columns})
+        return replace(base, df=done.df.filter("rn IS NOT NULL").drop(*[f"_t_{k}" for k in columns]))
 
 
 def ratio(top: Column, bottom: Column) -> Column:

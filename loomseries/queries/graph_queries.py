@@ -65,10 +65,10 @@ def graph_trimmed(spark, d):
     return gr.trim_unreachable(trade(spark, d), _entry(spark, "r0")).select("src", "dst")
 
 
-@query("graph_closure", f"""WITH RECURSIVE {TRADE_SQL}, t AS (SELECT src, dst FROM trade WHERE src[1] <> 'o'),
-  b AS (SELECT src, dst FROM t UNION SELECT b.src, t.dst FROM b JOIN t ON t.src = b.dst) SELECT src, dst FROM b""")
+@query("graph_closure", f"""WITH RECURSIVE {TRADE_SQL}, 
+  b AS (SELECT src, dst FROM trade UNION SELECT b.src, t.dst FROM b JOIN trade t ON t.src = b.dst) SELECT src, dst FROM b""")
 def graph_closure(spark, d):
-    return gr.transitive_closure(trade(spark, d).filter(~F.col("src").startswith("o"))).select("src", "dst")
+    return gr.transitive_closure(trade(spark, d)).select("src", "dst")
 
 
 @query("graph_paths", f"""WITH RECURSIVE {TRADE_SQL}, p AS (SELECT 'r' || r_regionkey AS last, 'r' || r_regionkey AS path FROM region UNION ALL
@@ -126,11 +126,11 @@ CHAIN_SQL = TALK_SQL + """, o AS (SELECT conv_id, src, count(*) AS n FROM flow G
 def _talk_nodes(spark, d):
     return table(spark, d, "conversations").select(
         F.col("conv_id").alias("graph"), F.col("turn").alias("node"), F.col("role").alias("type"),
-        F.length("text").cast("string").alias("code"), F.lit(0).alias("cluster"), F.lit(False).alias("fixed"))
+        F.col("text").alias("code"), F.lit(0).alias("cluster"), F.lit(False).alias("fixed"))
 
 
 @query("graph_contracted_nodes", f"""WITH {CHAIN_SQL} SELECT conv_id, max(turn) AS node, first(role ORDER BY turn) AS type,
-  string_agg(CAST(length(text) AS VARCHAR), chr(10) ORDER BY turn) AS code, count(*) AS size FROM t GROUP BY conv_id, blk""")
+  string_agg(text, chr(10) ORDER BY turn) AS code, count(*) AS size FROM t GROUP BY conv_id, blk""")
 def graph_contracted_nodes(spark, d):
     nodes, _ = gr.contract_chains(_talk_nodes(spark, d), talk_edges(spark, d))
     return nodes.withColumnRenamed("graph", "conv_id")
@@ -157,7 +157,7 @@ def graph_node_labels(spark, d):
     """Node types recovered from the labels of DOT statements."""
     kind = F.when(F.col("turn") == 0, "START").when(F.col("role") == "assistant", "STATEMENT").otherwise("CONDITION")
     nodes = table(spark, d, "conversations").select(
-        F.col("conv_id").alias("graph"), F.col("turn").alias("node"), kind.alias("type"), F.length("text").cast("string").alias("code"))
+        F.col("conv_id").alias("graph"), F.col("turn").alias("node"), kind.alias("type"), F.col("text").alias("code"))
     return gs.parse_nodes(gs.node_statements(nodes), "statement").select("graph", "node", "type")
 
 

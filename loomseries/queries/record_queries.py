@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import records as rec
 from ..plans.numbering import global_rank, time_then_id
+from ..plans.series import Series
 from .tables import rounded, table
 
 QUERIES: dict = {}
@@ -354,11 +355,11 @@ def path_counts(spark, d):
     return per.agg(F.count(F.lit(1)).alias("functions"), F.sum("n").alias("paths"))
 
 
-@query("regrouped_turns", """SELECT conv_id, flatten(list([role, substr(text, 1, 0) || CAST(length(text) AS VARCHAR)] ORDER BY turn)) AS items,
+@query("regrouped_turns", """SELECT conv_id, flatten(list([role, text] ORDER BY turn)) AS items,
   first(role ORDER BY turn) AS role FROM conversations GROUP BY conv_id""")
 def regrouped_turns(spark, d):
     df = table(spark, d, "conversations").select(
-        "conv_id", "turn", "role", F.array("role", F.length("text").cast("string")).alias("items"))
+        "conv_id", "turn", "role", F.array("role", "text").alias("items"))
     return rec.regroup(df, "conv_id", "items", ["role"], "turn")
 
 
@@ -487,10 +488,11 @@ def second_smallest(spark, d):
 @query("pairwise_turns", """SELECT conv_id, turn, role, next_role FROM (SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role
   FROM conversations) WHERE next_role IS NOT NULL""")
 def pairwise_turns(spark, d):
-    """Adjacent pairs: turns are numbered without gaps, so the next one is a join on turn + 1."""
+    """Adjacent pairs: each turn with the next one there is."""
     talk = table(spark, d, "conversations").select("conv_id", "turn", "role")
-    nxt = talk.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next_role"))
-    return talk.join(nxt, ["conv_id", "turn"])
+    s = Series.of(talk, ["conv_id"], ["turn"], 1000).span(1)
+    s = s.add(first_turn=s.lag("turn"), first_role=s.lag("role")).owned()
+    return s.df.filter("rn > 1").select("conv_id", F.col("first_turn").alias("turn"), F.col("first_role").alias("role"), F.col("role").alias("next_role"))
 
 
 def queries() -> dict:

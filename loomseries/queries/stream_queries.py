@@ -14,9 +14,18 @@ TICK_KEYS = (["sym"], ["ts", "event_id"])
 
 
 def tick_stream(spark, sf_dir):
-    """The events table as a stream of files."""
-    schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 8).parquet(sf_dir)
+    """The events table as a stream of files: a folder of part files, or a lone file picked out of its folder."""
+    events = table(spark, sf_dir, "events")
+    files = events.inputFiles()
+    if not files:
+        raise FileNotFoundError(f"no files in {sf_dir}/events.parquet")
+    reader = spark.readStream.schema(events.schema)
+    lone = len(files) == 1 and files[0].rsplit("/", 1)[1] == "events.parquet"
+    if lone:
+        stream = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    else:
+        # All files in one batch: part files are in no order of time.
+        stream = reader.parquet(f"{sf_dir}/events.parquet")
     return stream.select(F.col("event_type").alias("sym"), "ts", "event_id", F.col("value").alias("real"))
 
 
