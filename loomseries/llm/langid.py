@@ -9,12 +9,13 @@ places, as square roots of counts, scaled to length 1.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words
 from .quality import held_out
@@ -42,8 +43,6 @@ FAMILIES = {
 }
 _FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 
-RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
-
 
 def family_of(lang: str) -> str:
     return _FAMILY.get(lang, lang)
@@ -169,8 +168,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, lang_pred and score for every row of ``docs`` (doc_id, text).
+def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, held_out, lang_pred and score for every row of ``docs`` (doc_id, text); or the columns ``keep`` and the last two.
 
     A text that is NULL or has no letter is ``und`` with the score 0, and so is
     every text if no language was learned. The score is the confidence of the
@@ -183,18 +182,20 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             model = shared.value
-            for row, texts in words.texts_of(batch.column(3), 1 << 20):
+            for row, texts in words.texts_of(batch.column(1), 1 << 20):
                 n = len(texts)
-                letter = batch.column(2).slice(row, n).to_numpy(zero_copy_only=False).astype(bool)
+                letter = batch.column(0).slice(row, n).to_numpy(zero_copy_only=False).astype(bool)
                 lang, score = np.full(n, UNKNOWN, object), np.zeros(n)
                 if model.langs:
                     named, sure = model.predict(features(texts))
                     lang[letter], score[letter] = named[letter], sure[letter]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(row, n) for i in (0, 1)), pa.array(lang, pa.string()), pa.array(score)],
-                    ["doc_id", "held_out", "lang_pred", "score"])
-
-    slim = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"),
-        F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"), F.lower("text").alias("text"))
-    return slim.mapInArrow(run, RESULT)
+                    [*(batch.column(i).slice(row, n) for i in range(2, batch.num_columns)), pa.array(lang, pa.string()), pa.array(score)],
+                    names)
+
+    seen = [F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"), F.lower("text").alias("_lower")]
+    own = [F.col(f"`{c}`") for c in keep] or [F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out")]
+    slim = docs.select(*seen, *own)
+    schema = T.StructType(slim.schema.fields[2:]).add("lang_pred", "string").add("score", "double")
+    names = schema.names
+    return slim.mapInArrow(run, schema)

@@ -91,7 +91,7 @@ def judge(texts: words.Texts) -> tuple[dict[str, np.ndarray], np.ndarray, np.nda
     line_words = np.bincount(line, minlength=len(first))
     some = np.flatnonzero(line_words)
     line_owner = texts.owner(first[some])
-    same = np.unique(_keys(line_owner, texts.hashes(first[some], stop[some])))
+    same = words.distinct(_keys(line_owner, texts.hashes(first[some], stop[some])))
     n_lines = per_text(line_owner)
     dup_lines = n_lines - per_text((same >> np.uint64(52)).astype(np.int64))
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 # Texts are handled in pieces of about this size, which bounds the temporary arrays.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 19
 PIECE_ROWS = 4096
 
 BLANK = np.zeros(256, bool)
@@ -37,6 +37,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different numbers of ``x``, sorted."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
+
+
 def _power(base: int, n: int) -> np.ndarray:
     """base ** 0, 1, 2, ... modulo 2 ** 64."""
     out = np.full(n, base, np.uint64)
