@@ -134,34 +134,103 @@ def with_columns(batch: pa.RecordBatch, keep: list[str], **added: np.ndarray) ->
     return pa.RecordBatch.from_arrays(arrays, names=[*keep, *added])
 
 
+class _Blocks:
+    """Rows dealt into blocks of neighbours, so that one step of numpy advances all blocks by a row.
+
+    The blocks are first run without knowing what enters them, which gives the
+    composed step of each; their ends are linked one after the other; then all
+    are run again from what enters them.
+    """
+
+    def __init__(self, n: int):
+        self.n = n
+        self.length = max(1, int(np.sqrt(n / 2)))
+        self.count = -(-n // self.length)
+
+    def deal(self, x: np.ndarray, fill: float) -> np.ndarray:
+        """One row per step, one column per block."""
+        out = np.full(self.count * self.length, fill)
+        out[: self.n] = x
+        return np.ascontiguousarray(out.reshape(self.count, self.length).T)
+
+    def rows(self, x: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(x.T).reshape(-1)[: self.n]
+
+
 def _follow(first, enter, a, b, lo, v):
     """Values of the recursion; where ``first``, ``enter`` takes the place of the value before."""
-    out = np.empty(len(b))
-    rows = zip(first.tolist(), enter.tolist(), a.tolist(), b.tolist(), lo.tolist())
-    for i, (new, start, x, y, z) in enumerate(rows):
-        if new:
-            v = start
-        v = y if x == 0.0 else x * v + y
-        if v < z:
-            v = z
-        out[i] = v
-    return out
+    if not len(b):
+        return np.empty(0)
+    with np.errstate(invalid="ignore", over="ignore"):
+        # A first row does not depend on the row before it.
+        b = np.where(first & (a != 0.0), a * enter + b, b)
+        blocks = _Blocks(len(b))
+        xs, ys = blocks.deal(np.where(first, 0.0, a), 1.0), blocks.deal(b, 0.0)
+        floored = bool((lo != NO_FLOOR).any())
+        zs = blocks.deal(lo, NO_FLOOR) if floored else None
+        cuts = xs == 0.0
+        any_cut = cuts.any(axis=1)
+        big_a, big_b, big_l = np.ones(blocks.count), np.zeros(blocks.count), np.full(blocks.count, NO_FLOOR)
+        for j, (x, y) in enumerate(zip(xs, ys)):
+            if floored:
+                low = np.where(big_l == NO_FLOOR, NO_FLOOR, x * big_l + y)
+                big_l = np.where(cuts[j], zs[j], np.where(zs[j] > low, zs[j], low))
+            if any_cut[j]:
+                big_a, big_b = np.where(cuts[j], 0.0, x * big_a), np.where(cuts[j], y, x * big_b + y)
+            else:
+                big_a, big_b = x * big_a, x * big_b + y
+        reset = cuts.any(axis=0).tolist()
+        entering = np.empty(blocks.count)
+        for k, (share, own, low) in enumerate(zip(big_a.tolist(), big_b.tolist(), big_l.tolist())):
+            entering[k] = v
+            # After a reset nothing is left of the old value, not even a NaN.
+            v = own if reset[k] and share == 0.0 else share * v + own
+            if v < low:
+                v = low
+        out, now = np.empty_like(xs), entering
+        for j, (x, y) in enumerate(zip(xs, ys)):
+            now = np.where(cuts[j], y, x * now + y) if any_cut[j] else x * now + y
+            if floored:
+                now = np.where(now < zs[j], zs[j], now)
+            out[j] = now
+        return blocks.rows(out)
 
 
 def _compose(first, a, b, lo, run):
     """(A, B, L) of the rows since the last ``first``, at every row."""
-    out = np.empty((3, len(b)))
-    big_a, big_b, big_l = run
-    for i, (new, x, y, z) in enumerate(zip(first.tolist(), a.tolist(), b.tolist(), lo.tolist())):
-        if new:
-            big_a, big_b, big_l = 1.0, 0.0, NO_FLOOR
-        if x == 0.0:
-            big_a, big_b, big_l = 0.0, y, z
-        else:
-            big_l = z if big_l == NO_FLOOR else max(x * big_l + y, z)
-            big_a, big_b = x * big_a, x * big_b + y
-        out[:, i] = big_a, big_b, big_l
-    return out
+    if not len(b):
+        return np.empty((3, 0))
+    with np.errstate(invalid="ignore", over="ignore"):
+        blocks = _Blocks(len(b))
+        xs, ys, zs = blocks.deal(a, 1.0), blocks.deal(b, 0.0), blocks.deal(lo, NO_FLOOR)
+        news = blocks.deal(first.astype(float), 0.0) > 0
+        cuts = xs == 0.0
+
+        def step(j, big_a, big_b, big_l):
+            x, y, z = xs[j], ys[j], zs[j]
+            big_a, big_b = np.where(news[j], 1.0, big_a), np.where(news[j], 0.0, big_b)
+            big_l = np.where(news[j], NO_FLOOR, big_l)
+            low = np.where(big_l == NO_FLOOR, NO_FLOOR, x * big_l + y)
+            big_l = np.where(cuts[j], z, np.where(z > low, z, low))
+            return np.where(cuts[j], 0.0, x * big_a), np.where(cuts[j], y, x * big_b + y), big_l
+
+        state = np.ones(blocks.count), np.zeros(blocks.count), np.full(blocks.count, NO_FLOOR)
+        for j in range(blocks.length):
+            state = step(j, *state)
+        fresh = (news | cuts).any(axis=0).tolist()
+        entering, (in_a, in_b, in_l) = np.empty((3, blocks.count)), run
+        for k, (x, y, z) in enumerate(zip(*(part.tolist() for part in state))):
+            entering[:, k] = in_a, in_b, in_l
+            if fresh[k]:
+                in_a, in_b, in_l = x, y, z
+            else:
+                in_l = z if in_l == NO_FLOOR else max(x * in_l + y, z)
+                in_a, in_b = x * in_a, x * in_b + y
+        out, state = np.empty((3, *xs.shape)), tuple(entering)
+        for j in range(blocks.length):
+            state = step(j, *state)
+            out[:, j] = state
+        return np.stack([blocks.rows(part) for part in out])
 
 
 def _count_since(first, marked, before):
