@@ -83,10 +83,14 @@ def strip_fence(text: Column) -> Column:
     return F.btrim(F.regexp_replace(bare, "```$", ""), F.lit(" \t\r\n"))
 
 
+# Where a JSON text may stand in an answer, in the order in which they are tried.
+JSON_PLACES = [(r"(?s)\{.*\}", 0), (r"(?s)```json\s*(.*?)\s*```", 1), (r"(?s)```\s*(.*?)\s*```", 1)]
+
+
 def outer_braces(text: Column) -> Column:
-    """From the first { to the last }; NULL without them or when it is no JSON."""
-    found = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.when(F.try_parse_json(found).isNotNull(), found)
+    """The JSON in a text: the outermost braces, else a fenced JSON block, else any fenced block; NULL if none parses."""
+    found = [F.regexp_extract(text, pattern, group) for pattern, group in JSON_PLACES]
+    return F.coalesce(*[F.when((x != "") & F.try_parse_json(x).isNotNull(), x) for x in found])
 
 
 @F.pandas_udf(T.IntegerType())

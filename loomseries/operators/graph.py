@@ -7,6 +7,7 @@ rows of a round go to the shared folder and the next round reads them there.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,24 +65,29 @@ def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFr
     """Every path without a repeated node from a start to an end: ``(graph, start, end, nodes)``.
 
     All paths are listed, so the result grows with their number; a start that
-    is an end is a path of one node.
+    is an end is a path of one node. Only nodes from which an end can be reached
+    are walked, found by a search from the ends against the edges.
     """
-    steps = saved(edges.select(G, "src", "dst").distinct())
     goal = saved(ends.select(G, F.col("node").alias("last")).distinct())
+    every = edges.select(G, "src", "dst").distinct()
+    against = every.select(G, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    useful = saved(reachable_nodes(against, goal.select(G, F.col("last").alias("node"))))
+    steps = saved(every.join(useful.withColumnRenamed("node", "dst"), [G, "dst"], "left_semi"))
     table = GrowingTable(edges.sparkSession)
-    first = starts.select(G, F.col("node").alias("start")).distinct()
-    frontier = table.append(
-        first.select(G, "start", F.col("start").alias("last"), F.array("start").alias("nodes"))
-    )
+    first = starts.select(G, "node").distinct().join(useful, [G, "node"], "left_semi").withColumnRenamed("node", "start")
+    frontier = saved(first.select(G, "start", F.col("start").alias("last"), F.array("start").alias("nodes")))
     while not frontier.isEmpty():
+        table.append(frontier.join(goal, [G, "last"], "left_semi").select(G, "start", F.col("last").alias("end"), "nodes"))
         nxt = (
             frontier.withColumnRenamed("last", "src")
             .join(steps, [G, "src"])
             .filter(~F.array_contains("nodes", F.col("dst")))
             .select(G, "start", F.col("dst").alias("last"), F.array_append("nodes", F.col("dst")).alias("nodes"))
         )
-        frontier = table.append(nxt)
-    return table.all().join(goal, [G, "last"], "left_semi").select(G, "start", F.col("last").alias("end"), "nodes")
+        frontier = saved(nxt)
+    if not table.schema:
+        return frontier.select(G, "start", F.col("last").alias("end"), "nodes")
+    return table.all()
 
 
 def topological_layers(nodes: DataFrame, depends: DataFrame) -> DataFrame:
@@ -114,15 +120,17 @@ def topological_layers(nodes: DataFrame, depends: DataFrame) -> DataFrame:
     return done.all()
 
 
-def back_edges(edges: DataFrame, entries: DataFrame) -> DataFrame:
+def back_edges(edges: DataFrame, entries: DataFrame, tangled: bool = True) -> DataFrame:
     """Edges into a node that every way from the entry to their source passes: the loops.
 
     For each candidate target the graph is searched from the entry without it;
     sources not found are dominated by it. Graphs of structured code have the
-    same loops in every depth-first order, and these are those.
+    same loops in every depth-first order, and these are those. What cycles are
+    left without them can be entered at several nodes; there, if ``tangled``, the
+    loops are those of a depth-first search that takes up the last neighbour first.
     """
     steps = saved(edges.select(G, "src", "dst").distinct())
-    levels = bfs_levels(steps, entries)
+    levels = saved(bfs_levels(steps, entries))
     here = levels.select(G, F.col("node").alias("src"), F.col("level").alias("src_level"))
     there = levels.select(G, F.col("node").alias("dst"), F.col("level").alias("dst_level"))
     candidates = saved(
@@ -142,7 +150,55 @@ def back_edges(edges: DataFrame, entries: DataFrame) -> DataFrame:
         )
         frontier = table.append(nxt)
     found = table.all().select(G, F.col("head").alias("dst"), F.col("node").alias("src"))
-    return candidates.join(found, [G, "src", "dst"], "left_anti")
+    loops = saved(candidates.join(found, [G, "src", "dst"], "left_anti"))
+    if not tangled:
+        return loops
+    known = steps.join(levels.select(G, F.col("node").alias("src")), [G, "src"], "left_semi")
+    return loops.unionByName(_tangled_loops(saved(known.join(loops, [G, "src", "dst"], "left_anti")), entries))
+
+
+def _tangled_loops(steps: DataFrame, entries: DataFrame) -> DataFrame:
+    """Loops (graph, src, dst) of cycles with several entries, among edges without other loops.
+
+    Nodes without an edge in, or without one out, are peeled off until only the
+    cycles and what lies between them are left. Such a core of one graph, if it
+    has one, is searched in one task: structured code has none.
+    """
+    core = steps
+    while True:
+        heads, tails = core.select(G, F.col("src").alias("dst")), core.select(G, F.col("dst").alias("src"))
+        less = saved(core.join(heads.distinct(), [G, "dst"], "left_semi").join(tails.distinct(), [G, "src"], "left_semi"))
+        before, after = core.count(), less.count()
+        core = less
+        if not after or before == after:
+            break
+    empty = core.select(G, "src", "dst")
+    if not core.head(1):
+        return empty
+    inside = core.select(G, F.col("src").alias("dst")).distinct()
+    marked = core.withColumn("root", F.lit(False))
+    outer = steps.join(core, [G, "src", "dst"], "left_anti").join(inside, [G, "dst"], "left_semi").select(G, "src", "dst")
+    roots = outer.unionByName(entries.select(G, F.lit(None).cast(core.schema["src"].dataType).alias("src"), F.col("node").alias("dst")))
+    roots = roots.join(inside, [G, "dst"], "left_semi").withColumn("root", F.lit(True)).select(G, "src", "dst", "root")
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        children, found, seen = {}, [], set()
+        for a, b in sorted(pdf.loc[~pdf["root"], ["src", "dst"]].itertuples(index=False)):
+            children.setdefault(a, []).append(b)
+        stack = [(n, frozenset()) for n in sorted(set(pdf.loc[pdf["root"], "dst"]))]
+        while stack:
+            node, above = stack.pop()
+            if node in seen:
+                continue
+            seen.add(node)
+            for child in children.get(node, ()):
+                if child in above or child == node:
+                    found.append((node, child))
+                else:
+                    stack.append((child, above | {node}))
+        return pd.DataFrame({G: [pdf[G].iloc[0]] * len(found), "src": [a for a, _ in found], "dst": [b for _, b in found]})
+
+    return marked.select(G, "src", "dst", "root").unionByName(roots).groupBy(G).applyInPandas(search, empty.schema)
 
 
 def chain_blocks(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from . import (
     candle_queries,
+    file_queries,
     graph_queries,
     indicator_queries,
     numeric_queries,
@@ -9,7 +10,7 @@ from . import (
     stream_queries,
 )
 
-MODULES = [indicator_queries, candle_queries, record_queries, numeric_queries, graph_queries, stream_queries]
+MODULES = [indicator_queries, candle_queries, record_queries, numeric_queries, graph_queries, stream_queries, file_queries]
 
 
 def all_queries() -> dict:

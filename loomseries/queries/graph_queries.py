@@ -113,6 +113,13 @@ def talk_edges(spark, d, loops: bool = False):
     UNION SELECT b.conv_id, head, e.dst FROM b JOIN e ON e.conv_id = b.conv_id AND e.src = b.node AND e.dst <> head)
   SELECT conv_id, src, dst FROM c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.conv_id = c.conv_id AND b.head = c.dst AND b.node = c.src)""")
 def graph_back_edges(spark, d):
+    entries = table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("graph"), F.col("turn").alias("node"))
+    return gr.back_edges(talk_edges(spark, d, True), entries, tangled=False).select(F.col("graph").alias("conv_id"), "src", "dst")
+
+
+@query("graph_loops")
+def graph_loops(spark, d):
+    """With the loops of cycles that have several entries, which depend on a search order; tests compare with a plain search."""
     entries = table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("graph"), F.col("turn").alias("node"))
     return gr.back_edges(talk_edges(spark, d, True), entries).select(F.col("graph").alias("conv_id"), "src", "dst")
 

@@ -426,9 +426,16 @@ def fenced_text(spark, d):
     return df.select("conv_id", "turn", tx.strip_fence(F.col("f")).alias("body"))
 
 
-@query("extracted_json", "SELECT event_id, props AS found FROM events")
+@query("extracted_json", "SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE props END AS found FROM events")
 def extracted_json(spark, d):
-    noisy = F.concat(F.lit("Result: "), F.col("props"), F.lit(" done"))
+    """Plain text around braces, a fenced JSON block after other braces, any fenced block, and text without JSON."""
+    kind = F.col("event_id") % 4
+    noisy = (
+        F.when(kind == 0, F.concat(F.lit("Result: "), F.col("props"), F.lit(" done")))
+        .when(kind == 1, F.concat(F.lit("use {x} then\n```json\n"), F.col("props"), F.lit("\n```\n")))
+        .when(kind == 2, F.concat(F.lit("{a} or\n```\n"), F.col("props"), F.lit("\n```")))
+        .otherwise(F.concat(F.lit("{"), F.col("event_type"), F.lit("} none")))
+    )
     return table(spark, d, "events").select("event_id", tx.outer_braces(noisy).alias("found"))
 
 

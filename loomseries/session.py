@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
-_local_dirs: dict[str, str] = {}  # one folder per local session without a setting
+# One folder per local session without a setting; each goes when Python ends.
+_local_dirs: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def build_session(app: str = "loomseries", master: str = "local[8]", **conf: str) -> SparkSession:
@@ -42,8 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="loomseries-")
-    return _local_dirs[app]
+        _local_dirs[app] = tempfile.TemporaryDirectory(prefix="loomseries-", ignore_cleanup_errors=True)
+    return _local_dirs[app].name
 
 
 def scratch_path(spark: SparkSession, kind: str) -> str:

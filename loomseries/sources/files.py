@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +43,7 @@ CALL_LOG = T.StructType([
 
 def read_sources(spark: SparkSession, path: str, glob: str = "*.c") -> DataFrame:
     """``(path, text)`` of the matching files under ``path``, at any depth."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
@@ -54,8 +59,44 @@ def subject_sources(sources: DataFrame) -> DataFrame:
     return chosen.filter(~name.startswith("test")).drop("_dir", "_deep")
 
 
-def read_call_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CALL_LOG).option("multiLine", "true").json(path)
+def write_named(rows: DataFrame, path: str) -> None:
+    """Write ``(name, no, text)`` as one file per name under ``path``: its texts in the order of ``no``.
+
+    A file appears under its name when it is whole, so a repeated task replaces
+    it. ``path`` is a URI, or a path on a file system that all executors share.
+    """
+    root = path if "://" in path else f"file://{path}" if path.startswith("/") else path
+
+    def put(store, folder, name, out_path):
+        store.move(out_path, f"{folder}/{name}")
+        return name
+
+    def write(batches):
+        store, folder = fs.FileSystem.from_uri(root)
+        store.create_dir(folder, recursive=True)
+        now, out, part = None, None, None
+        for batch in batches:
+            done = []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if name != now:
+                    if out is not None:
+                        out.close()
+                        done.append(put(store, folder, now, part))
+                    now, part = name, f"{folder}/{name}.{uuid.uuid4().hex}.part"
+                    out = store.open_output_stream(part)
+                out.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["name"])
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([put(store, folder, now, part)], pa.string())], ["name"])
+
+    ordered = rows.select("name", "text", "no").repartition("name").sortWithinPartitions("name", "no").select("name", "text")
+    ordered.mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
+
+
+def read_call_log(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Calls from files of one document each, or, with ``lines``, of one call per line as ``append_call_log`` writes them."""
+    return spark.read.schema(CALL_LOG).option("multiLine", str(not lines).lower()).json(path)
 
 
 def append_call_log(calls: DataFrame, path: str) -> None:
@@ -70,12 +111,11 @@ def write_counts(counts: DataFrame, path: str) -> None:
 def write_matrix(rows: DataFrame, cells: str, path: str) -> None:
     """Rows of numbers as comma text with at most four significant digits and no trailing zeros."""
 
-    def short(x):
-        text = F.format_string("%.4g", x.cast("double"))
-        return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
+    @F.pandas_udf(T.StringType())
+    def line(values: pd.Series) -> pd.Series:
+        return pd.Series([",".join("%.4g" % x for x in row) if row is not None else None for row in values])
 
-    line = F.array_join(F.transform(cells, short), ",")
-    rows.select(line.alias("value")).write.text(path)
+    rows.select(line(F.col(cells).cast("array<double>")).alias("value")).write.text(path)
 
 
 def write_report(lines: DataFrame, path: str) -> None:

@@ -120,6 +120,58 @@ def test_dot_files(spark, tmp_path):
     made = edges_of(spark, {"g": ["AB", "BC"]})
     plain = spark.createDataFrame([("g", n, "STATEMENT", f'say "{n}"') for n in "ABC"], "graph string, node string, type string, code string")
     gs.write_dot(plain, made, str(tmp_path / "out"))
-    back = gs.read_dot_folder(spark, str(tmp_path / "out"))
+    assert (tmp_path / "out" / "g.dot").read_text().startswith('digraph "g" {\n')
+    back = gs.read_dot(spark, str(tmp_path / "out"))
     assert {(r.src, r.dst) for r in gs.parse_edges(back, "statement").collect()} == {("nA", "nB"), ("nB", "nC")}
     assert {r.node for r in gs.parse_nodes(back, "statement").collect()} == {"nA", "nB", "nC"}
+
+
+def plain_loops(pairs, entry):
+    """Loops by a search with a stack, neighbours in order, the last one first."""
+    stack, seen, found = [(entry, set())], set(), set()
+    while stack:
+        node, above = stack.pop()
+        if node in seen:
+            continue
+        seen.add(node)
+        for child in sorted(b for a, b in pairs if a == node):
+            if child in above or child == node:
+                found.add((node, child))
+            else:
+                stack.append((child, above | {node}))
+    return found
+
+
+def test_loops_with_several_entries(spark):
+    flows = {"two": ["EA", "EB", "AB", "BA"], "three": ["EA", "AB", "AC", "BC", "CD", "DB", "DX"], "mixed": ["EA", "EB", "AB", "BA", "BC", "CD", "DC", "DX"], "plain": ["EA", "AB", "BA", "BX"]}
+    edges, entry = edges_of(spark, flows), nodes_of(spark, [(g, "E") for g in flows])
+    got = {(r.graph, r.src, r.dst) for r in gr.back_edges(edges, entry).collect()}
+    for g, pairs in flows.items():
+        assert {(a, b) for name, a, b in got if name == g} == plain_loops([tuple(p) for p in pairs], "E"), g
+    only = {(r.graph, r.src, r.dst) for r in gr.back_edges(edges, entry, tangled=False).collect()}
+    assert only == {("mixed", "D", "C"), ("plain", "B", "A")}
+
+
+def test_paths_walk_only_towards_ends(spark):
+    dead = [("A", f"d{i}") for i in range(5)] + [(f"d{i}", f"d{j}") for i in range(5) for j in range(5) if i != j]
+    edges = spark.createDataFrame([("g", a, b) for a, b in [*dead, ("A", "B"), ("B", "C")]], "graph string, src string, dst string")
+    paths = gr.simple_paths(edges, nodes_of(spark, [("g", "A")]), nodes_of(spark, [("g", "C")]))
+    assert [r.nodes for r in paths.collect()] == [["A", "B", "C"]]
+    assert gr.simple_paths(edges, nodes_of(spark, [("g", "C")]), nodes_of(spark, [("g", "A")])).count() == 0
+
+
+def test_path_documents_per_graph(spark, tmp_path):
+    edges = edges_of(spark, {"f.dot": ["AB", "AC", "BD", "CD"], "g.dot": ["AD"]})
+    starts, ends = nodes_of(spark, [("f.dot", "A"), ("g.dot", "A")]), nodes_of(spark, [("f.dot", "D"), ("g.dot", "D")])
+    nodes = spark.createDataFrame(
+        [(g, n, "START" if n == "A" else "STATEMENT", f"label {n}") for g in ("f.dot", "g.dot") for n in "ABD"], "graph string, node string, type string, label string")
+    numbered = gs.document_paths(gr.simple_paths(edges, starts, ends), nodes)
+    gs.write_documents(gs.path_documents(numbered), str(tmp_path / "docs"))
+    gs.write_documents(gs.detailed_documents(numbered, starts, ends), str(tmp_path / "docs"), "_detailed")
+    plain = json.loads((tmp_path / "docs" / "f.json").read_text())
+    assert plain == {"source_file": "f.dot", "total_paths": 2, "paths": [
+        {"path_id": 1, "path": "label A --> label B --> label D"}, {"path_id": 2, "path": "label A -->  --> label D"}]}
+    full = json.loads((tmp_path / "docs" / "f_detailed.json").read_text())
+    assert full["start_nodes"] == ["A"] and full["return_nodes"] == ["D"] and full["paths"][1]["length"] == 3
+    assert full["paths"][1]["nodes"][1] == {"node_id": "C", "type": "UNKNOWN", "label": ""}
+    assert json.loads((tmp_path / "docs" / "g.json").read_text())["paths"][0]["path_id"] == 1
