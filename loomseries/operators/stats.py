@@ -47,22 +47,40 @@ def centroids_of(points: DataFrame) -> DataFrame:
     return points.groupBy("group").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("size"))
 
 
+MAX_GROUPS = 1000  # groups of k-means, whose means pass the driver and are compared with every point
+
+
+def _means(points: DataFrame) -> list[tuple[int, float, float]]:
+    found = [(r["group"], r["x"], r["y"]) for r in centroids_of(points).orderBy("group").limit(MAX_GROUPS + 1).collect()]
+    if len(found) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups")
+    return found
+
+
 def kmeans_step(points: DataFrame) -> DataFrame:
     """Means of the current groups, then each point to the nearest; only the k means pass the driver."""
-    means = [(r["group"], r["x"], r["y"]) for r in centroids_of(points).orderBy("group").collect()]
-    return _assign(points, means)
+    return _assign(points, _means(points))
 
 
 def kmeans(points: DataFrame) -> DataFrame:
-    """Repeat from the given ``group`` of each ``(id, x, y)`` until at most n/10000 points change."""
-    current = saved(points)
-    limit = current.count() / 10000
-    while True:
-        moved = saved(kmeans_step(current))
-        changed = moved.filter("group <> old").count()
-        current = moved.drop("old")
-        if changed <= limit:
-            return current
+    """Repeat from the given ``group`` of each ``(id, x, y)`` until at most n/10000 points change.
+
+    A round is one pass over the points: it assigns them by the means before and
+    by the newest ones, counts the changes, and sums up the new groups. Nothing
+    but the means is kept from one round to the next.
+    """
+    points = saved(points)
+    limit = points.count() / 10000
+    before, means = None, _means(points)
+    while means:
+        last = points if before is None else _assign(points, before).drop("old")
+        moved = _assign(last, means)
+        rows = moved.groupBy("group").agg(
+            F.avg("x").alias("x"), F.avg("y").alias("y"), F.count_if(F.col("group") != F.col("old")).alias("changed")).orderBy("group").collect()
+        if sum(r["changed"] for r in rows) <= limit:
+            return moved.drop("old")
+        before, means = means, [(r["group"], r["x"], r["y"]) for r in rows]
+    return points
 
 
 # -- range aggregates ----------------------------------------------------

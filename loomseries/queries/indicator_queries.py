@@ -375,7 +375,7 @@ def run_case(spark: SparkSession, sf_dir: str, name: str, chunk_rows: int = CHUN
                      grain=TICK_GRAIN, chunk_rows=chunk_rows)
         df = df.drop("ts")
     else:
-        df = compute(name, bars(spark, sf_dir, case.source), case.options, inputs=inputs,
+        df = compute(name, bars(spark, sf_dir, case.source, keep=REGISTRY[name].family != "P"), case.options, inputs=inputs,
                      grain=BAR_GRAIN, chunk_rows=chunk_rows)
     df = case.finish(df) if case.finish else df
     return rounded(df, [c for c in df.columns if c not in ("sym", "ts", "event_id")], case.digits)

@@ -215,7 +215,12 @@ def alaw_round_trip(spark, d):
     return df.withColumn("back", nm.alaw_decode(nm.alaw_encode(F.col("pcm"))))
 
 
-@query("text_crc32")
+@query("text_crc32", """WITH RECURSIVE bits AS (SELECT i AS n, 0 AS k, i AS v FROM range(256) t(i) UNION ALL
+    SELECT n, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+  steps AS (SELECT list(v ORDER BY n) AS t FROM bits WHERE k = 8),
+  raw AS (SELECT doc_id, hex(encode(text)) AS h FROM documents),
+  codes AS (SELECT doc_id, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS b FROM raw)
+  SELECT doc_id, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM codes, steps""")
 def text_crc32(spark, d):
     return table(spark, d, "documents").select("doc_id", nm.crc32(F.col("text")).alias("crc"))
 

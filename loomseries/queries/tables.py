@@ -13,8 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bars(spark: SparkSession, sf_dir: str, unit: str = "hour") -> DataFrame:
-    """Open, high, low, close and volume per event type and hour (or day)."""
+def bars(spark: SparkSession, sf_dir: str, unit: str = "hour", keep: bool = True) -> DataFrame:
+    """Open, high, low, close and volume per event type and hour (or day); ``keep`` writes them for several readers."""
     first = time_then_id("ts", "event_id")
     grouped = (
         table(spark, sf_dir, "events")
@@ -28,8 +28,8 @@ def bars(spark: SparkSession, sf_dir: str, unit: str = "hour") -> DataFrame:
         )
         .withColumnRenamed("bar_ts", "ts")
     )
-    # Far smaller than the events and read by several branches of each query.
-    return saved(grouped)
+    # Far smaller than the events and read by several branches of most queries.
+    return saved(grouped) if keep else grouped
 
 
 # A bar series has at most one row per hour, so 90 days are at most 2160 rows of a key.
