@@ -8,15 +8,17 @@ and a class goes down to the child of its minwise token. Two sets with the
 similarity J share a token with the probability J, so similar sets stay
 together on some path and others part soon.
 
-- Nodes of at most ``SMALL`` classes are compared exhaustively, and are leaves.
-- In larger nodes every class is compared with the smallest id of the node.
-  Classes linked that way need no more pairs among themselves. A node whose
-  classes are all in one component is done; others branch further.
-- What is still large at the last level is cut into blocks, and blocks are
-  compared with each other, so no task holds an unbounded node.
+- In each node of the first level every class is compared with the smallest id of
+  the node. Classes linked that way need no more pairs among themselves, and a
+  node whose classes are all in one component is done.
+- Other nodes of at most ``SMALL`` classes are compared exhaustively, and are
+  leaves; larger ones branch further.
+- Nodes that are still large at the last level, and have members in common, are
+  a family. It is cut into blocks, and each two blocks are compared on the whole
+  sets, so no task holds an unbounded node.
 
 Pairs are first judged by sizes and by agreement of the 64 tokens, at a bound
-that a pair over the threshold misses with a probability below 1e-8; then every
+that a pair at the threshold misses with a probability of about 1e-7; then every
 link is confirmed on the full shingle sets. Independent trees are repeated
 until a pair at the threshold is missed with a probability below 1e-6 in the
 nodes of the first levels.
@@ -25,31 +27,35 @@ nodes of the first levels.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import saved
-from . import words
+from . import nodes, words
 from .components import components
 
 WORDS = 5
 THRESHOLD = 75  # per cent
 FUNCTIONS = 64
-AGREE = 28  # of 64 tokens; at a similarity of 0.75 fewer agree with a probability below 1e-8
+AGREE = 28  # of 64 tokens; at a similarity of 0.75 no more agree with a probability of 1e-7
 TREES = 12
 SMALL = 32
-LEVELS = 6
-BLOCK = 512
+LEVELS = 3
+BLOCK = 256
+COLUMNS = 4096  # shingles that a comparison of blocks takes at once
 BROADCAST_IDS = 1_000_000  # ids of 8 bytes; beyond that the texts are shuffled to the ids
 
 _FIXED = np.random.default_rng(20240611)
 _FLIP = _FIXED.integers(0, 1 << 32, FUNCTIONS, dtype=np.uint64).astype(np.uint32)
 _TIMES = _FIXED.integers(0, 1 << 31, FUNCTIONS, dtype=np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 
-PROFILE = "doc_id long, n_shingles long, c1 long, c2 long, tokens binary, marks binary"
+# The marks of a class are the lowest bytes of its tokens, eight in a long.
+PROFILE = "doc_id long, n_shingles long, c1 long, c2 long, tokens binary, marks array<long>"
 
 
 def shingles(texts: words.Texts, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +85,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, texts in words.texts_of(batch.column(1)):
             owner, values, both = shingles(texts)
             n = len(texts)
-            distinct = np.unique((owner.astype(np.uint64) << np.uint64(52)) | values)
+            distinct = words.distinct((owner.astype(np.uint64) << np.uint64(52)) | values)
             sizes = np.bincount((distinct >> np.uint64(52)).astype(np.int64), minlength=n)
             least = np.zeros((n, FUNCTIONS), np.uint32)
             some = np.flatnonzero(sizes)
@@ -92,7 +98,9 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     least[some, k] = np.minimum.reduceat(drawn, first)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).slice(row, n), pa.array(sizes, pa.int64()), pa.array(both[0].view(np.int64)),
-                pa.array(both[1].view(np.int64)), words.binary_rows(least), words.binary_rows(least.astype(np.uint8)),
+                pa.array(both[1].view(np.int64)), words.binary_rows(least),
+                pa.ListArray.from_arrays(
+                    pa.array(np.arange(n + 1, dtype=np.int32) * (FUNCTIONS // 8)), pa.array(least.astype(np.uint8).view(np.int64).ravel())),
             ], ["doc_id", "n_shingles", "c1", "c2", "tokens", "marks"])
 
 
@@ -100,7 +108,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, texts in words.texts_of(batch.column(1)):
             owner, values, _ = shingles(texts)
-            distinct = np.unique((owner.astype(np.uint64) << np.uint64(52)) | values)
+            distinct = words.distinct((owner.astype(np.uint64) << np.uint64(52)) | values)
             sizes = np.bincount((distinct >> np.uint64(52)).astype(np.int64), minlength=len(texts))
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             members = pa.array((distinct & np.uint64((1 << 52) - 1)).astype(np.int64))
@@ -112,32 +120,33 @@ def _child(node: np.ndarray, place: np.ndarray, token: np.ndarray) -> np.ndarray
     return words.mix(words.mix(node + place.astype(np.uint64)) ^ token.astype(np.uint64))
 
 
-def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First level: each tree branches on two functions of its own."""
-    for batch in batches:
-        tokens = words.matrix_of(batch.column(1), np.uint32, FUNCTIONS)
-        n, width = len(tokens), 2 * TREES
-        place = np.tile(np.arange(width), n)
-        node = words.mix(np.repeat(np.arange(TREES), 2)[place % width].astype(np.uint64) + np.uint64(1))
-        nodes = _child(node, place, tokens[:, :width].reshape(-1))
-        ids = pa.array(np.repeat(batch.column(0).to_numpy(), width))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), ids], ["node", "id"])
+def _entries(node: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    out = np.empty(len(node), nodes.ENTRY)
+    out["node"], out["member"] = node.view(np.int64), ids
+    return out
 
 
-def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Below: a node branches on one function, every third on two; its hash chooses."""
-    for batch in batches:
-        node = batch.column(0).to_numpy().view(np.uint64)
-        ids = batch.column(1).to_numpy()
-        tokens = words.matrix_of(batch.column(2), np.uint32, FUNCTIONS)
-        draw = words.mix(node + np.uint64(77))
-        first = (draw % np.uint64(FUNCTIONS)).astype(np.int64)
-        second = (first + 1 + (draw >> np.uint64(32)).astype(np.int64) % (FUNCTIONS - 1)) % FUNCTIONS
-        two = np.flatnonzero((draw >> np.uint64(8)) % np.uint64(3) == 0)
-        rows = np.concatenate([np.arange(len(node)), two])
-        place = np.concatenate([first, second[two]])
-        nodes = _child(node[rows], place, tokens[rows, place])
-        yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(ids[rows])], ["node", "id"])
+def _roots(batch: pa.RecordBatch) -> np.ndarray:
+    """First level, from (id, tokens): each tree branches on two functions of its own."""
+    tokens = words.matrix_of(batch.column(1), np.uint32, FUNCTIONS)
+    n, width = len(tokens), 2 * TREES
+    place = np.tile(np.arange(width), n)
+    tree = words.mix((place // 2).astype(np.uint64) + np.uint64(1))
+    return _entries(_child(tree, place, tokens[:, :width].reshape(-1)), np.repeat(batch.column(0).to_numpy(), width))
+
+
+def _branches(batch: pa.RecordBatch) -> np.ndarray:
+    """Below, from (id, tokens, node): a node branches on one function, every third on two; its hash chooses."""
+    ids = batch.column(0).to_numpy()
+    tokens = words.matrix_of(batch.column(1), np.uint32, FUNCTIONS)
+    node = batch.column(2).to_numpy().view(np.uint64)
+    draw = words.mix(node + np.uint64(77))
+    first = (draw % np.uint64(FUNCTIONS)).astype(np.int64)
+    second = (first + 1 + (draw >> np.uint64(32)).astype(np.int64) % (FUNCTIONS - 1)) % FUNCTIONS
+    two = np.flatnonzero((draw >> np.uint64(8)) % np.uint64(3) == 0)
+    rows = np.concatenate([np.arange(len(node)), two])
+    place = np.concatenate([first, second[two]])
+    return _entries(_child(node[rows], place, tokens[rows, place]), ids[rows])
 
 
 def _alike(na: np.ndarray, nb: np.ndarray, ma: np.ndarray, mb: np.ndarray) -> np.ndarray:
@@ -148,128 +157,173 @@ def _alike(na: np.ndarray, nb: np.ndarray, ma: np.ndarray, mb: np.ndarray) -> np
     return fits
 
 
-def _pairs_in_nodes(star: bool):
-    """Of rows (node, id, n, marks, part) sorted by node: pairs of one node that may be links and are in two parts.
+def _equal_bytes(a: Column, b: Column) -> Column:
+    """In how many of their bytes are two longs equal?"""
+    x = a.bitwiseXOR(b)
+    for n in (4, 2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, n))
+    # The lowest bit of a byte is now set if any of its bits was.
+    return 8 - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
 
-    With ``star`` only the pairs with the first row of the node.
-    """
 
-    def pairs(node, ids, n, marks, part):
-        starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-        first = np.repeat(starts, np.diff(np.append(starts, len(node))))
-        place = np.arange(len(node)) - first
-        left, right = [], []
-        for shift in range(1, int(place.max(initial=0)) + 1):
-            for some in np.array_split(np.flatnonzero(place >= shift), max(1, len(node) // 50_000)):
-                other = first[some] if star else some - shift
-                keep = np.flatnonzero(part[some] != part[other])
-                keep = keep[_alike(n[some[keep]], n[other[keep]], marks[some[keep]], marks[other[keep]])]
-                left.append(ids[other[keep]])
-                right.append(ids[some[keep]])
-            if star:
-                break
-        return np.concatenate(left or [ids[:0]]), np.concatenate(right or [ids[:0]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # rows of the last node of the batch before, which may go on
-        for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in (0, 1, 2, 4)]
-            columns.append(words.matrix_of(batch.column(3), np.uint8, FUNCTIONS))
-            if held is not None:
-                columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
-            node = columns[0]
-            cut = int(np.searchsorted(node, node[-1])) if len(node) else 0
-            done, held = [c[:cut] for c in columns], [c[cut:] for c in columns]
-            yield _batch(*pairs(done[0], done[1], done[2], done[4], done[3]))
-        if held is not None:
-            yield _batch(*pairs(held[0], held[1], held[2], held[4], held[3]))
+def _may_be_alike(n1: Column, n2: Column, m1: Column, m2: Column) -> Column:
+    """The same test on columns."""
+    agree = reduce(add, [_equal_bytes(m1[i], m2[i]) for i in range(FUNCTIONS // 8)])
+    return (100 * F.least(n1, n2) >= THRESHOLD * F.greatest(n1, n2)) & (agree > AGREE)
+
 
-    def _batch(a, b):
+def _pairs_in_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (node, id, n, part, marks) sorted by node: pairs of one node that may be links and are in two parts."""
+
+    def pairs(node, ids, n, part, marks):
+        starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(node)), bool), node[1:] != node[:-1]]))
+        place = np.arange(len(node)) - np.repeat(starts, np.diff(np.append(starts, len(node))))
+        left, right = [ids[:0]], [ids[:0]]
+        for shift in range(1, int(place.max(initial=0)) + 1):
+            some = np.flatnonzero(place >= shift)
+            some = some[part[some] != part[some - shift]]
+            for at in np.array_split(some, max(1, len(some) // 50_000)):
+                at = at[_alike(n[at], n[at - shift], marks[at], marks[at - shift])]
+                left.append(ids[at - shift])
+                right.append(ids[at])
+        a, b = np.concatenate(left), np.concatenate(right)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return run
+    held = None  # rows of the last node of the batch before, which may go on
+    for batch in batches:
+        columns = [*(batch.column(i).to_numpy() for i in range(4)), batch.column(4).flatten().to_numpy().view(np.uint8).reshape(-1, FUNCTIONS)]
+        if held is not None:
+            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+        cut = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
+        held = [c[cut:] for c in columns]
+        yield pairs(*(c[:cut] for c in columns))
+    if held is not None:
+        yield pairs(*held)
+
+
+def _links_in_cell(table: pa.Table) -> pa.Table:
+    """All links (a, b) between different parts in one cell of (cell, id, part, members): two blocks, whole sets."""
+    table = table.combine_chunks()
+    ids, part = table["id"].to_numpy(), table["part"].to_numpy()
+    members = table["members"].combine_chunks()
+    size = members.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(len(ids)), size)
+    # Rows of the largest part are compared with the others only.
+    names, group, count = np.unique(part, return_inverse=True, return_counts=True)
+    small = np.flatnonzero(group != np.argmax(count))
+    both = np.zeros((len(small), len(ids)), np.float32)
+    if len(small):
+        value, where, shared = np.unique(members.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        # Only shingles of two sets or more count.
+        column = np.cumsum(shared > 1) - 1
+        keep = shared[where] > 1
+        owner, place = owner[keep], column[where[keep]]
+        order = np.argsort(place, kind="stable")
+        owner, place = owner[order], place[order]
+        for start in range(0, int(place.max(initial=-1)) + 1, COLUMNS):
+            a, b = np.searchsorted(place, (start, start + COLUMNS))
+            x = np.zeros((len(ids), COLUMNS), np.float32)
+            x[owner[a:b], place[a:b] - start] = 1
+            both += x[small] @ x.T
+    left, right = np.nonzero(100 * both >= THRESHOLD * (size[small][:, None] + size[None, :] - both))
+    left = small[left]
+    found = part[left] != part[right]
+    a, b = ids[left[found]], ids[right[found]]
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
 class Join:
     """The join over ``classes`` (id, n, tokens, marks), with the texts of ``docs`` (doc_id, text) to confirm links."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, links: DataFrame):
+    def __init__(self, docs: DataFrame, classes: DataFrame):
         self.docs, self.classes = docs, classes
-        self.parts = saved(components(links))
+        self.parts = None
 
     def with_parts(self, rows: DataFrame) -> DataFrame:
         """Add ``part``: the component of ``id`` as far as it is known."""
+        if self.parts is None:
+            return rows.withColumn("part", F.col("id"))
         return rows.join(self.parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
 
-    def confirm(self, pairs: DataFrame) -> None:
-        """Keep the pairs (a, b) whose full sets are similar, and bring the components up to date."""
-        pairs = saved(pairs.where("a <> b").distinct())
-        needed = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        count = needed.count()
-        if not count:
-            return
-        some = F.broadcast(needed) if count <= BROADCAST_IDS else needed
+    def link(self, links: DataFrame) -> None:
+        """Bring the components up to date with confirmed links (a, b)."""
+        if self.parts is not None:
+            links = links.unionByName(self.parts.selectExpr("id as a", "component as b"))
+        self.parts = saved(components(links))
+
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(id, members) of the whole sets of some ids."""
+        needed = saved(ids.distinct())
+        some = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
         texts = self.docs.join(some, self.docs.doc_id == needed.id, "left_semi").select("doc_id", "text")
-        sets = saved(texts.mapInArrow(_sets, "id long, members array<long>"))
+        return saved(texts.mapInArrow(_sets, "id long, members array<long>"))
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose whole sets are similar."""
+        pairs = saved(pairs.where("a <> b").distinct())
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")))
         met = (
             pairs.join(sets.selectExpr("id as b", "members as right"), "b")
             .join(sets.selectExpr("id as a", "members as left"), "a")
             .select("a", "b", F.size(F.array_intersect("left", "right")).alias("both"), (F.size("left") + F.size("right")).alias("sum"))
         )
-        links = met.where(f"100L * both >= {THRESHOLD}L * (sum - both)").select("a", "b")
-        known = self.parts.selectExpr("id as a", "component as b")
-        self.parts = saved(components(saved(links.unionByName(known))))
-
-    def compare(self, rows: DataFrame, star: bool) -> None:
-        """Compare within nodes: ``rows`` (node, id), none of whose nodes is large."""
-        full = self.with_parts(rows.join(self.classes.select("id", "n", "marks"), "id"))
-        sorted_rows = full.select("node", "id", "n", "marks", "part").repartition("node").sortWithinPartitions("node", "id")
-        self.confirm(sorted_rows.mapInArrow(_pairs_in_nodes(star), "a long, b long"))
-
-    def large_stars(self, rows: DataFrame) -> None:
-        """Compare each row (id, pivot) of large nodes with its pivot."""
+        return met.where(f"100L * both >= {THRESHOLD}L * (sum - both)").select("a", "b")
+
+    def stars(self, rows: DataFrame) -> DataFrame:
+        """The pairs (a, b) of each row (id, pivot) that may be links."""
         known = self.classes.select("id", "n", "marks")
         pairs = (
-            rows.where("id <> pivot").distinct()
+            rows.where("id <> pivot").select("id", "pivot").distinct()
             .join(known.selectExpr("id", "n as n1", "marks as m1"), "id")
             .join(known.selectExpr("id as pivot", "n as n2", "marks as m2"), "pivot")
         )
+        return pairs.where(_may_be_alike(*(F.col(c) for c in ("n1", "n2", "m1", "m2")))).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
 
-        def alike(batches):
-            for batch in batches:
-                a, b, na, nb = (batch.column(i).to_numpy() for i in range(4))
-                keep = np.flatnonzero(_alike(na, nb, *(words.matrix_of(batch.column(i), np.uint8, FUNCTIONS) for i in (4, 5))))
-                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
-
-        self.confirm(pairs.select("id", "pivot", "n1", "n2", "m1", "m2").mapInArrow(alike, "a long, b long"))
+    def inside(self, rows: DataFrame) -> DataFrame:
+        """The pairs (a, b) of the same node in ``rows`` (node, id, part) that may be links; no node is large."""
+        full = rows.join(self.classes.select("id", "n", "marks"), "id").select("node", "id", "n", "part", "marks")
+        return full.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_pairs_in_nodes, "a long, b long")
 
-    def run(self) -> DataFrame:
-        """(id, component) of all linked classes."""
-        rows = self.classes.select("id", "tokens").mapInArrow(_roots, "node long, id long")
+    def run(self, links: DataFrame) -> DataFrame:
+        """(id, component) of all linked classes; some ``links`` (a, b) are known."""
+        source, make, entries = self.classes.select("id", "tokens"), _roots, self.classes.count() * 2 * TREES
+        pairs = []
         for level in range(LEVELS):
-            counts = saved(
-                rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot")).where("size > 1"))
-            shared = saved(rows.join(counts, "node"))
-            small, large = shared.where(f"size <= {SMALL}").select("node", "id"), shared.where(f"size > {SMALL}")
-            self.large_stars(large.select("id", "pivot"))
-            self.compare(small, star=True)
-            self.compare(small, star=False)
-            mixed = self.with_parts(large).groupBy("node").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
-            open_rows = large.join(mixed.where("lo <> hi").select("node"), "node").select("node", "id", "size")
-            open_rows = saved(open_rows)
-            if not open_rows.head(1):
-                return self.parts
-            if level + 1 < LEVELS:
-                rows = (
-                    open_rows.select("node", "id").join(self.classes.select("id", "tokens"), "id")
-                    .select("node", "id", "tokens").mapInArrow(_branches, "node long, id long"))
-        # Blocks of the nodes that are still large, each with each.
-        blocks = open_rows.select("node", "id", F.ceil(F.col("size") / BLOCK).cast("int").alias("of"))
-        blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
-        cells = blocks.select("id", "node", "block", F.explode(F.expr("sequence(0, of - 1)")).alias("other"))
-        self.compare(cells.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "id"), star=False)
+            rows = saved(nodes.meet(source, make, entries).select("node", F.col("member").alias("id"), "size", F.col("first").alias("pivot")))
+            if level == 0:
+                self.link(links.unionByName(self.confirmed(self.stars(rows))))
+            # Nodes whose members are in two components or more go on.
+            placed = self.with_parts(rows.select("node", "id", "size"))
+            mixed = placed.groupBy("node").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
+            going = saved(placed.join(mixed.select("node"), "node"))
+            pairs.append(self.inside(going.where(f"size <= {SMALL}")))
+            large = going.where(f"size > {SMALL}")
+            entries = large.count() * 2
+            if not entries or level + 1 == LEVELS:
+                break
+            source = large.select("node", "id").join(self.classes.select("id", "tokens"), "id").select("id", "tokens", "node")
+            make = _branches
+        found = self.confirmed(reduce(DataFrame.unionByName, pairs))
+        if entries:
+            found = found.unionByName(self.in_families(large.select("node", "id")))
+        self.link(found)
         return self.parts
 
+    def in_families(self, rows: DataFrame) -> DataFrame:
+        """The links (a, b) between members of nodes (node, id) that hang together, block by block, on their whole sets."""
+        first = rows.groupBy("node").agg(F.min("id").alias("b"))
+        family = components(rows.join(first, "node").select(F.col("id").alias("a"), "b").distinct())
+        placed = saved(self.with_parts(family.withColumnRenamed("component", "family")))
+        sizes = placed.groupBy("family").agg(
+            F.count(F.lit(1)).alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
+        members = saved(placed.join(sizes.select("family", "size"), "family"))
+        cut = members.withColumn("of", F.ceil(F.col("size") / BLOCK).cast("int"))
+        cut = cut.withColumn("block", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
+        cut = cut.join(self.sets(members.select("id")), "id").withColumn("other", F.explode(F.expr("sequence(0, of - 1)")))
+        cell = F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other"))
+        cells = cut.select(cell.alias("cell"), "id", "part", "members")
+        return cells.groupBy("cell").applyInArrow(_links_in_cell, "a long, b long")
+
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
@@ -299,7 +353,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # A doc_id with several texts links their classes.
     several = own.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("hi")).where("b < hi and doc_id is not null")
     links = own.join(several, "doc_id").select(F.col("id").alias("a"), "b")
-    parts = Join(slim, classes, links).run()
+    parts = Join(slim, classes).run(links)
     component = F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "id"))
     return own.join(parts, "id", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from loomseries.llm import components, minhash
+from loomseries.llm import components, minhash, nodes
 
 DOCS = "doc_id long, text string, node string, id string, c1 string, part int"
 
@@ -74,6 +74,8 @@ def test_large_groups_go_through_stars_levels_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "LEVELS", 2)
     monkeypatch.setattr(minhash, "BLOCK", 16)
     monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(nodes, "HOT", 20)
+    monkeypatch.setattr(nodes, "PART_ENTRIES", 200)
     rng = random.Random(5)
     base = [str(rng.randrange(10**6)) for _ in range(120)]
     docs = corpus(2, 60)
