@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,18 +94,35 @@ def outer_braces(text: Column) -> Column:
     return F.coalesce(*[F.when((x != "") & F.try_parse_json(x).isNotNull(), x) for x in found])
 
 
+def _lcs_rows(a: str, b: str) -> np.ndarray:
+    """Lengths of the longest common subsequences of all beginnings of two strings, a row of numpy at a time."""
+    right = np.frombuffer(b.encode("utf-32-le"), np.uint32)
+    rows = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    for i, x in enumerate(a):
+        rows[i + 1, 1:] = np.maximum.accumulate(np.maximum(rows[i, 1:], rows[i, :-1] + (right == ord(x))))
+    return rows
+
+
 @F.pandas_udf(T.IntegerType())
 def lcs_length(left: pd.Series, right: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two strings."""
+    return pd.Series([None if a is None or b is None else _lcs_rows(a, b)[-1, -1] for a, b in zip(left, right)], dtype="Int32")
+
+
+@F.pandas_udf(T.StringType())
+def lcs_text(left: pd.Series, right: pd.Series) -> pd.Series:
+    """The longest common subsequence itself; of several, the one found from the ends by preferring to drop from ``left``."""
 
     def one(a, b):
-        if a is None or b is None:
-            return None
-        row = [0] * (len(b) + 1)
-        for x in a:
-            corner = 0
-            for j, y in enumerate(b, 1):
-                corner, row[j] = row[j], corner + 1 if x == y else max(row[j], row[j - 1])
-        return row[-1]
-
-    return pd.Series([one(a, b) for a, b in zip(left, right)], dtype="Int32")
+        rows, i, j, found = _lcs_rows(a, b), len(a), len(b), []
+        while i and j:
+            if a[i - 1] == b[j - 1]:
+                i, j = i - 1, j - 1
+                found.append(a[i])
+            elif rows[i - 1, j] < rows[i, j - 1]:
+                j -= 1
+            else:
+                i -= 1
+        return "".join(reversed(found))
+
+    return pd.Series([None if a is None or b is None else one(a, b) for a, b in zip(left, right)], dtype=object)

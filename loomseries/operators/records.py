@@ -138,6 +138,11 @@ def attach_inner_left(paths: DataFrame, deps: DataFrame, signatures: DataFrame,
     return paths.join(deps, key).join(signatures, key, "left")
 
 
+def attach_known(functions: DataFrame, notes: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """Functions that are in ``names`` (all, if it is empty), each with its notes where there are some."""
+    return only_known(functions, names, key, all_if_empty=True).join(notes, key, "left")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Take ``columns`` from ``new`` where the key is there, keep the rest, append new keys."""
     fresh = new.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_hit"))

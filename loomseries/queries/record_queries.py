@@ -259,6 +259,27 @@ def documented_functions(spark, d):
     return rec.left_update(docs, notes, "doc_id", "note")
 
 
+_KNOWN_SQL = """SELECT p_partkey, p_name, quantity FROM part LEFT JOIN (SELECT l_partkey, CAST(sum(l_quantity) AS BIGINT) AS quantity
+  FROM lineitem GROUP BY 1) ON l_partkey = p_partkey"""
+
+
+def _known(spark, d, names):
+    parts = table(spark, d, "part").select("p_partkey", "p_name")
+    notes = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.sum("l_quantity").cast("long").alias("quantity"))
+    return rec.attach_known(parts, notes, names, "p_partkey")
+
+
+@query("attached_known", _KNOWN_SQL + " WHERE p_partkey IN (SELECT s_suppkey FROM supplier)")
+def attached_known(spark, d):
+    return _known(spark, d, table(spark, d, "supplier").select(F.col("s_suppkey").alias("p_partkey")))
+
+
+@query("attached_all", _KNOWN_SQL)
+def attached_all(spark, d):
+    """No names: every part stays."""
+    return _known(spark, d, table(spark, d, "supplier").filter("s_suppkey < 0").select(F.col("s_suppkey").alias("p_partkey")))
+
+
 @query("known_calls", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def known_calls(spark, d):
     names = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
@@ -468,6 +489,12 @@ def lcs_names(spark, d):
     return table(spark, d, "part").select("p_partkey", tx.lcs_length(F.col("p_name"), F.lower("p_type")).alias("lcs"))
 
 
+@query("lcs_texts")
+def lcs_texts(spark, d):
+    """The subsequences themselves; tests compare with a plain table walk."""
+    return table(spark, d, "part").select("p_partkey", tx.lcs_text(F.col("p_name"), F.lower("p_type")).alias("lcs"))
+
+
 # -- sorts and ranks
 @query("sorted_ranks", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS place FROM orders")
 def sorted_ranks(spark, d):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..streaming.stateful import AverageTrueRange, MovingAverage, Progress, RunningStats, apply, run_available
+from ..streaming.stateful import OpenStream, run_available
 from .indicator_queries import case_sql
 from .numeric_queries import SQL as NUMERIC
 from .numeric_queries import rounded_stats
@@ -37,22 +37,22 @@ def bar_stream(spark, sf_dir):
 
 
 def stream_sma(spark, sf_dir):
-    out = run_available(apply(tick_stream(spark, sf_dir), MovingAverage(5, *TICK_KEYS)))
+    out = run_available(OpenStream("sma", [5], *TICK_KEYS).run(tick_stream(spark, sf_dir)))
     return rounded(out.select("sym", "event_id", "sma"), ["sma"])
 
 
 def stream_atr(spark, sf_dir):
-    out = run_available(apply(bar_stream(spark, sf_dir), AverageTrueRange(5, ["sym"], ["ts"])))
+    out = run_available(OpenStream("atr", [5], ["sym"], ["ts"]).run(bar_stream(spark, sf_dir)))
     return rounded(out, ["atr"])
 
 
 def stream_stats(spark, sf_dir):
-    out = run_available(apply(tick_stream(spark, sf_dir), RunningStats(*TICK_KEYS)))
+    out = run_available(OpenStream("stats", [], *TICK_KEYS).run(tick_stream(spark, sf_dir)))
     return rounded_stats(out)
 
 
 def stream_progress(spark, sf_dir):
-    out = run_available(apply(tick_stream(spark, sf_dir), Progress(4, *TICK_KEYS)))
+    out = run_available(OpenStream("sma", [5], *TICK_KEYS).progress(tick_stream(spark, sf_dir)))
     return out.groupBy("sym").agg(F.max("progress").cast("long").alias("progress"))
 
 

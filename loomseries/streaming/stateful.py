@@ -8,7 +8,8 @@ before they are applied, so the size of a batch is what bounds a task; set
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -141,6 +142,43 @@ class Progress(Folding):
         return {"progress": out}, [float(out[-1])]
 
 
+class StreamInfo(NamedTuple):
+    """What a stream can be opened with: option names, outputs, and the rows it needs before it emits."""
+
+    name: str
+    options: tuple[str, ...]
+    outputs: tuple[str, ...]
+    start: Callable[..., int]
+    make: Callable[..., Folding]
+
+
+STREAMS = {
+    info.name: info for info in (
+        StreamInfo("sma", ("period",), ("sma",), lambda period: period - 1, MovingAverage),
+        StreamInfo("atr", ("period",), ("atr",), lambda period: period - 1, AverageTrueRange),
+        StreamInfo("stats", (), ("mean", "var_sample", "var_population"), lambda: 0, RunningStats),
+    )
+}
+
+
+class OpenStream:
+    """A stream opened by name: ``run`` gives its outputs, ``progress`` what its keys have seen beyond what it needs."""
+
+    def __init__(self, name: str, options: Sequence[int], key: Sequence[str], order: Sequence[str]):
+        if name not in STREAMS:
+            raise KeyError(f"no stream named {name!r}")
+        self.info, self.options = STREAMS[name], tuple(options)
+        if len(self.options) != len(self.info.options):
+            raise ValueError(f"{name} takes options {self.info.options}, got {list(options)}")
+        self.key, self.order = list(key), list(order)
+
+    def run(self, stream: DataFrame) -> DataFrame:
+        return apply(stream, self.info.make(*self.options, self.key, self.order))
+
+    def progress(self, stream: DataFrame) -> DataFrame:
+        return apply(stream, Progress(self.info.start(*self.options), self.key, self.order))
+
+
 def apply(stream: DataFrame, processor: Folding) -> DataFrame:
     """The streaming DataFrame with the processor's outputs."""
     spark = stream.sparkSession

@@ -123,3 +123,27 @@ def test_streams_read_folder_tables(spark, small_dir, tmp_path):
     for query in (stream_queries.stream_sma, stream_queries.stream_progress):
         lone, folder = query(spark, small_dir), query(spark, str(tmp_path))
         assert plain(folder.collect()) == plain(lone.collect()) and folder.count() > 0
+
+
+def test_common_subsequences(spark):
+    from loomseries.functions import text as tx
+
+    def table(a, b):
+        rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                rows[i][j] = rows[i - 1][j - 1] + 1 if a[i - 1] == b[j - 1] else max(rows[i - 1][j], rows[i][j - 1])
+        i, j, out = len(a), len(b), ""
+        while i and j:
+            if a[i - 1] == b[j - 1]:
+                i, j, out = i - 1, j - 1, a[i - 1] + out
+            elif rows[i - 1][j] < rows[i][j - 1]:
+                j -= 1
+            else:
+                i -= 1
+        return rows[-1][-1], out
+
+    pairs = [("ACGTTA", "TACGAT"), ("", "a"), ("é🙂x", "🙂éx"), ("abcbdab", "bdcaba"), ("same", "same"), ("abc", "xyz"), (None, "a")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for r in df.select("a", "b", tx.lcs_length("a", "b").alias("n"), tx.lcs_text("a", "b").alias("t")).collect():
+        assert (r.n, r.t) == ((None, None) if r.a is None else table(r.a, r.b))
