@@ -17,8 +17,8 @@ their prefix; most tokens are in one set only and are dropped where they meet.
 Before a pair is verified on its whole sets, its sizes and the tokens that can
 follow the shared one have to allow a match. Rarity comes from counts of all
 tokens in 2 ** 20 buckets, a table of fixed size; any fixed order gives the same
-matches, and rare tokens first make nodes small. Tokens count as equal by
-52 bits of a hash and their count, sets by 64 bits.
+matches, and rare tokens first make nodes small. Tokens are 52 bits of a hash,
+sets are known by 64 bits.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ from . import words
 WORDS = 5
 BUCKET_BITS = 20
 CHUNK = 4096  # buckets in one row of the table on its way
+TINY = 16  # sets of a node that are tried with each other as soon as they meet
 BLOCK = 1024  # sets of a node that are compared at once
 PART_LINES = 50_000  # lines whose prefixes meet in one task
 BROADCAST_IDS = 1_000_000  # hashes of 8 bytes; beyond that sets are joined by a shuffle
@@ -65,17 +66,6 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) -> counts of tokens by bucket, ``CHUNK`` buckets a row."""
-    total = np.zeros(1 << BUCKET_BITS, np.int64)
-    for batch in batches:
-        for _, texts in words.texts_of(batch.column(0)):
-            total += np.bincount(_bucket(_line_tokens(texts)[2]), minlength=len(total))
-    some = [i for i in range(0, len(total), CHUNK) if total[i : i + CHUNK].any()]
-    rows = np.stack([total[i : i + CHUNK] for i in some]) if some else np.zeros((0, CHUNK), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), words.binary_rows(rows)], ["first", "counts"])
-
-
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sum of the counts by chunk; the table's size bounds what is held."""
     sums: dict[int, np.ndarray] = {}
@@ -86,26 +76,24 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), words.binary_rows(rows)], ["first", "counts"])
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """By bucket, a code of 8 bits that grows with the count of its tokens in all of ``docs``."""
-    kind = "first int, counts binary"
-    counted = docs.select("text").mapInArrow(_count, kind).repartition(16, "first").mapInArrow(_add, kind)
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    for r in counted.collect():  # at most 2 ** 20 counts of 8 bytes
-        counts[r.first : r.first + CHUNK] = np.frombuffer(r.counts, np.int64)
-    return np.minimum(4 * np.log2(1.0 + counts), 255).astype(np.uint8)
+def rarity(counts: DataFrame) -> np.ndarray:
+    """By bucket, a code of 8 bits that grows with the count of its tokens; from the counts (first, counts) of all tasks."""
+    added = counts.repartition(16, "first").mapInArrow(_add, "first int, counts binary")
+    total = np.zeros(1 << BUCKET_BITS, np.int64)
+    for r in added.collect():  # at most 2 ** 20 counts of 8 bytes
+        total[r.first : r.first + CHUNK] = np.frombuffer(r.counts, np.int64)
+    return np.minimum(4 * np.log2(1.0 + total), 255).astype(np.uint8)
 
 
 class Lines:
-    """The lines of some texts that have tokens: owner, number in the text, ordered tokens, and a hash of the set."""
+    """The lines of some texts that have tokens: owner, number in the text, sorted tokens, and a hash of the set."""
 
-    def __init__(self, texts: words.Texts, codes: np.ndarray):
-        first, line, hashes = _line_tokens(texts)
-        tokens = codes[_bucket(hashes)].astype(np.uint64) << np.uint64(44) | hashes & np.uint64((1 << 44) - 1)
+    def __init__(self, texts: words.Texts):
+        first, line, self.all_hashes = _line_tokens(texts)
         sets, sizes = [np.zeros(0, np.uint64)], []
         edges = np.searchsorted(line, np.arange(0, len(first) + _LINE_BLOCK, _LINE_BLOCK))
         for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-            some = np.unique((line[a:b] - i * _LINE_BLOCK).astype(np.uint64) << np.uint64(52) | tokens[a:b])
+            some = words.distinct((line[a:b] - i * _LINE_BLOCK).astype(np.uint64) << np.uint64(52) | self.all_hashes[a:b] >> np.uint64(12))
             sets.append(some & np.uint64((1 << 52) - 1))
             sizes.append(np.bincount((some >> np.uint64(52)).astype(np.int64), minlength=_LINE_BLOCK))
         sizes = np.concatenate(sizes)[: len(first)]
@@ -120,32 +108,47 @@ class Lines:
         self.owner, self.number = owner[keep], number[keep].astype(np.int32)
         self.hash = words.sequence_hashes(self.tokens, self.cuts).view(np.int64)
 
-    def entries(self) -> np.ndarray:
-        """One entry for each token of each set's prefix."""
+    def entries(self, codes: np.ndarray) -> np.ndarray:
+        """One entry for each token of each set's prefix, the rarest tokens."""
         _, some = np.unique(self.hash, return_index=True)
         n = self.sizes[some]
+        line = np.repeat(np.arange(len(n)), n)
+        tokens = self.tokens[self.cuts[some][line] + np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)]
+        # In the order of line, rarity and token; line and rarity in one number.
+        rank = codes[(tokens >> np.uint64(52 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64)
+        ordered = []
+        for i in range(0, len(n), _LINE_BLOCK):
+            a, b = np.searchsorted(line, (i, i + _LINE_BLOCK))
+            # 12 bits of line, 8 of rarity, 44 of the token: enough to order by, and to join on.
+            ordered.append(np.sort(
+                (line[a:b] - i).astype(np.uint64) << np.uint64(52) | rank[a:b] << np.uint64(44) | tokens[a:b] & np.uint64((1 << 44) - 1)))
+        tokens = np.concatenate(ordered) & np.uint64((1 << 52) - 1) if ordered else tokens
         prefix = n - _needed(n) + 1
         row = np.repeat(np.arange(len(n)), prefix)
         pos = np.arange(len(row)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
         out = np.empty(len(row), _ENTRY)
-        out["node"] = words.mix(self.tokens[self.cuts[some][row] + pos] + np.uint64(5))
+        out["node"] = words.mix(tokens[(np.cumsum(n) - n)[row] + pos] + np.uint64(5))
         out["h"] = self.hash[some][row]
         out["n"], out["pos"] = np.minimum(n, _FULL)[row], np.minimum(pos, _FULL)
         return out
 
 
-def _line_rows(codes):
-    """(row, doc_id, text) -> (h, row, doc_id, line)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, texts in words.texts_of(batch.column(2)):
-                lines = Lines(texts, codes.value)
-                at = pa.array(lines.owner + row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(lines.hash), *(batch.column(i).take(at) for i in (0, 1)), pa.array(lines.number)], ["h", "row", "doc_id", "line"])
-
-    return run
+def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, doc_id, text) -> (h, row, doc_id, line) of every line, and at the end (first, counts) of the tokens by bucket."""
+    total = np.zeros(1 << BUCKET_BITS, np.int64)
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["h", "row", "doc_id", "line", "first", "counts"]
+    for batch in batches:
+        for row, texts in words.texts_of(batch.column(2)):
+            lines = Lines(texts)
+            total += np.bincount(_bucket(lines.all_hashes), minlength=len(total))
+            at = pa.array(lines.owner + row)
+            columns = [pa.array(lines.hash), *(batch.column(i).take(at) for i in (0, 1)), pa.array(lines.number)]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(at), k) for k in kinds[4:])], names)
+    some = [i for i in range(0, len(total), CHUNK) if total[i : i + CHUNK].any()]
+    if some:
+        counts = words.binary_rows(np.stack([total[i : i + CHUNK] for i in some]))
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), k) for k in kinds[:4]), pa.array(some, pa.int32()), counts], names)
 
 
 def _unique(entries: np.ndarray) -> np.ndarray:
@@ -161,7 +164,7 @@ def _packed(codes, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [Lines(texts, codes.value).entries() for _, texts in words.texts_of(batch.column(0))]
+            found = [Lines(texts).entries(codes.value) for _, texts in words.texts_of(batch.column(0))]
             if not found:
                 continue
             entries = _unique(np.concatenate(found))
@@ -175,14 +178,29 @@ def _packed(codes, parts: int):
     return run
 
 
+def _hopeful(entries: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Entries of nodes with several sets, without those of small nodes that can match no other entry there."""
+    node, n, pos = entries["node"], entries["n"].astype(np.int64), entries["pos"].astype(np.int64)
+    keep = size > TINY
+    for shift in range(1, TINY):
+        at = np.flatnonzero((size[shift:] <= TINY) & (node[shift:] == node[:-shift]))
+        if not len(at):
+            break
+        at = at[_may_match(n[at], pos[at], n[at + shift], pos[at + shift], np.minimum, np.maximum)]
+        keep[at] = keep[at + shift] = True
+    return keep
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The entries of nodes with two sets or more, and the size of their node."""
+    """The entries of nodes with two sets or more that may match another one, and the size of their node."""
     found = [np.frombuffer(x.as_buffer(), _ENTRY) for batch in batches for x in batch.column(1)]
     entries = _unique(np.concatenate(found)) if found else np.zeros(0, _ENTRY)
     starts = np.flatnonzero(np.concatenate([[True], entries["node"][1:] != entries["node"][:-1]])) if len(entries) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, len(entries)))
     size = np.repeat(sizes, sizes)
     entries, size = entries[size > 1], size[size > 1]
+    keep = _hopeful(entries, size)
+    entries, size = entries[keep], size[keep]
     yield pa.RecordBatch.from_arrays([
         pa.array(np.ascontiguousarray(entries["node"]).view(np.int64)),
         pa.array(np.ascontiguousarray(entries["h"])), pa.array(entries["n"].astype(np.int32)), pa.array(entries["pos"].astype(np.int32)),
@@ -190,13 +208,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ], ["node", "h", "n", "pos", "size"])
 
 
-def _whole_sets(codes, wanted):
+def _whole_sets(wanted):
     """(text) -> (h, tokens) of the wanted sets, all if None; a set may come several times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in words.texts_of(batch.column(0)):
-                lines = Lines(texts, codes.value)
+                lines = Lines(texts)
                 keep = np.zeros(len(lines.hash), bool)
                 keep[np.unique(lines.hash, return_index=True)[1]] = True
                 if wanted is not None:
@@ -248,9 +266,10 @@ class Join:
 
     def __init__(self, docs: DataFrame):
         self.docs = docs
-        self.codes = docs.sparkSession.sparkContext.broadcast(rarity(docs))  # 2 ** 20 bytes
-        kind = "h long, row long, doc_id long, line int"
-        self.lines = saved(docs.select("row", "doc_id", "text").mapInArrow(_line_rows(self.codes), kind))
+        kind = "h long, row long, doc_id long, line int, first int, counts binary"
+        found = saved(docs.select("row", "doc_id", "text").mapInArrow(_line_rows, kind))
+        self.lines = found.where("h is not null").select("h", "row", "doc_id", "line")
+        self.codes = docs.sparkSession.sparkContext.broadcast(rarity(found.where("first is not null").select("first", "counts")))  # 2 ** 20 bytes
         # The earliest line of each set.
         self.sets = saved(
             self.lines.groupBy("h").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count(F.lit(1)).alias("copies")))
@@ -262,22 +281,25 @@ class Join:
         entries = packed.repartition(parts, "part").mapInArrow(_shared, "node long, h long, n int, pos int, size long")
         return saved(entries.join(self.sets.select("h", "first"), "h"))
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """The later sets (h) of the pairs (a, b) that match."""
-        pairs = saved(pairs.distinct())
-        needed = saved(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
-        count, kind = needed.count(), "h long, tokens array<long>"
-        if not count:
-            return needed
-        texts = self.docs.select("text")
-        if count <= BROADCAST_IDS:  # bounded by that
-            wanted = self.docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.h for r in needed.toLocalIterator()], np.int64)))
-            sets = texts.mapInArrow(_whole_sets(self.codes, wanted), kind)
+    def whole_sets(self, needed: DataFrame) -> DataFrame:
+        """(h, tokens) of the sets ``needed`` (h), taken from the rows that have them first."""
+        needed = saved(needed.distinct())
+        rows = needed.join(self.sets.select("h", "first.row"), "h").select("row").distinct()
+        kind = "h long, tokens array<long>"
+        if needed.count() <= BROADCAST_IDS:
+            sc = self.docs.sparkSession.sparkContext
+            wanted = sc.broadcast(np.sort(np.array([r.h for r in needed.toLocalIterator()], np.int64)))
+            texts = self.docs.join(F.broadcast(rows), "row", "left_semi").select("text")
+            found = texts.mapInArrow(_whole_sets(wanted), kind)
         else:
-            sets = texts.mapInArrow(_whole_sets(self.codes, None), kind).join(needed, "h", "left_semi")
-        sets = saved(sets.dropDuplicates(["h"]))
+            texts = self.docs.join(rows, "row", "left_semi").select("text")
+            found = texts.mapInArrow(_whole_sets(None), kind).join(needed, "h", "left_semi")
+        return saved(found.dropDuplicates(["h"]))
+
+    def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The later sets (h) of the pairs (a, b) that match."""
         met = (
-            pairs.join(sets.selectExpr("h as a", "tokens as left"), "a").join(sets.selectExpr("h as b", "tokens as right"), "b")
+            pairs.distinct().join(sets.selectExpr("h as a", "tokens as left"), "a").join(sets.selectExpr("h as b", "tokens as right"), "b")
             .select("b", F.size(F.array_intersect("left", "right")).alias("both"), (F.size("left") + F.size("right")).alias("sum"))
         )
         return saved(met.where("4L * both >= 3L * (sum - both)").select(F.col("b").alias("h")).distinct())
@@ -285,10 +307,11 @@ class Join:
     def later_matches(self) -> DataFrame:
         """The sets (h) that match a set whose earliest line is earlier."""
         entries = self.shared()
+        sets = self.whole_sets(entries.select("h"))
         pivots = entries.groupBy("node").agg(F.min(F.struct("first", "h", "n", "pos")).alias("p"))
         stars = entries.join(pivots, "node").where(F.col("h") != F.col("p.h")).where(
             _may_match(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos")))
-        known = self.verify(stars.select(F.col("p.h").alias("a"), F.col("h").alias("b")))
+        known = self.verify(stars.select(F.col("p.h").alias("a"), F.col("h").alias("b")), sets)
         left = entries.join(known.withColumn("known", F.lit(True)), "h", "left").withColumn("open", F.col("known").isNull())
         # Of the rows that are left, those with something earlier in their node; the pivots have nothing.
         some = left.join(pivots, "node").where(F.col("open") & (F.col("h") != F.col("p.h"))).select("node").distinct()
@@ -297,7 +320,7 @@ class Join:
         rows = rows.withColumn("other", F.explode(F.expr("sequence(0, of - 1)")))
         cell = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
         cells = rows.select(cell.alias("cell"), "first", "h", "n", "pos", "open").repartition("cell").sortWithinPartitions("cell", "first", "h")
-        rest = self.verify(cells.select("cell", "h", "n", "pos", "open").mapInArrow(_earlier_in_cells, "a long, b long"))
+        rest = self.verify(cells.select("cell", "h", "n", "pos", "open").mapInArrow(_earlier_in_cells, "a long, b long"), sets)
         return known.unionByName(rest).distinct()
 
     def removed(self) -> DataFrame:
@@ -326,7 +349,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     empty table gives an empty result.
     """
     slim = docs.select(_row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = saved(Join(slim).removed())
+    with words.small_batches(docs.sparkSession):
+        gone = saved(Join(slim).removed())
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed_lines")]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), _row_key().alias("row"), F.col("doc_id").cast("long").alias("id"))
     met = packed.join(gone, (packed["row"] == gone["row"]) & packed["id"].eqNullSafe(gone["doc_id"]), "left").select("doc", "gone")

@@ -9,9 +9,11 @@ the bytes, taken from running sums, then mixed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 # Texts are handled in pieces of about this size, which bounds the temporary arrays.
 PIECE_BYTES = 1 << 19
@@ -26,6 +28,18 @@ _BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000):
+    """Texts go to Python in batches of that many rows in what runs inside, so that a task holds few of them at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit numbers evenly; equal numbers stay equal."""
     x = x.astype(np.uint64, copy=True)
