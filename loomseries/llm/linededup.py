@@ -39,7 +39,8 @@ CHUNK = 4096  # buckets in one row of the table on its way
 TINY = 16  # sets of a node that are tried with each other as soon as they meet
 BLOCK = 1024  # sets of a node that are compared at once
 PART_LINES = 50_000  # lines whose prefixes meet in one task
-BROADCAST_IDS = 1_000_000  # hashes of 8 bytes; beyond that sets are joined by a shuffle
+BROADCAST_ROWS = 1_000_000  # hashes of rows, of 8 bytes; beyond that the texts are shuffled to them
+FILTER_BITS = 24
 
 _LINE_BLOCK = 4096
 _FULL = 65535  # sizes and places from here on are not known exactly, and allow any match
@@ -208,17 +209,27 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ], ["node", "h", "n", "pos", "size"])
 
 
-def _whole_sets(wanted):
-    """(text) -> (h, tokens) of the wanted sets, all if None; a set may come several times."""
+def _filter_bits(hashes: DataFrame) -> np.ndarray:
+    """A bit for each of the hashes (h), by its lowest ``FILTER_BITS`` bits: 2 MB, however many hashes."""
+    place = F.pmod("h", F.lit(1 << FILTER_BITS)) + 1
+    maps = hashes.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for r in maps.collect():
+        out[(r.bucket - 1) * len(r.bits) : r.bucket * len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _whole_sets(bits):
+    """(text) -> (h, tokens) of the sets whose bit is set; a set may come several times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in words.texts_of(batch.column(0)):
                 lines = Lines(texts)
+                at = lines.hash & ((1 << FILTER_BITS) - 1)
+                wanted = np.flatnonzero(bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
                 keep = np.zeros(len(lines.hash), bool)
-                keep[np.unique(lines.hash, return_index=True)[1]] = True
-                if wanted is not None:
-                    keep &= np.isin(lines.hash, wanted.value)
+                keep[wanted[np.unique(lines.hash[wanted], return_index=True)[1]]] = True
                 tokens = pa.array(lines.tokens[np.repeat(keep, lines.sizes)].view(np.int64))
                 cuts = pa.array(np.concatenate([[0], np.cumsum(lines.sizes[keep])]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(lines.hash[keep]), pa.ListArray.from_arrays(cuts, tokens)], ["h", "tokens"])
@@ -285,15 +296,10 @@ class Join:
         """(h, tokens) of the sets ``needed`` (h), taken from the rows that have them first."""
         needed = saved(needed.distinct())
         rows = needed.join(self.sets.select("h", "first.row"), "h").select("row").distinct()
-        kind = "h long, tokens array<long>"
-        if needed.count() <= BROADCAST_IDS:
-            sc = self.docs.sparkSession.sparkContext
-            wanted = sc.broadcast(np.sort(np.array([r.h for r in needed.toLocalIterator()], np.int64)))
-            texts = self.docs.join(F.broadcast(rows), "row", "left_semi").select("text")
-            found = texts.mapInArrow(_whole_sets(wanted), kind)
-        else:
-            texts = self.docs.join(rows, "row", "left_semi").select("text")
-            found = texts.mapInArrow(_whole_sets(None), kind).join(needed, "h", "left_semi")
+        some = F.broadcast(rows) if needed.count() <= BROADCAST_ROWS else rows
+        texts = self.docs.join(some, "row", "left_semi").select("text")
+        bits = self.docs.sparkSession.sparkContext.broadcast(_filter_bits(needed))
+        found = texts.mapInArrow(_whole_sets(bits), "h long, tokens array<long>").join(needed, "h", "left_semi")
         return saved(found.dropDuplicates(["h"]))
 
     def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ def result(df):
 def test_same_lines_as_all_pairs(spark, monkeypatch, few):
     if few:
         monkeypatch.setattr(linededup, "BLOCK", 3)
-        monkeypatch.setattr(linededup, "BROADCAST_IDS", 0)
+        monkeypatch.setattr(linededup, "BROADCAST_ROWS", 0)
         monkeypatch.setattr(linededup, "PART_LINES", 5)
     docs = corpus(4 + few, 150)
     rng = random.Random(1)
