@@ -6,13 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, linededup, minhash, mixing, quality, rules, sharding, topk, warczip
+from . import bpe, langid, linededup, minhash, mixing, quality, rules, sharding, topk, warczip, words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of texts, for work in Python."""
+    words.text_batches(spark)
+    return table(spark, sf_dir, name)
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """40 shards: 4 regions of 2 racks of 5 shards."""
     return sharding.assign(table(spark, sf_dir, "documents"), sharding.balanced_tree(4, 2, 5))
@@ -20,14 +26,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(
-        table(spark, sf_dir, "documents"),
+        texts(spark, sf_dir),
         public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
         public_tokenizers.PATTERN,
     )
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(texts(spark, sf_dir))
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +42,7 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -46,22 +52,22 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return langid.predict(docs, langid.train(docs))
 
 
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.apply_rules(table(spark, sf_dir, "documents"))
+    return rules.apply_rules(texts(spark, sf_dir))
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What line dedup leaves of every document, as a digest of the text."""
-    cleaned = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    cleaned = linededup.dedup_lines(texts(spark, sf_dir))
     return cleaned.select("doc_id", "n_lines", "n_removed", "removed_lines", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warczip.archive(table(spark, sf_dir, "pages"))
+    records = warczip.archive(texts(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 

@@ -28,16 +28,23 @@ _BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
 
 
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python in batches that suit texts: a task holds few of them at once."""
+    spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
+
+
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 2000):
-    """Texts go to Python in batches of that many rows in what runs inside, so that a task holds few of them at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession):
+    """The same for what runs inside."""
+    before = spark.conf.get(BATCH_KEY)
+    text_batches(spark)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(BATCH_KEY, before)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
