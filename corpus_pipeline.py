@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomseries.llm import bpe, langid, linededup, minhash, mixing
+from loomseries.llm import bpe, langid, linededup, minhash, mixing, words
 from loomseries.session import saved
 
 # The classifier, the joins and the random draws are no SQL; tests compare them with brute force.
@@ -40,6 +40,7 @@ def _unpacked(df: DataFrame, names: list[str], **new: Column) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter (``und``) go; a missing language is filled in."""
+    words.text_batches(spark)
     named = langid.predict(_packed(docs), langid.train(docs), keep=["text", "rest"])
     known = named.where(F.col("lang_pred") != langid.UNKNOWN)
     return _unpacked(known, docs.columns, lang=F.coalesce("rest.lang", "lang_pred"))
@@ -47,12 +48,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that match an earlier one go, and documents of which nothing is left with them."""
+    words.text_batches(spark)
     cleaned = linededup.dedup_lines(_packed(docs)).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return _unpacked(cleaned, docs.columns, n_chars=F.length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    words.text_batches(spark)
     return _rows_of(docs, minhash.near_duplicates(docs), "kept")
 
 
@@ -63,6 +66,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document's ids and of the text decoded from them."""
+    words.text_batches(spark)
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
