@@ -314,15 +314,25 @@ class Join:
         first = rows.groupBy("node").agg(F.min("id").alias("b"))
         family = components(rows.join(first, "node").select(F.col("id").alias("a"), "b").distinct())
         placed = saved(self.with_parts(family.withColumnRenamed("component", "family")))
-        sizes = placed.groupBy("family").agg(
-            F.count(F.lit(1)).alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
-        members = saved(placed.join(sizes.select("family", "size"), "family"))
-        cut = members.withColumn("of", F.ceil(F.col("size") / BLOCK).cast("int"))
-        cut = cut.withColumn("block", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
-        cut = cut.join(self.sets(members.select("id")), "id").withColumn("other", F.explode(F.expr("sequence(0, of - 1)")))
-        cell = F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other"))
-        cells = cut.select(cell.alias("cell"), "id", "part", "members")
-        return cells.groupBy("cell").applyInArrow(_links_in_cell, "a long, b long")
+        # The largest part of a family is compared with the rest of it, and the rest with itself.
+        by_part = placed.groupBy("family", "part").agg(F.count(F.lit(1)).alias("n"))
+        sizes = by_part.groupBy("family").agg(
+            F.max_by("part", F.col("n")).alias("main"), F.max("n").alias("main_size"), F.sum("n").alias("size")).where("size > main_size")
+        members = saved(
+            placed.join(sizes, "family")
+            .withColumn("rest", F.col("part") != F.col("main"))
+            .withColumn("rest_blocks", F.ceil((F.col("size") - F.col("main_size")) / BLOCK).cast("int"))
+            .withColumn("main_blocks", F.ceil(F.col("main_size") / BLOCK).cast("int"))
+            .withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("rest_blocks")).otherwise(F.col("main_blocks"))).cast("int"))
+            .select("id", "part", "family", "rest", "block", "rest_blocks", "main_blocks")
+        )
+        to_rest = F.transform(F.sequence(F.lit(0), F.col("rest_blocks") - 1), lambda i: F.when(
+            F.col("rest"), F.xxhash64("family", F.lit("rest"), F.least("block", i), F.greatest("block", i))
+        ).otherwise(F.xxhash64("family", F.lit("main"), i, "block")))
+        to_main = F.transform(F.sequence(F.lit(0), F.col("main_blocks") - 1), lambda j: F.xxhash64("family", F.lit("main"), "block", j))
+        cells = members.select("id", "part", F.explode(F.when(F.col("rest"), F.concat(to_rest, to_main)).otherwise(to_rest)).alias("cell"))
+        met = cells.join(self.sets(members.select("id")), "id").select("cell", "id", "part", "members")
+        return met.groupBy("cell").applyInArrow(_links_in_cell, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
