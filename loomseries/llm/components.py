@@ -12,6 +12,14 @@ def _check(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
+PART_EDGES = 200_000
+
+
+def _few(df: DataFrame, edges: int) -> DataFrame:
+    """A small table in few partitions: one for each ``PART_EDGES`` edges."""
+    return df.coalesce(-(-edges // PART_EDGES))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in ``links`` (a, b): the smallest id reachable.
 
@@ -35,7 +43,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = saved(small.unionByName(least.withColumnRenamed("m", "b")).distinct())
+        # Rounds never add edges.
+        edges = saved(_few(small.unionByName(least.withColumnRenamed("m", "b")).distinct(), before[0]))
         after = _check(edges)
         if after == before:
             break
@@ -43,4 +52,4 @@ def components(links: DataFrame) -> DataFrame:
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component"))
     alone = links.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("component"))
     found = edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots).unionByName(alone)
-    return found.groupBy("id").agg(F.min("component").alias("component"))
+    return _few(found.groupBy("id").agg(F.min("component").alias("component")), max(1, before[0]))

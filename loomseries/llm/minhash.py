@@ -287,7 +287,7 @@ class Join:
     def run(self, links: DataFrame) -> DataFrame:
         """(id, component) of all linked classes; some ``links`` (a, b) are known."""
         source, make, entries = self.classes.select("id", "tokens"), _roots, self.classes.count() * 2 * TREES
-        pairs = []
+        small = []
         for level in range(LEVELS):
             rows = saved(nodes.meet(source, make, entries).select("node", F.col("member").alias("id"), "size", F.col("first").alias("pivot")))
             if level == 0:
@@ -296,14 +296,14 @@ class Join:
             placed = self.with_parts(rows.select("node", "id", "size"))
             mixed = placed.groupBy("node").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
             going = saved(placed.join(mixed.select("node"), "node"))
-            pairs.append(self.inside(going.where(f"size <= {SMALL}")))
+            small.append(going.where(f"size <= {SMALL}").select("node", "id", "part"))
             large = going.where(f"size > {SMALL}")
             entries = large.count() * 2
             if not entries or level + 1 == LEVELS:
                 break
             source = large.select("node", "id").join(self.classes.select("id", "tokens"), "id").select("id", "tokens", "node")
             make = _branches
-        found = self.confirmed(reduce(DataFrame.unionByName, pairs))
+        found = self.confirmed(self.inside(reduce(DataFrame.unionByName, small)))
         if entries:
             found = found.unionByName(self.in_families(large.select("node", "id")))
         self.link(found)

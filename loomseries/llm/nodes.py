@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ENTRY = np.dtype([("node", "<i8"), ("member", "<i8")])
-HOT = 500_000
+HOT = 2_000_000  # entries of 16 bytes
 PART_ENTRIES = 500_000
 
 Maker = Callable[[pa.RecordBatch], np.ndarray]
