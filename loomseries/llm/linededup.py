@@ -1,13 +1,15 @@
 """Near-duplicate lines by an exact set-similarity join; later matches are removed.
 
-The tokens of a line are its distinct five-word shingles (A-Z as a-z); lines of
-fewer words take no part. Two lines match at a Jaccard similarity of 0.75 or
-more, and a line goes if any earlier line matches it, by doc_id and place.
+The tokens of a line are its distinct five-word shingles (A-Z as a-z); a line of
+fewer words has all of them as its one token, and lines without words take no
+part. Two lines match at a Jaccard similarity of 0.75 or more, and a line goes if
+any earlier line matches it, by doc_id and place.
 
 Tokens are put in order of rarity. Two matching lines share a token among the
 first n - ceil(0.75 n) + 1 of a line's n tokens (its prefix). Sets that are
 equal count once, with their earliest line. They meet in a node for each token of
 their prefix; most tokens are in one set only and are dropped where they meet.
+Sets of one or two tokens match equal sets only, and enter no node.
 
 1. In each node the sets are compared with its earliest one, which decides most
    members of large groups.
@@ -37,6 +39,7 @@ WORDS = 5
 BUCKET_BITS = 20
 CHUNK = 4096  # buckets in one row of the table on its way
 TINY = 16  # sets of a node that are tried with each other as soon as they meet
+ALONE = 2  # tokens; sets of so many match no other set
 BLOCK = 1024  # sets of a node that are compared at once
 PART_LINES = 50_000  # lines whose prefixes meet in one task
 BROADCAST_ROWS = 1_000_000  # hashes of rows, of 8 bytes; beyond that the texts are shuffled to them
@@ -53,14 +56,24 @@ def _needed(n):
 
 
 def _line_tokens(texts: words.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start of every line; line and hash of every shingle, in their order."""
+    """Start of every line; line and hash of every shingle, or of all words of a shorter line, in the order of lines."""
     lowered = texts.lowered()
     first, _ = lowered.lines()
     starts, ends = lowered.words()
     line = np.searchsorted(first, starts, side="right") - 1
     last = len(line) - WORDS + 1
     at = np.flatnonzero(line[:last] == line[WORDS - 1 :]) if last > 0 else np.zeros(0, np.int64)
-    return first, line[at], words.grams(lowered.hashes(starts, ends), WORDS, at)
+    hashes = lowered.hashes(starts, ends)
+    counts = np.bincount(line, minlength=len(first))
+    begin = np.cumsum(counts) - counts
+    lines, values = [line[at]], [words.grams(hashes, WORDS, at)]
+    for short in range(1, WORDS):
+        some = np.flatnonzero(counts == short)
+        lines.append(some)
+        values.append(words.grams(hashes, short, begin[some]))
+    lines, values = np.concatenate(lines), np.concatenate(values)
+    order = np.argsort(lines, kind="stable")
+    return first, lines[order], values[order]
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -110,8 +123,9 @@ class Lines:
         self.hash = words.sequence_hashes(self.tokens, self.cuts).view(np.int64)
 
     def entries(self, codes: np.ndarray) -> np.ndarray:
-        """One entry for each token of each set's prefix, the rarest tokens."""
+        """One entry for each token of each set's prefix, the rarest tokens; none of sets that match equal ones only."""
         _, some = np.unique(self.hash, return_index=True)
+        some = some[self.sizes[some] > ALONE]
         n = self.sizes[some]
         line = np.repeat(np.arange(len(n)), n)
         tokens = self.tokens[self.cuts[some][line] + np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)]
@@ -332,7 +346,9 @@ class Join:
     def removed(self) -> DataFrame:
         """(row, doc_id, gone): the numbers of the lines to remove, for every row that has some."""
         bad = self.later_matches().withColumn("bad", F.lit(True))
-        marked = self.sets.join(bad, "h", "left").where("copies > 1 or bad").select("h", "first", F.coalesce("bad", F.lit(False)).alias("bad"))
+        # A table of its own, so that Spark can split the lines that are very common.
+        marked = saved(
+            self.sets.join(bad, "h", "left").where("copies > 1 or bad").select("h", "first", F.coalesce("bad", F.lit(False)).alias("bad")))
         place = F.struct("doc_id", "row", "line")
         gone = self.lines.join(marked, "h").where(F.col("bad") | ~place.eqNullSafe(F.col("first")))
         return gone.groupBy("row", "doc_id").agg(F.sort_array(F.collect_set("line")).alias("gone"))
