@@ -16,6 +16,9 @@ Sets of one or two tokens match equal sets only, and enter no node.
 2. Those left over are compared with every earlier set of their nodes; a large
    node is cut into blocks for that.
 
+The sets of a node meet in one task, unless its token may be in ``HOT`` lines or
+more. Such a node is dealt out by set, and goes by way of Spark's own joins.
+
 Before a pair is verified on its whole sets, its sizes and the tokens that can
 follow the shared one have to allow a match. Rarity comes from counts of all
 tokens in 2 ** 20 buckets, a table of fixed size; any fixed order gives the same
@@ -42,6 +45,7 @@ TINY = 16  # sets of a node that are tried with each other as soon as they meet
 ALONE = 2  # tokens; sets of so many match no other set
 BLOCK = 1024  # sets of a node that are compared at once
 PART_LINES = 50_000  # lines whose prefixes meet in one task
+HOT = 1 << 21  # times that the tokens of a bucket are there; seen by its code of rarity, so nodes with as many entries or more are hot, and some with fewer
 BROADCAST_ROWS = 1_000_000  # hashes of rows, of 8 bytes; beyond that the texts are shuffled to them
 FILTER_BITS = 24
 
@@ -90,13 +94,17 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), words.binary_rows(rows)], ["first", "counts"])
 
 
+def _code(counts) -> np.ndarray:
+    return np.minimum(4 * np.log2(1.0 + counts), 255).astype(np.uint8)
+
+
 def rarity(counts: DataFrame) -> np.ndarray:
     """By bucket, a code of 8 bits that grows with the count of its tokens; from the counts (first, counts) of all tasks."""
     added = counts.repartition(16, "first").mapInArrow(_add, "first int, counts binary")
     total = np.zeros(1 << BUCKET_BITS, np.int64)
     for r in added.collect():  # at most 2 ** 20 counts of 8 bytes
         total[r.first : r.first + CHUNK] = np.frombuffer(r.counts, np.int64)
-    return np.minimum(4 * np.log2(1.0 + total), 255).astype(np.uint8)
+    return _code(total)
 
 
 class Lines:
@@ -122,8 +130,12 @@ class Lines:
         self.owner, self.number = owner[keep], number[keep].astype(np.int32)
         self.hash = words.sequence_hashes(self.tokens, self.cuts).view(np.int64)
 
-    def entries(self, codes: np.ndarray) -> np.ndarray:
-        """One entry for each token of each set's prefix, the rarest tokens; none of sets that match equal ones only."""
+    def entries(self, codes: np.ndarray, hot: int) -> np.ndarray:
+        """One entry for each token of each set's prefix, the rarest tokens; none of sets that match equal ones only.
+
+        The lowest bit of a node is set if the code of its token's bucket is ``hot`` or more; no node has more
+        entries than its bucket has tokens.
+        """
         _, some = np.unique(self.hash, return_index=True)
         some = some[self.sizes[some] > ALONE]
         n = self.sizes[some]
@@ -142,7 +154,8 @@ class Lines:
         row = np.repeat(np.arange(len(n)), prefix)
         pos = np.arange(len(row)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
         out = np.empty(len(row), _ENTRY)
-        out["node"] = words.mix(tokens[(np.cumsum(n) - n)[row] + pos] + np.uint64(5))
+        token = tokens[(np.cumsum(n) - n)[row] + pos]
+        out["node"] = words.mix(token + np.uint64(5)) & ~np.uint64(1) | (token >> np.uint64(44) >= np.uint64(hot)).astype(np.uint64)
         out["h"] = self.hash[some][row]
         out["n"], out["pos"] = np.minimum(n, _FULL)[row], np.minimum(pos, _FULL)
         return out
@@ -174,16 +187,21 @@ def _unique(entries: np.ndarray) -> np.ndarray:
     return entries[new]
 
 
-def _packed(codes, parts: int):
-    """(text) -> the entries of a batch, each once, packed by the part that their nodes go to."""
+def _is_hot(entries: np.ndarray) -> np.ndarray:
+    return (entries["node"] & np.uint64(1)).astype(bool)
+
+
+def _packed(codes, parts: int, hot: int):
+    """(text) -> the entries of a batch, each once, packed by the part that their nodes go to; of hot nodes, by that of their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [Lines(texts).entries(codes.value) for _, texts in words.texts_of(batch.column(0))]
+            found = [Lines(texts).entries(codes.value, hot) for _, texts in words.texts_of(batch.column(0))]
             if not found:
                 continue
             entries = _unique(np.concatenate(found))
-            part = (entries["node"] % np.uint64(parts)).astype(np.int64)
+            node, h = entries["node"] >> np.uint64(1), np.ascontiguousarray(entries["h"]).view(np.uint64)
+            part = (np.where(_is_hot(entries), words.mix(node ^ h), node) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
             some = np.flatnonzero(np.diff(cuts))
@@ -207,15 +225,20 @@ def _hopeful(entries: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The entries of nodes with two sets or more that may match another one, and the size of their node."""
+    """The entries of nodes with two sets or more that may match another one, and the size of their node.
+
+    Of hot nodes all the entries that come here, with the size 0.
+    """
     found = [np.frombuffer(x.as_buffer(), _ENTRY) for batch in batches for x in batch.column(1)]
     entries = _unique(np.concatenate(found)) if found else np.zeros(0, _ENTRY)
     starts = np.flatnonzero(np.concatenate([[True], entries["node"][1:] != entries["node"][:-1]])) if len(entries) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, len(entries)))
     size = np.repeat(sizes, sizes)
-    entries, size = entries[size > 1], size[size > 1]
+    loose = _is_hot(entries)
+    some = entries[loose]
+    entries, size = entries[~loose & (size > 1)], size[~loose & (size > 1)]
     keep = _hopeful(entries, size)
-    entries, size = entries[keep], size[keep]
+    entries, size = np.concatenate([entries[keep], some]), np.concatenate([size[keep], np.zeros(len(some), size.dtype)])
     yield pa.RecordBatch.from_arrays([
         pa.array(np.ascontiguousarray(entries["node"]).view(np.int64)),
         pa.array(np.ascontiguousarray(entries["h"])), pa.array(entries["n"].astype(np.int32)), pa.array(entries["pos"].astype(np.int32)),
@@ -259,10 +282,13 @@ def _may_match(n1, p1, n2, p2, least=F.least, greatest=F.greatest):
 
 
 def _earlier_in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (cell, h, n, pos, open) in the order of cell and line: pairs of an open row and an earlier one that may match."""
+    """Of rows (cell, h, n, pos, open, alone) in the order of cell and line: pairs of an open row and an earlier one that may match.
+
+    In a cell with ``alone`` the earlier one is not open: open rows meet each other elsewhere.
+    """
     held = None
 
-    def pairs(cell, h, n, pos, open_):
+    def pairs(cell, h, n, pos, open_, alone):
         starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         place = np.arange(len(cell)) - np.repeat(starts, np.diff(np.append(starts, len(cell))))
         left, right = [h[:0]], [h[:0]]
@@ -270,7 +296,8 @@ def _earlier_in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             at = np.flatnonzero(open_ & (place >= shift))
             if not len(at):
                 break
-            at = at[(h[at] != h[at - shift]) & _may_match(n[at], pos[at], n[at - shift], pos[at - shift], np.minimum, np.maximum)]
+            at = at[(h[at] != h[at - shift]) & ~(alone[at] & open_[at - shift])]
+            at = at[_may_match(n[at], pos[at], n[at - shift], pos[at - shift], np.minimum, np.maximum)]
             left.append(h[at - shift])
             right.append(h[at])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
@@ -286,6 +313,27 @@ def _earlier_in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pairs(*held)
 
 
+def _cells(rows: DataFrame) -> DataFrame:
+    """(cell, first, h, n, pos, open, alone) of rows (node, h, n, pos, size, first, open, opens): every open row meets every row of its node.
+
+    A node of up to ``BLOCK`` rows is one cell. In larger ones every two blocks of open rows are a cell, and every
+    block of open rows with every block of others (``alone``), so the others are copied for each block of open rows only.
+    """
+    own = F.when(F.col("open"), F.col("open_blocks")).otherwise(F.col("known_blocks"))
+    placed = (
+        rows.withColumn("open_blocks", F.greatest(F.lit(1), F.ceil(F.col("opens") / BLOCK)).cast("int"))
+        .withColumn("known_blocks", F.greatest(F.lit(1), F.ceil((F.col("size") - F.col("opens")) / BLOCK)).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("h"), own).cast("int"))
+    )
+    cell = lambda alone, *by: F.struct(F.xxhash64("node", F.lit(alone), *by).alias("cell"), F.lit(alone).alias("alone"))
+    of_open = F.sequence(F.lit(0), F.col("open_blocks") - 1)
+    among = F.transform(of_open, lambda i: cell(False, F.least("block", i), F.greatest("block", i)))
+    to_known = F.transform(F.sequence(F.lit(0), F.col("known_blocks") - 1), lambda j: cell(True, F.col("block"), j))
+    to_open = F.transform(of_open, lambda i: cell(True, i, F.col("block")))
+    at = F.when(F.col("size") <= BLOCK, F.array(cell(False))).when(F.col("open"), F.concat(among, to_known)).otherwise(to_open)
+    return placed.withColumn("at", F.explode(at)).select("at.cell", "first", "h", "n", "pos", "open", "at.alone")
+
+
 class Join:
     """The join over the lines of ``docs`` (row, doc_id, text)."""
 
@@ -302,8 +350,15 @@ class Join:
     def shared(self) -> DataFrame:
         """Entries (node, h, n, pos, size, first) of nodes with two sets or more."""
         parts = max(16, -(-self.sets.count() // PART_LINES))
-        packed = self.docs.select("text").mapInArrow(_packed(self.codes, parts), "part int, entries binary")
+        hot = int(_code(HOT))
+        packed = self.docs.select("text").mapInArrow(_packed(self.codes, parts, hot), "part int, entries binary")
         entries = packed.repartition(parts, "part").mapInArrow(_shared, "node long, h long, n int, pos int, size long")
+        if not (self.codes.value >= hot).any():
+            return saved(entries.join(self.sets.select("h", "first"), "h"))
+        entries = saved(entries)
+        loose = entries.where("size = 0").drop("size")
+        sizes = saved(loose.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+        entries = entries.where("size > 0").unionByName(loose.join(sizes, "node").select("node", "h", "n", "pos", "size"))
         return saved(entries.join(self.sets.select("h", "first"), "h"))
 
     def whole_sets(self, needed: DataFrame) -> DataFrame:
@@ -328,19 +383,18 @@ class Join:
         """The sets (h) that match a set whose earliest line is earlier."""
         entries = self.shared()
         sets = self.whole_sets(entries.select("h"))
-        pivots = entries.groupBy("node").agg(F.min(F.struct("first", "h", "n", "pos")).alias("p"))
+        # Tables of their own: with plain tables on both sides, Spark can split joins that are skewed.
+        pivots = saved(entries.groupBy("node").agg(F.min(F.struct("first", "h", "n", "pos")).alias("p")))
         stars = entries.join(pivots, "node").where(F.col("h") != F.col("p.h")).where(
             _may_match(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos")))
         known = self.verify(stars.select(F.col("p.h").alias("a"), F.col("h").alias("b")), sets)
         left = entries.join(known.withColumn("known", F.lit(True)), "h", "left").withColumn("open", F.col("known").isNull())
         # Of the rows that are left, those with something earlier in their node; the pivots have nothing.
-        some = left.join(pivots, "node").where(F.col("open") & (F.col("h") != F.col("p.h"))).select("node").distinct()
-        rows = left.join(some, "node", "left_semi").withColumn("of", F.ceil(F.col("size") / BLOCK).cast("int"))
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("h"), F.col("of")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.expr("sequence(0, of - 1)")))
-        cell = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
-        cells = rows.select(cell.alias("cell"), "first", "h", "n", "pos", "open").repartition("cell").sortWithinPartitions("cell", "first", "h")
-        rest = self.verify(cells.select("cell", "h", "n", "pos", "open").mapInArrow(_earlier_in_cells, "a long, b long"), sets)
+        opens = saved(
+            left.where("open").join(pivots, "node").where(F.col("h") != F.col("p.h")).groupBy("node").agg(F.count(F.lit(1)).alias("opens")))
+        cells = _cells(left.join(opens, "node")).repartition("cell").sortWithinPartitions("cell", "first", "h")
+        kind = cells.select("cell", "h", "n", "pos", "open", "alone")
+        rest = self.verify(kind.mapInArrow(_earlier_in_cells, "a long, b long"), sets)
         return known.unionByName(rest).distinct()
 
     def removed(self) -> DataFrame:
