@@ -54,9 +54,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One row of each group of near duplicates stays; rows without a doc_id of their own are documents like any other."""
     words.text_batches(spark)
-    return _rows_of(docs, minhash.near_duplicates(docs), "kept")
+    repeated = saved(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 or doc_id is null").select(F.col("doc_id").alias("_id")))
+    if repeated.isEmpty():
+        return _rows_of(docs, minhash.near_duplicates(docs), "kept")
+    # Rows with a repeated doc_id or none get a key beyond all doc_ids, so that each is compared on its own.
+    match = docs.doc_id.eqNullSafe(repeated["_id"])
+    top = F.lit(docs.agg(F.max("doc_id")).first()[0] or 0).cast("long")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    odd = saved(docs.join(repeated, match, "left_semi").select(row).withColumn("key", top + 1 + F.monotonically_increasing_id()))
+    even = docs.join(repeated, match, "left_anti")
+    keyed = even.select(F.col("doc_id").cast("long").alias("doc_id"), "text").unionByName(odd.select(F.col("key").alias("doc_id"), "row.text"))
+    decided = saved(minhash.near_duplicates(saved(keyed)).select("doc_id", "kept"))
+    kept = odd.join(decided.where("kept").select(F.col("doc_id").alias("key")), "key", "left_semi")
+    return _rows_of(even, decided, "kept").unionByName(kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
