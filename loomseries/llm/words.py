@@ -130,7 +130,7 @@ class Texts:
         return mix((self._sums[ends] - self._sums[starts]) * down[starts])
 
 
-def texts_of(column: pa.Array, piece: int = PIECE_BYTES) -> Iterator[tuple[int, Texts]]:
+def texts_of(column: pa.Array, piece: int = PIECE_BYTES, rows: int = PIECE_ROWS) -> Iterator[tuple[int, Texts]]:
     """Pieces of a string column, each with the number of its first row. NULL counts as an empty text."""
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
     if column.null_count:
@@ -142,7 +142,7 @@ def texts_of(column: pa.Array, piece: int = PIECE_BYTES) -> Iterator[tuple[int,
     row = 0
     while row < len(column):
         end = max(row + 1, int(np.searchsorted(at, at[row] + piece, side="right")) - 1)
-        end = min(end, row + PIECE_ROWS, len(column))
+        end = min(end, row + rows, len(column))
         yield row, Texts(data[at[row] : at[end]], at[row : end + 1] - at[row])
         row = end
 
