@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, langid, linededup, minhash, mixing, quality, rules, sharding, topk, warczip, words
+from . import alignment, bpe, importance, langid, linededup, minhash, mixing, quality, rules, sharding, topk, warczip, words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that resemble the benchmark are drawn more often."""
+    return importance.resample(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(
         texts(spark, sf_dir),
@@ -94,8 +99,8 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_sharding, op2_bpe, op3_topk, op4_quality, op5_minhash, op6_mixing, op7_language, op8_rules, op9_lines, op10_warc, op13_alignment)}
+        op1_sharding, op2_bpe, op3_topk, op4_quality, op5_minhash, op6_mixing, op7_language, op8_rules, op9_lines, op10_warc, op11_importance, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": TOP_K_SQL, "op6_mixing": mixing.ORACLE, "op8_rules": rules.ORACLE}
+    return {"op3_topk": TOP_K_SQL, "op6_mixing": mixing.ORACLE, "op8_rules": rules.ORACLE, "op11_importance": importance.ORACLE}
