@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, importance, langid, linededup, minhash, mixing, quality, rules, sharding, topk, warczip, words
+from . import alignment, bpe, importance, langid, licenses, linededup, minhash, mixing, quality, rules, sharding, topk, warczip, words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,10 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(texts(spark, sf_dir))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(
         texts(spark, sf_dir),
@@ -99,8 +103,10 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_sharding, op2_bpe, op3_topk, op4_quality, op5_minhash, op6_mixing, op7_language, op8_rules, op9_lines, op10_warc, op11_importance, op13_alignment)}
+        op1_sharding, op2_bpe, op3_topk, op4_quality, op5_minhash, op6_mixing, op7_language, op8_rules, op9_lines, op10_warc, op11_importance, op12_licenses, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": TOP_K_SQL, "op6_mixing": mixing.ORACLE, "op8_rules": rules.ORACLE, "op11_importance": importance.ORACLE}
+    return {
+        "op3_topk": TOP_K_SQL, "op6_mixing": mixing.ORACLE, "op8_rules": rules.ORACLE, "op11_importance": importance.ORACLE, "op12_licenses": licenses.ORACLE,
+    }
