@@ -6,16 +6,11 @@ import numpy as np
 import pyarrow as pa
 
 from test_linededup import corpus, frame, result
-from test_linededup import shingles as long_shingles
+from test_linededup import shingles as tokens
 
 from loomseries.llm import linededup
 
 
-def tokens(line):
-    w = tuple(line.lower().split())
-    return long_shingles(line) if len(w) >= linededup.WORDS else frozenset([w] if w else [])
-
-
 def brute(docs):
     """doc -> text without the lines that match an earlier one, and their numbers; a line of 1 to 4 words is one token."""
     seen, out = [], {}

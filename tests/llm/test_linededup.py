@@ -10,6 +10,8 @@ DOCS = "doc_id long, text string, line string, row int, h string, gone int, doc
 
 def shingles(line):
     w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in re.findall(r"[^\x20\x09-\x0D]+", line)]
+    if len(w) < 5:  # a line of 1 to 4 words is one token
+        return frozenset([tuple(w)] if w else [])
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4))
 
 
