@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as nm
 from ..operators import combine, intervals, schedule, stats, vector, vector_index
 from ..plans.series import Series
+from ..session import scratch_path
 from .tables import TICK_GRAIN, rounded, table, ticks
 
 QUERIES: dict = {}
@@ -47,7 +48,51 @@ def vector_index_search(spark, d):
     df = table(spark, d, "embeddings").select("vec_id", "embedding")
     index = vector_index.build(df, "vec_id", "embedding")
     found = vector_index.search(index, df.filter("vec_id % 50 = 0"), "vec_id", "embedding", 5, max(1, len(index.centres) * 3 // 4))
-    return rounded(found, ["cosine"])
+    return rounded(found.drop("compared"), ["cosine"])
+
+
+NEAREST_SQL = f"""{UNIT_SQL}, ranked AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_inner_product(q.u, c.u), 9) AS cosine FROM u q, u c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+  best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id)::INTEGER AS rank FROM ranked)"""
+
+
+@query("vector_index_saved", f"""WITH {NEAREST_SQL} SELECT query_id, rank, id, round(cosine, 6) + 0.0 AS cosine, label
+  FROM best JOIN (SELECT vec_id AS id, label FROM v) USING (id) WHERE rank <= 5""")
+def vector_index_saved(spark, d):
+    """Five nearest of every 50th vector, all lists searched, in an index that was written and loaded."""
+    df = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    path = scratch_path(spark, "indexes")
+    vector_index.save(vector_index.build(df, "vec_id", "embedding", keep=["label"]), path)
+    index = vector_index.load(spark, path)
+    found = vector_index.search(index, df.filter("vec_id % 50 = 0"), "vec_id", "embedding", 5, len(index.centres), keep=["label"])
+    return rounded(found.drop("compared"), ["cosine"])
+
+
+def _graph_search(df):
+    """Graphs over lists of some thousand vectors, of which all are searched while they are few."""
+    lists = max(1, min(int(df.count() ** 0.5), df.count() // vector_index.BLOCK))
+    index = vector_index.with_graphs(vector_index.build(df, "vec_id", "embedding", lists=lists))
+    return vector_index.search(index, df.filter("vec_id % 50 = 0"), "vec_id", "embedding", 5, 64)
+
+
+@query("vector_graph_search")
+def vector_graph_search(spark, d):
+    """Five nearest of every 50th vector as found by walking graphs, with the number of rows each was compared with."""
+    return rounded(_graph_search(table(spark, d, "embeddings").select("vec_id", "embedding")), ["cosine"])
+
+
+@query("vector_graph_recall", f"""WITH {NEAREST_SQL} SELECT count(DISTINCT query_id) AS queries, count(*) AS wanted, true AS nine_of_ten_found
+  FROM best WHERE rank <= 5""")
+def vector_graph_recall(spark, d):
+    """Whether the walks find nine of ten of the five nearest; a row as near as the fifth counts."""
+    df = table(spark, d, "embeddings").select("vec_id", "embedding")
+    index = vector_index.build(df, "vec_id", "embedding")
+    exact = vector_index.search(index, df.filter("vec_id % 50 = 0"), "vec_id", "embedding", 5, len(index.centres))
+    last = exact.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("cosine").alias("least"))
+    hits = _graph_search(df).join(last, "query_id").filter("cosine >= least").groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
+    both = last.join(hits, "query_id", "left").agg(
+        F.count(F.lit(1)).alias("queries"), F.coalesce(F.sum("n"), F.lit(0)).alias("wanted"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"))
+    return both.select("queries", "wanted", (F.col("hits") * 10 >= F.col("wanted") * 9).alias("nine_of_ten_found"))
 
 
 @query("vector_norms", """SELECT vec_id, round(sqrt(list_inner_product(e, e)), 6) AS norm FROM (
