@@ -3,20 +3,63 @@
 ``graph`` tells apart independent graphs (one per function, say), so many are
 worked on at once. Every operator is a sequence of joins on (graph, node); the
 rows of a round go to the shared folder and the next round reads them there.
+A NULL graph, and a NULL node, is one like any other.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import GrowingTable, saved
 
 G = "graph"
+SMALL_CORE = 100_000  # edges of a graph's core that are split into components in one task
+
+# -- keys ---------------------------------------------------------------
+KEYS, BOX = (G, "src", "dst", "node", "a", "b"), "_boxed"
+
+
+def _is_box(kind: T.DataType) -> bool:
+    return isinstance(kind, T.StructType) and kind.names == [BOX]
+
+
+def _boxed(df: DataFrame) -> DataFrame:
+    """Keys as structs of one field: these are never NULL, so equal keys meet in every join."""
+    return df.withColumns({c: F.struct(F.col(c).alias(BOX)) for c in df.columns if c in KEYS})
+
+
+def _open_column(name: str, kind: T.DataType) -> Column:
+    if _is_box(kind):
+        return F.col(f"`{name}`.{BOX}").alias(name)
+    if isinstance(kind, T.ArrayType) and _is_box(kind.elementType):
+        return F.transform(F.col(f"`{name}`"), lambda x: x[BOX]).alias(name)
+    return F.col(f"`{name}`")
+
+
+def _opened(df: DataFrame) -> DataFrame:
+    return df.select(*[_open_column(f.name, f.dataType) for f in df.schema.fields])
+
+
+def over_boxed_keys(core: Callable) -> Callable:
+    """The operator on tables as they come: their keys are boxed for ``core`` and opened in its results."""
 
+    @functools.wraps(core)
+    def run(*args, **named):
+        box = lambda x: _boxed(x) if isinstance(x, DataFrame) else x
+        out = core(*map(box, args), **{k: box(v) for k, v in named.items()})
+        return tuple(map(_opened, out)) if isinstance(out, tuple) else _opened(out)
 
-def bfs_levels(edges: DataFrame, entries: DataFrame) -> DataFrame:
+    return run
+
+
+# -- operators ----------------------------------------------------------
+def _bfs_levels(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """Distance of every reachable node from the entries ``(graph, node)``: ``(graph, node, level)``."""
     steps = saved(edges.select(G, "src", "dst").distinct())
     table = GrowingTable(edges.sparkSession)
@@ -33,35 +76,42 @@ def bfs_levels(edges: DataFrame, entries: DataFrame) -> DataFrame:
     return table.all()
 
 
-def reachable_nodes(edges: DataFrame, entries: DataFrame) -> DataFrame:
-    return bfs_levels(edges, entries).select(G, "node")
+def _reachable_nodes(edges: DataFrame, entries: DataFrame) -> DataFrame:
+    return _bfs_levels(edges, entries).select(G, "node")
 
 
-def trim_unreachable(edges: DataFrame, entries: DataFrame) -> DataFrame:
+def _trim_unreachable(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """Edges whose two ends can be reached; a reachable source makes its target reachable."""
-    nodes = reachable_nodes(edges, entries).withColumnRenamed("node", "src")
+    nodes = _reachable_nodes(edges, entries).withColumnRenamed("node", "src")
     return edges.join(nodes, [G, "src"], "left_semi")
 
 
-def transitive_closure(edges: DataFrame) -> DataFrame:
-    """All pairs ``(graph, src, dst)`` with a path of at least one edge."""
+def _transitive_closure(edges: DataFrame) -> DataFrame:
+    """All pairs ``(graph, src, dst)`` with a path of at least one edge.
+
+    Round i has the pairs joined by exactly 2 ** i steps and adds those that a
+    known path goes on from: paths double, so a chain of n edges closes in
+    log2(n) rounds. A round's new pairs follow from one aggregate over them and
+    the known ones.
+    """
     steps = saved(edges.select(G, "src", "dst").distinct())
-    hop = steps.select(G, F.col("src").alias("mid"), F.col("dst").alias("to"))
     table = GrowingTable(edges.sparkSession)
-    frontier = table.append(steps)
-    while not frontier.isEmpty():
-        nxt = (
-            frontier.withColumnRenamed("dst", "mid")
-            .join(hop, [G, "mid"])
-            .select(G, "src", F.col("to").alias("dst"))
-            .distinct()
-            .join(table.all(), [G, "src", "dst"], "left_anti")
-        )
-        frontier = table.append(nxt)
-    return table.all()
-
-
-def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
+    table.append(steps)
+    while True:
+        on = steps.select(G, F.col("dst").alias("mid"), F.col("src").alias("from"))
+        twice = on.join(steps.withColumnRenamed("src", "mid"), [G, "mid"]).select(G, F.col("from").alias("src"), "dst").distinct()
+        steps = saved(twice)
+        if steps.isEmpty():
+            return table.all()
+        on = steps.select(G, F.col("dst").alias("mid"), F.col("src").alias("from"))
+        known = table.all()
+        further = on.join(known.withColumnRenamed("src", "mid"), [G, "mid"]).select(G, F.col("from").alias("src"), "dst")
+        found = steps.unionByName(further).withColumn("_old", F.lit(0)).unionByName(known.withColumn("_old", F.lit(1)))
+        if table.append(found.groupBy(G, "src", "dst").agg(F.max("_old").alias("_old")).filter("_old = 0").drop("_old")).isEmpty():
+            return table.all()
+
+
+def _simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
     """Every path without a repeated node from a start to an end: ``(graph, start, end, nodes)``.
 
     All paths are listed, so the result grows with their number; a start that
@@ -71,7 +121,7 @@ def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFr
     goal = saved(ends.select(G, F.col("node").alias("last")).distinct())
     every = edges.select(G, "src", "dst").distinct()
     against = every.select(G, F.col("dst").alias("src"), F.col("src").alias("dst"))
-    useful = saved(reachable_nodes(against, goal.select(G, F.col("last").alias("node"))))
+    useful = saved(_reachable_nodes(against, goal.select(G, F.col("last").alias("node"))))
     steps = saved(every.join(useful.withColumnRenamed("node", "dst"), [G, "dst"], "left_semi"))
     table = GrowingTable(edges.sparkSession)
     first = starts.select(G, "node").distinct().join(useful, [G, "node"], "left_semi").withColumnRenamed("node", "start")
@@ -90,37 +140,46 @@ def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFr
     return table.all()
 
 
-def topological_layers(nodes: DataFrame, depends: DataFrame) -> DataFrame:
+def _topological_layers(nodes: DataFrame, depends: DataFrame) -> DataFrame:
     """Layer of each ``(graph, node)``: 0 without dependencies, else one past the last of them.
 
     ``depends`` is ``(graph, src, dst)``: src needs dst. What is left when no
     node is free, because it lies on or behind a cycle, forms the last layer.
-    """
-    needs = saved(
-        depends.filter("src <> dst")
-        .select(G, "src", "dst")
-        .distinct()
-        .join(nodes.select(G, F.col("node").alias("dst")).distinct(), [G, "dst"], "left_semi")
-    )
-    done = GrowingTable(nodes.sparkSession)
-    left = saved(nodes.select(G, "node").distinct())
-    while not left.isEmpty():
-        layer = F.lit(done.batches).cast("long")
-        blocked = saved(needs.select(G, F.col("src").alias("node")).distinct())
-        free = left.join(blocked, [G, "node"], "left_anti").withColumn("layer", layer)
-        batch = done.append(free)
-        if batch.isEmpty():
-            last = done.all().groupBy(G).agg(F.max("layer").alias("top"))
-            stuck = left.join(last, G, "left").select(G, "node", F.coalesce(F.col("top") + 1, F.lit(0)).alias("layer"))
-            done.append(stuck)
-            break
-        placed = batch.select(G, "node")
-        left = saved(left.join(placed, [G, "node"], "left_anti"))
-        needs = saved(needs.join(placed.withColumnRenamed("node", "dst"), [G, "dst"], "left_anti"))
-    return done.all()
-
 
-def back_edges(edges: DataFrame, entries: DataFrame, tangled: bool = True) -> DataFrame:
+    Chains are contracted first, so they cost no rounds. Then dependencies are
+    counted down: a round takes the blocks that became free, sends a count and
+    a layer along their edges, and frees those whose counts are complete. Every
+    edge is sent once, and only what was sent is written.
+    """
+    every = saved(nodes.select(G, "node").distinct())
+    named = [every.withColumnRenamed("node", n) for n in ("src", "dst")]
+    needs = depends.filter("src <> dst").select(G, F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
+    flow = saved(needs.join(named[0], [G, "src"], "left_semi").join(named[1], [G, "dst"], "left_semi"))
+    placed = saved(_chain_blocks(every.withColumns({"cluster": F.lit(0), "fixed": F.lit(False)}), flow))
+    a = placed.select(G, F.col("node").alias("src"), F.col("block").alias("from"), F.col("place").alias("p"))
+    b = placed.select(G, F.col("node").alias("dst"), F.col("block").alias("to"), F.col("place").alias("q"))
+    joined = flow.join(a, [G, "src"]).join(b, [G, "dst"]).filter("from <> to or q <> p + 1")
+    edges = saved(joined.select(G, "from", "to", (F.col("p") + 1).alias("more")))
+    degrees = saved(edges.groupBy(G, "to").agg(F.count(F.lit(1)).alias("degree")))
+
+    sent, done = GrowingTable(nodes.sparkSession), GrowingTable(nodes.sparkSession)
+    blocks = placed.select(G, F.col("block").alias("from")).distinct()
+    roots = blocks.join(degrees.select(G, F.col("to").alias("from")), [G, "from"], "left_anti")
+    free = done.append(roots.withColumn("layer", F.lit(0).cast("long")))
+    while not free.isEmpty():
+        news = free.join(edges, [G, "from"]).groupBy(G, "to").agg(
+            F.count(F.lit(1)).alias("n"), F.max(F.col("layer") + F.col("more")).alias("layer"))
+        touched = sent.append(news).select(G, "to")
+        so_far = sent.all().join(touched, [G, "to"], "left_semi").groupBy(G, "to").agg(F.sum("n").alias("n"), F.max("layer").alias("layer"))
+        complete = so_far.join(degrees, [G, "to"]).filter("n = degree")
+        free = done.append(complete.select(G, F.col("to").alias("from"), "layer"))
+    layered = placed.join(done.all().withColumnRenamed("from", "block"), [G, "block"], "left")
+    layered = saved(layered.select(G, "node", (F.col("layer") + F.col("place")).alias("layer")))
+    last = layered.groupBy(G).agg(F.coalesce(F.max("layer") + 1, F.lit(0)).alias("top"))
+    return layered.join(last, G).select(G, "node", F.coalesce("layer", "top").alias("layer"))
+
+
+def _back_edges(edges: DataFrame, entries: DataFrame, tangled: bool = True) -> DataFrame:
     """Edges into a node that every way from the entry to their source passes: the loops.
 
     For each candidate target the graph is searched from the entry without it;
@@ -130,7 +189,7 @@ def back_edges(edges: DataFrame, entries: DataFrame, tangled: bool = True) -> Da
     loops are those of a depth-first search that takes up the last neighbour first.
     """
     steps = saved(edges.select(G, "src", "dst").distinct())
-    levels = saved(bfs_levels(steps, entries))
+    levels = saved(_bfs_levels(steps, entries))
     here = levels.select(G, F.col("node").alias("src"), F.col("level").alias("src_level"))
     there = levels.select(G, F.col("node").alias("dst"), F.col("level").alias("dst_level"))
     candidates = saved(
@@ -161,10 +220,12 @@ def _tangled_loops(steps: DataFrame, entries: DataFrame) -> DataFrame:
     """Loops (graph, src, dst) of cycles with several entries, among edges without other loops.
 
     Nodes without an edge in, or without one out, are peeled off until only the
-    cycles and what lies between them are left. Such a core of one graph, if it
-    has one, is searched in one task: structured code has none.
+    cycles and what lies between them are left. That core falls into strongly
+    connected components, and each is searched depth first by itself, from the
+    nodes at which it is entered. Only a component meets in one task; small
+    cores are split into theirs there as well.
     """
-    core = steps
+    core = steps.select(G, "src", "dst")
     while True:
         heads, tails = core.select(G, F.col("src").alias("dst")), core.select(G, F.col("dst").alias("src"))
         less = saved(core.join(heads.distinct(), [G, "dst"], "left_semi").join(tails.distinct(), [G, "src"], "left_semi"))
@@ -172,36 +233,142 @@ def _tangled_loops(steps: DataFrame, entries: DataFrame) -> DataFrame:
         core = less
         if not after or before == after:
             break
-    empty = core.select(G, "src", "dst")
     if not core.head(1):
-        return empty
-    inside = core.select(G, F.col("src").alias("dst")).distinct()
-    marked = core.withColumn("root", F.lit(False))
-    outer = steps.join(core, [G, "src", "dst"], "left_anti").join(inside, [G, "dst"], "left_semi").select(G, "src", "dst")
-    roots = outer.unionByName(entries.select(G, F.lit(None).cast(core.schema["src"].dataType).alias("src"), F.col("node").alias("dst")))
-    roots = roots.join(inside, [G, "dst"], "left_semi").withColumn("root", F.lit(True)).select(G, "src", "dst", "root")
+        return core
+    sizes = saved(core.groupBy(G).agg(F.count(F.lit(1)).alias("_n")))
+    small = core.join(sizes.filter(F.col("_n") <= SMALL_CORE), G, "left_semi")
+    large = saved(core.join(sizes.filter(F.col("_n") > SMALL_CORE), G, "left_semi"))
+    node = core.schema["src"].dataType
+    parts = small.select(G, F.lit(None).cast(node).alias("part"), "src", "dst")
+    if large.head(1):
+        parts = parts.unionByName(_within_components(large, _components(large)))
+    parts = saved(parts)
+
+    # Edges into a part from elsewhere, and entries, say where its search starts.
+    inside = parts.select(G, F.col("src").alias("dst"), "part").distinct()
+    outer = steps.select(G, "src", "dst").join(parts.select(G, "src", "dst"), [G, "src", "dst"], "left_anti")
+    starts = outer.unionByName(entries.select(G, F.lit(None).cast(node).alias("src"), F.col("node").alias("dst")))
+    starts = starts.join(inside, [G, "dst"]).select(G, "part", F.col("dst").alias("src"), "dst", F.lit(True).alias("root"))
+    every = _opened(parts.withColumn("root", F.lit(False)).unionByName(starts))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        children, found, seen = {}, [], set()
-        for a, b in sorted(pdf.loc[~pdf["root"], ["src", "dst"]].itertuples(index=False)):
+        rows = pdf[["src", "dst"]].astype(object).where(pdf[["src", "dst"]].notna(), None)
+        pairs = list(rows[~pdf["root"]].itertuples(index=False, name=None))
+        found = _searched(sorted(pairs, key=lambda p: [_place(x) for x in p]), set(rows.loc[pdf["root"], "dst"]))
+        return pd.DataFrame({G: [pdf[G].iloc[0]] * len(found), "src": [a for a, _ in found], "dst": [b for _, b in found]})
+
+    opened = every.groupBy(G, "part").applyInPandas(search, every.select(G, "src", "dst").schema)
+    return _boxed(opened)
+
+
+def _place(node) -> tuple:
+    """Sorts nodes with NULL first."""
+    return (False,) if node is None else (True, node)
+
+
+def _searched(pairs: list[tuple], roots: set) -> list[tuple]:
+    """Loops of the components among ``pairs`` (sorted): edges to a node on the path of a depth-first search, last neighbour first."""
+    part = _local_components(pairs)
+    children: dict = {}
+    for a, b in pairs:
+        if part[a] == part[b]:
             children.setdefault(a, []).append(b)
-        stack = [(n, frozenset()) for n in sorted(set(pdf.loc[pdf["root"], "dst"]))]
+        else:
+            roots = roots | {b}
+    found, seen = [], set()
+    by_part: dict = {}
+    for n in sorted(roots, key=_place):
+        by_part.setdefault(part[n], []).append(n)
+    for start in by_part.values():
+        stack, path, on_path = [(n, 0) for n in start], [], set()
         while stack:
-            node, above = stack.pop()
+            node, depth = stack.pop()
+            while len(path) > depth:
+                on_path.discard(path.pop())
             if node in seen:
                 continue
             seen.add(node)
+            path.append(node)
+            on_path.add(node)
             for child in children.get(node, ()):
-                if child in above or child == node:
+                if child in on_path:
                     found.append((node, child))
                 else:
-                    stack.append((child, above | {node}))
-        return pd.DataFrame({G: [pdf[G].iloc[0]] * len(found), "src": [a for a, _ in found], "dst": [b for _, b in found]})
-
-    return marked.select(G, "src", "dst", "root").unionByName(roots).groupBy(G).applyInPandas(search, empty.schema)
-
-
-def chain_blocks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+                    stack.append((child, depth + 1))
+    return found
+
+
+def _local_components(pairs: list[tuple]) -> dict:
+    """A representative of each node's strongly connected component: two searches, the second against the edges."""
+    ahead: dict = {}
+    against: dict = {}
+    for a, b in pairs:
+        ahead.setdefault(a, []).append(b)
+        against.setdefault(b, []).append(a)
+    finished, seen = [], set()
+    for root in {**ahead, **against}:
+        if root in seen:
+            continue
+        seen.add(root)
+        stack = [(root, iter(ahead.get(root, ())))]
+        while stack:
+            node, rest = stack[-1]
+            step = next((x for x in rest if x not in seen), None)
+            if step is None:
+                finished.append(node)
+                stack.pop()
+            else:
+                seen.add(step)
+                stack.append((step, iter(ahead.get(step, ()))))
+    part: dict = {}
+    for root in reversed(finished):
+        todo = [] if root in part else [root]
+        while todo:
+            node = todo.pop()
+            if node not in part:
+                part[node] = root
+                todo += [x for x in against.get(node, ()) if x not in part]
+    return part
+
+
+def _within_components(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """Edges (graph, part, src, dst) whose ends are in one component."""
+    a, b = (parts.select(G, F.col("node").alias(n), F.col("part").alias(f"_{n}")) for n in ("src", "dst"))
+    met = edges.select(G, "src", "dst").join(a, [G, "src"]).join(b, [G, "dst"]).filter("_src = _dst")
+    return met.select(G, F.col("_src").alias("part"), "src", "dst")
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """(graph, node, part): strongly connected components, by colours.
+
+    The largest node from which a node can be reached is its colour; nodes of
+    one colour that can reach that node are its component. They go, and the rest
+    is coloured anew. A round is one aggregate over tables.
+    """
+    found = GrowingTable(edges.sparkSession)
+    left = saved(edges.select(G, "src", "dst").distinct())
+    nodes = saved(left.select(G, F.col("src").alias("node")).union(left.select(G, "dst")).distinct())
+    while not nodes.isEmpty():
+        colours = saved(nodes.withColumn("colour", F.col("node")))
+        while True:
+            sent = left.join(colours.withColumnRenamed("node", "src"), [G, "src"]).select(G, F.col("dst").alias("node"), "colour")
+            largest = colours.withColumn("own", F.col("colour")).unionByName(sent.withColumn("own", F.lit(None).cast(colours.schema["colour"].dataType)))
+            merged = saved(largest.groupBy(G, "node").agg(F.max("colour").alias("colour"), F.max("own").alias("own")))
+            colours = merged.drop("own")
+            if merged.filter("colour <> own").isEmpty():
+                break
+        # Against the edges, inside a colour, from the node that gave the colour.
+        mine = [colours.select(G, F.col("node").alias(n), F.col("colour").alias(f"_{n}")) for n in ("src", "dst")]
+        inner = saved(left.join(mine[0], [G, "src"]).join(mine[1], [G, "dst"]).filter("_src = _dst").select(G, F.col("dst").alias("src"), F.col("src").alias("dst")))
+        reached = _bfs_levels(inner, colours.filter("node = colour").select(G, "node")).select(G, "node")
+        found.append(colours.join(reached, [G, "node"], "left_semi").select(G, "node", F.col("colour").alias("part")))
+        nodes = saved(nodes.join(reached, [G, "node"], "left_anti"))
+        rest = [nodes.withColumnRenamed("node", n) for n in ("src", "dst")]
+        left = saved(left.join(rest[0], [G, "src"], "left_semi").join(rest[1], [G, "dst"], "left_semi"))
+    return found.all()
+
+
+def _chain_blocks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Position of each node in its chain: ``(graph, node, block, place)``.
 
     An edge joins its ends when it is the only one out of its source and the
@@ -248,13 +415,13 @@ def chain_blocks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def contract_chains(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _contract_chains(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Merge chains: the last node of a chain stays and takes the code of all, in order.
 
     ``nodes`` is ``(graph, node, type, code, cluster, fixed)``. Returns nodes
     ``(graph, node, type, code, size)`` and edges between the nodes that stay.
     """
-    placed = saved(chain_blocks(nodes, edges))
+    placed = saved(_chain_blocks(nodes, edges))
     full = nodes.join(placed, [G, "node"])
     code = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "code"))), lambda x: x["code"]), "\n")
     merged = full.groupBy(G, "block").agg(
@@ -271,7 +438,7 @@ def contract_chains(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Data
     return stays.select(G, "node", "type", "code", "size"), kept
 
 
-def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
+def _minimum_spanning_forest(edges: DataFrame) -> DataFrame:
     """Edges ``(a, b, weight)`` of the lightest forest that joins what the given edges join.
 
     In each round every component takes its lightest outgoing edge; ties are
@@ -312,3 +479,16 @@ def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
             .select("a", "b", "weight", F.col("na").alias("ca"), F.col("nb").alias("cb"))
         )
     return chosen.all().distinct() if chosen.schema else pairs
+
+
+bfs_levels = over_boxed_keys(_bfs_levels)
+reachable_nodes = over_boxed_keys(_reachable_nodes)
+trim_unreachable = over_boxed_keys(_trim_unreachable)
+transitive_closure = over_boxed_keys(_transitive_closure)
+simple_paths = over_boxed_keys(_simple_paths)
+topological_layers = over_boxed_keys(_topological_layers)
+back_edges = over_boxed_keys(_back_edges)
+strong_components = over_boxed_keys(_components)
+chain_blocks = over_boxed_keys(_chain_blocks)
+contract_chains = over_boxed_keys(_contract_chains)
+minimum_spanning_forest = over_boxed_keys(_minimum_spanning_forest)

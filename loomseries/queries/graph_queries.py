@@ -106,20 +106,46 @@ def talk_edges(spark, d, loops: bool = False):
     return edges.join(known, ["graph", "dst"], "left_semi").select("graph", "src", "dst")
 
 
-@query("graph_back_edges", """WITH RECURSIVE """ + TALK_SQL + """, e AS (SELECT * FROM flow UNION SELECT conv_id, turn, turn - 2 FROM conversations
+BACK_SQL = """WITH RECURSIVE """ + TALK_SQL + """, e AS (SELECT * FROM flow UNION SELECT conv_id, turn, turn - 2 FROM conversations
   WHERE turn >= 2 AND length(text) < 300),
   c AS (SELECT DISTINCT conv_id, src, dst FROM e WHERE dst <= src),
   b AS (SELECT DISTINCT conv_id, dst AS head, CAST(0 AS BIGINT) AS node FROM c WHERE dst <> 0
-    UNION SELECT b.conv_id, head, e.dst FROM b JOIN e ON e.conv_id = b.conv_id AND e.src = b.node AND e.dst <> head)
-  SELECT conv_id, src, dst FROM c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.conv_id = c.conv_id AND b.head = c.dst AND b.node = c.src)""")
+    UNION SELECT b.conv_id, head, e.dst FROM b JOIN e ON e.conv_id = b.conv_id AND e.src = b.node AND e.dst <> head)"""
+
+
+@query("graph_back_edges", BACK_SQL + """  SELECT conv_id, src, dst FROM c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.conv_id = c.conv_id AND b.head = c.dst AND b.node = c.src)""")
 def graph_back_edges(spark, d):
     entries = table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("graph"), F.col("turn").alias("node"))
     return gr.back_edges(talk_edges(spark, d, True), entries, tangled=False).select(F.col("graph").alias("conv_id"), "src", "dst")
 
 
-@query("graph_loops")
+# Cycles with several entries: components by reachability both ways, each searched with a stack as one state of a recursion.
+LOOPS_SQL = BACK_SQL + """, l AS (SELECT conv_id, src, dst FROM c
+    WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.conv_id = c.conv_id AND b.head = c.dst AND b.node = c.src)),
+  r AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS node FROM conversations WHERE turn = 0
+    UNION SELECT r.conv_id, e.dst FROM r JOIN e ON e.conv_id = r.conv_id AND e.src = r.node),
+  k AS (SELECT conv_id, src, dst FROM e SEMI JOIN r ON r.conv_id = e.conv_id AND r.node = e.src EXCEPT SELECT * FROM l),
+  p AS (SELECT * FROM k UNION SELECT p.conv_id, p.src, k.dst FROM p JOIN k ON k.conv_id = p.conv_id AND k.src = p.dst),
+  part AS (SELECT p.conv_id, p.src AS node, min(p.dst) AS part FROM p JOIN p q ON q.conv_id = p.conv_id AND q.src = p.dst AND q.dst = p.src GROUP BY ALL),
+  inner_ AS (SELECT k.conv_id, a.part, src, dst FROM k JOIN part a ON a.conv_id = k.conv_id AND a.node = src
+    JOIN part z ON z.conv_id = k.conv_id AND z.node = dst WHERE a.part = z.part),
+  near AS (SELECT conv_id, part, src, list(dst ORDER BY dst) AS next FROM inner_ GROUP BY ALL),
+  roots AS (SELECT conv_id, dst FROM (SELECT * FROM k EXCEPT SELECT conv_id, src, dst FROM inner_) UNION SELECT DISTINCT conv_id, 0 FROM conversations WHERE turn = 0),
+  start AS (SELECT roots.conv_id, part, list({'n': dst, 'd': CAST(0 AS BIGINT)} ORDER BY dst) AS stack
+    FROM roots JOIN part ON part.conv_id = roots.conv_id AND node = dst GROUP BY ALL),
+  search AS (SELECT conv_id, part, stack, CAST([] AS BIGINT[]) AS path, CAST([] AS BIGINT[]) AS seen, CAST([] AS BIGINT[][]) AS found FROM start
+    UNION ALL SELECT s.conv_id, s.part,
+      stack[:-2] || list_transform(list_filter(fresh, lambda x: NOT list_contains(path[:top.d] || [top.n], x)), lambda x: {'n': x, 'd': top.d + 1}),
+      path[:top.d] || [top.n], seen || [top.n],
+      found || list_transform(list_filter(fresh, lambda x: list_contains(path[:top.d] || [top.n], x)), lambda x: [top.n, x])
+    FROM (SELECT search.*, stack[-1] AS top, CASE WHEN list_contains(seen, stack[-1].n) THEN [] ELSE next END AS fresh
+      FROM search JOIN near ON near.conv_id = search.conv_id AND near.part = search.part AND near.src = stack[-1].n) s)
+  SELECT conv_id, src, dst FROM l UNION SELECT conv_id, f[1], f[2] FROM (SELECT conv_id, unnest(found) AS f FROM search)"""
+
+
+@query("graph_loops", LOOPS_SQL)
 def graph_loops(spark, d):
-    """With the loops of cycles that have several entries, which depend on a search order; tests compare with a plain search."""
+    """With the loops of cycles that have several entries, which depend on a search order."""
     entries = table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("graph"), F.col("turn").alias("node"))
     return gr.back_edges(talk_edges(spark, d, True), entries).select(F.col("graph").alias("conv_id"), "src", "dst")
 
@@ -168,7 +194,13 @@ def graph_node_labels(spark, d):
     return gs.parse_nodes(gs.node_statements(nodes), "statement").select("graph", "node", "type")
 
 
-@query("spanning_forest")
+# One tree after the other, each from its smallest node, by the lightest edge out of what is joined so far.
+@query("spanning_forest", """WITH RECURSIVE pairs AS (SELECT 'p' || l_partkey AS a, 's' || l_suppkey AS b, min(l_extendedprice) AS w FROM lineitem GROUP BY ALL),
+  e AS (SELECT a AS x, b AS y, a, b, w FROM pairs UNION ALL SELECT b, a, a, b, w FROM pairs),
+  t(node, a, b, w) USING KEY (node) AS (SELECT min(x), NULL::VARCHAR, NULL::VARCHAR, NULL::DOUBLE FROM e UNION SELECT * FROM (
+    SELECT y, a, b, w FROM e WHERE x IN (SELECT node FROM recurring.t) AND y NOT IN (SELECT node FROM recurring.t)
+    UNION ALL SELECT min(x), NULL, NULL, NULL FROM e WHERE x NOT IN (SELECT node FROM recurring.t) HAVING count(*) > 0 ORDER BY w NULLS LAST, a, b LIMIT 1))
+  SELECT a, b, round(w, 2) AS weight FROM t WHERE a IS NOT NULL""")
 def spanning_forest(spark, d):
     edges = table(spark, d, "lineitem").select(
         _id("p", "l_partkey").alias("a"), _id("s", "l_suppkey").alias("b"), F.col("l_extendedprice").alias("weight"))
