@@ -49,7 +49,8 @@ def narrowest_interval(points: DataFrame, nodes: DataFrame, key: str) -> DataFra
 
     An interval is filed under the power of two at or above its length, where
     it touches at most two buckets of that width; a point looks into its one
-    bucket per width in use. Ties go to the later start, then the smaller id.
+    bucket per width in use. Ties go to the later start, then the smaller id. A
+    point outside all intervals, or without a key, keeps its place with NULLs.
     """
     sized = nodes.filter("stop > start").withColumn(
         "scale", F.ceil(F.log2((F.col("stop") - F.col("start")).cast("double"))).cast("int"))
@@ -60,5 +61,7 @@ def narrowest_interval(points: DataFrame, nodes: DataFrame, key: str) -> DataFra
     probes = points.join(scales, key).withColumn("bucket", F.expr("shiftright(pos, scale)"))
     found = probes.join(filed, [key, "scale", "bucket"]).filter("start <= pos AND pos < stop")
     order = F.struct((F.col("stop") - F.col("start")).alias("w"), (-F.col("start")).alias("s"), F.col("node_id").alias("n"))
-    best = found.groupBy(key, "point_id", "pos").agg(F.min(order).alias("b"))
+    met = found.select(key, "point_id", "pos", order.alias("b"))
+    every = points.select(key, "point_id", "pos", F.lit(None).cast(met.schema["b"].dataType).alias("b"))
+    best = met.unionByName(every).groupBy(key, "point_id", "pos").agg(F.min("b").alias("b"))
     return best.select(key, "point_id", "pos", F.col("b.n").alias("node_id"), F.col("b.w").alias("width"))

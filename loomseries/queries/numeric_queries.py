@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as nm
-from ..operators import combine, intervals, schedule, stats, vector, vector_index
+from ..operators import combine, intervals, ordered_tree, schedule, stats, vector, vector_index
 from ..plans.series import Series
 from ..session import scratch_path
 from .tables import TICK_GRAIN, rounded, table, ticks
@@ -160,6 +161,46 @@ def range_aggregate(spark, d):
     return rounded(out, ["sum_value"], 2)
 
 
+# Affine maps modulo a prime, composed in the order of event_id: a combine function that does not commute.
+PRIME = 10_007
+MAP_SQL = f"m AS (SELECT event_id, [event_id % 97 + 1, CAST(floor(value) AS BIGINT) % {PRIME}] AS v FROM events)"
+RANGE_SQL = f"""q AS (SELECT o_orderkey AS id, o_custkey * 7 AS a, o_custkey * 7 + o_orderkey % 1000 AS b FROM orders),
+  l AS (SELECT id, list(v ORDER BY event_id) FILTER (v IS NOT NULL) AS vs FROM q LEFT JOIN m ON event_id BETWEEN a AND b GROUP BY id),
+  r AS (SELECT id, list_reduce(list_prepend([1, 0]::BIGINT[], coalesce(vs, [])),
+    lambda x, y: [x[1] * y[1] % {PRIME}, (y[1] * x[2] + y[2]) % {PRIME}]) AS v FROM l) SELECT id, v[1] AS factor, v[2] AS term FROM r"""
+
+
+def _then(x, y):
+    """The map x, then y, of a vector (factor, term) a row."""
+    return np.stack([x[:, 0] * y[:, 0] % PRIME, (y[:, 0] * x[:, 1] + y[:, 1]) % PRIME], axis=1)
+
+
+def _map_tree(spark, d):
+    maps = table(spark, d, "events").select(
+        "event_id", F.array((F.col("event_id") % 97 + 1).cast("long"), F.floor("value").cast("long") % PRIME).alias("v"))
+    return ordered_tree.build(maps, "event_id", "v", scratch_path(spark, "trees"), _then, (1, 0))
+
+
+def _composed(tree, spark, d):
+    ask = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), (F.col("o_custkey") * 7).alias("a"), (F.col("o_custkey") * 7 + F.col("o_orderkey") % 1000).alias("b"))
+    return tree.ranges(ask, "id", "a", "b").select("id", F.col("value")[0].alias("factor"), F.col("value")[1].alias("term"))
+
+
+@query("range_combine", f"WITH {MAP_SQL}, {RANGE_SQL}")
+def range_combine(spark, d):
+    return _composed(_map_tree(spark, d), spark, d)
+
+
+@query("tree_update", f"""WITH o AS (SELECT event_id, [event_id % 97 + 1, CAST(floor(value) AS BIGINT) % {PRIME}] AS v FROM events),
+  m AS (SELECT event_id, CASE WHEN event_type = 'error' THEN [2, event_id % {PRIME}] ELSE v END AS v FROM o JOIN events USING (event_id)), {RANGE_SQL}""")
+def tree_update(spark, d):
+    """The same after the maps of all errors were replaced in the stored tree."""
+    errors = table(spark, d, "events").filter("event_type = 'error'")
+    changes = errors.select("event_id", F.array(F.lit(2).cast("long"), (F.col("event_id") % PRIME).cast("long")).alias("v"))
+    return _composed(_map_tree(spark, d).update(changes, "event_id", "v"), spark, d)
+
+
 @query("custom_combine", """SELECT event_type AS sym, CAST(max(event_id) AS DOUBLE) AS top FROM events GROUP BY 1""")
 def custom_combine(spark, d):
     """A combine function of the caller, here the larger of two."""
