@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,39 @@ def running_stats(s: Series, column: str) -> Series:
 
 
 # -- k-means -------------------------------------------------------------
+FEW_GROUPS = 200  # so many centroids are compared in one expression, more in blocks
+BLOCK = 1024
+
+
+def _assign_in_blocks(points: DataFrame, centroids: Sequence[tuple[int, float, float]]) -> DataFrame:
+    """The same as ``_assign`` for any number of centroids: rows of a batch meet a block of them at a time."""
+    names = np.array([g for g, _, _ in centroids], np.int32)
+    places = np.array([(x, y) for _, x, y in centroids], float)
+    shared = points.sparkSession.sparkContext.broadcast((names, places))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, places = shared.value
+        for batch in batches:
+            x, y = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y"))
+            best, group = np.full(len(x), np.inf), np.full(len(x), names[0])
+            for i in range(0, len(names), BLOCK):
+                apart = (x[:, None] - places[i : i + BLOCK, 0]) ** 2 + (y[:, None] - places[i : i + BLOCK, 1]) ** 2
+                at = np.where(np.isnan(apart), np.inf, apart).argmin(axis=1)
+                near = apart[np.arange(len(x)), at]
+                group = np.where(near < best, names[i : i + BLOCK][at], group)
+                best = np.fmin(best, near)
+            columns = [pa.array(group) if n == "group" else batch.column("group") if n == "old" else batch.column(n) for n in out]
+            yield pa.RecordBatch.from_arrays(columns, out)
+
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields} | {"group": "int", "old": points.schema["group"].dataType.simpleString()}
+    out = list(kinds)
+    return points.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in kinds.items()))
+
+
 def _assign(points: DataFrame, centroids: Sequence[tuple[int, float, float]]) -> DataFrame:
     """Group of the nearest centroid; of equally near ones the first."""
+    if len(centroids) > FEW_GROUPS:
+        return _assign_in_blocks(points, centroids)
     best = [
         F.struct(
             ((F.col("x") - F.lit(x)) * (F.col("x") - F.lit(x)) + (F.col("y") - F.lit(y)) * (F.col("y") - F.lit(y))).alias("d"),
@@ -47,14 +80,9 @@ def centroids_of(points: DataFrame) -> DataFrame:
     return points.groupBy("group").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("size"))
 
 
-MAX_GROUPS = 1000  # groups of k-means, whose means pass the driver and are compared with every point
-
-
 def _means(points: DataFrame) -> list[tuple[int, float, float]]:
-    found = [(r["group"], r["x"], r["y"]) for r in centroids_of(points).orderBy("group").limit(MAX_GROUPS + 1).collect()]
-    if len(found) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups")
-    return found
+    """The means of the groups: three numbers a group pass the driver."""
+    return [(r["group"], r["x"], r["y"]) for r in centroids_of(points).orderBy("group").collect()]
 
 
 def kmeans_step(points: DataFrame) -> DataFrame:

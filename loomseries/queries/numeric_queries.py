@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as nm
-from ..operators import combine, intervals, ordered_tree, schedule, stats, vector, vector_index
+from ..operators import combine, intervals, ordered_tree, schedule, som, stats, vector, vector_index
 from ..plans.series import Series
 from ..session import scratch_path
 from .tables import TICK_GRAIN, rounded, table, ticks
@@ -147,11 +147,34 @@ def kmeans_step(spark, d):
     return stats.kmeans_step(_points(spark, d)).select("id", "group")
 
 
-@query("kmeans")
+@query("kmeans", """WITH RECURSIVE p AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice / 100 AS y, CAST(p_partkey % 5 AS INTEGER) AS g FROM part),
+  m(i, g, x, y, n) AS (SELECT 0, g, avg(x), avg(y), count(*) FROM p GROUP BY g
+    UNION ALL SELECT i + 1, g, avg(x), avg(y), count(*) FROM (
+      SELECT i, id, p.x, p.y, arg_min(m.g, ((p.x - m.x) * (p.x - m.x) + (p.y - m.y) * (p.y - m.y), m.g)) AS g FROM p, m WHERE i < 150 GROUP BY i, id, p.x, p.y) GROUP BY i, g)
+  SELECT g AS "group", round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, n AS size FROM m WHERE i = 150""")
 def kmeans(spark, d):
     return rounded(stats.centroids_of(stats.kmeans(_points(spark, d))), ["x", "y"])
 
 
+@query("som_epoch", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE len(embedding) > 0),
+  u AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS unit, e AS w FROM (SELECT * FROM v ORDER BY vec_id LIMIT 16)),
+  near AS (SELECT vec_id, e, arg_min(unit, (list_sum(list_transform(list_zip(e, w), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), unit)) AS unit FROM v, u GROUP BY vec_id, e),
+  hits AS (SELECT unit, count(*) AS n FROM near GROUP BY unit),
+  sums AS (SELECT unit, d, sum(x) AS s FROM (SELECT unit, unnest(range(1, len(e) + 1)) AS d, unnest(e) AS x FROM near) GROUP BY ALL),
+  h AS (SELECT a.unit AS unit, b.unit AS from_unit, exp(-((a.unit // 4 - b.unit // 4) ** 2 + (a.unit % 4 - b.unit % 4) ** 2) / 2.0) AS h FROM u a, u b),
+  total AS (SELECT h.unit, sum(h * n) AS t FROM h JOIN hits ON hits.unit = from_unit GROUP BY h.unit),
+  moved AS (SELECT h.unit, d, round(sum(h * s) / t, 6) + 0.0 AS w FROM h JOIN sums ON sums.unit = from_unit JOIN total ON total.unit = h.unit GROUP BY h.unit, d, t)
+  SELECT moved.unit, coalesce(max(n), 0) AS rows, list(w ORDER BY d) AS weights FROM moved LEFT JOIN hits ON hits.unit = moved.unit GROUP BY moved.unit""")
+def som_epoch(spark, d):
+    """One batch epoch of a 4 x 4 map over the embeddings, which starts from the first 16 of them."""
+    df = table(spark, d, "embeddings").filter(vector.has_vector("embedding"))
+    start = np.array([r[0] for r in df.orderBy("vec_id").limit(16).select("embedding").collect()], float)
+    units, n, _ = som.epoch(df, "embedding", start, som.neighbourhood(4, 4, 1.0))
+    rows = [(i, int(n[i]), [float(x) for x in units[i]]) for i in range(len(units))]
+    out = spark.createDataFrame(rows, "unit long, rows long, weights array<double>")
+    return out.select("unit", "rows", F.transform("weights", lambda x: F.round(x, 6) + F.lit(0.0)).alias("weights"))
+
+
 @query("range_aggregate", """WITH q AS (SELECT o_orderkey AS id, o_custkey * 7 AS a, o_custkey * 7 + o_orderkey % 1000 AS b FROM orders)
   SELECT id, min(value) AS min_value, max(value) AS max_value, round(coalesce(sum(value), 0), 2) AS sum_value FROM q LEFT JOIN events ON event_id BETWEEN a AND b GROUP BY id""")
 def range_aggregate(spark, d):

@@ -159,3 +159,19 @@ def test_scan_keeps_nan_until_a_reset(spark):
     a = F.when(F.col("rn") == 30, 0.0).otherwise(0.5)
     rows = scan(s, v=Step(a, F.col("x"))).df.orderBy("t").collect()
     assert [r.v is None for r in rows] == [3 <= i < 29 for i in range(40)]
+
+
+def test_narrowest_interval_keeps_every_point(spark):
+    nodes = spark.createDataFrame([("a", 1, 0, 10), ("a", 2, 3, 5), (None, 3, 0, 9)], "d string, node_id int, start long, stop long")
+    points = spark.createDataFrame([("a", 0, 4), ("a", 1, 40), ("b", 2, 4), (None, 3, 4)], "d string, point_id int, pos long")
+    got = {r.point_id: (r.node_id, r.width) for r in intervals.narrowest_interval(points, nodes, "d").collect()}
+    assert got == {0: (2, 2), 1: (None, None), 2: (None, None), 3: (None, None)}
+
+
+def test_many_groups_of_k_means(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(60) / 2, rng.randrange(60) / 2, i % 300) for i in range(900)] + [(900, None, 1.0, 3)]
+    points = spark.createDataFrame(rows, "id long, x double, y double, group int").repartition(3)
+    many = {r.id: r.group for r in stats.kmeans_step(points).collect()}
+    monkeypatch.setattr(stats, "FEW_GROUPS", 1000)
+    assert many == {r.id: r.group for r in stats.kmeans_step(points).collect()}
