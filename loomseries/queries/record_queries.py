@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import calls
 from ..operators import records as rec
 from ..plans.numbering import global_rank, time_then_id
 from ..plans.series import Series
@@ -529,6 +530,25 @@ def pairwise_turns(spark, d):
     return s.df.filter("rn > 1").select("conv_id", F.col("first_turn").alias("turn"), F.col("first_role").alias("role"), F.col("role").alias("next_role"))
 
 
+# -- calls to a service
+def _unsteady(text, attempt):
+    """Stands for a service, and fails by the length of the text: late, in part, always, or not at all."""
+    kind = len(text or "") % 4
+    if kind == 0 and attempt < 2 or kind == 2:
+        raise TimeoutError("no answer")
+    return '```json\n{"length": %d}\n```' % len(text or "") if kind != 1 else '{"attempt": %d}' % attempt
+
+
+@query("calls_with_recovery", """SELECT conv_id, turn, CASE length(coalesce(text, '')) % 4 WHEN 2 THEN NULL WHEN 1 THEN '{"attempt": 2}'
+    ELSE '{"length": ' || length(coalesce(text, '')) || '}' END AS answer,
+  CASE length(coalesce(text, '')) % 4 WHEN 2 THEN 'failed' WHEN 1 THEN 'partial' ELSE 'ok' END AS answer_state,
+  CASE length(coalesce(text, '')) % 4 WHEN 3 THEN 1 ELSE 3 END::BIGINT AS answer_calls FROM conversations""")
+def calls_with_recovery(spark, d):
+    """A JSON answer per turn from a service that fails now and then; the last JSON stands if none is complete."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return calls.call_json(turns, "text", _unsteady, lambda x: "length" in x, "answer", first_wait=0.0).drop("text")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
