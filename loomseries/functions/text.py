@@ -94,35 +94,61 @@ def outer_braces(text: Column) -> Column:
     return F.coalesce(*[F.when((x != "") & F.try_parse_json(x).isNotNull(), x) for x in found])
 
 
-def _lcs_rows(a: str, b: str) -> np.ndarray:
-    """Lengths of the longest common subsequences of all beginnings of two strings, a row of numpy at a time."""
-    right = np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    rows = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    for i, x in enumerate(a):
-        rows[i + 1, 1:] = np.maximum.accumulate(np.maximum(rows[i, 1:], rows[i, :-1] + (right == ord(x))))
-    return rows
+LCS_CELLS = 1 << 24  # cells of the table of lengths held at once
 
 
-@F.pandas_udf(T.IntegerType())
-def lcs_length(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Length of the longest common subsequence of two strings."""
-    return pd.Series([None if a is None or b is None else _lcs_rows(a, b)[-1, -1] for a, b in zip(left, right)], dtype="Int32")
+def _lcs_next(row: np.ndarray, letter: str, right: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences with every beginning of ``right``, one letter of the other string later."""
+    out = np.zeros_like(row)
+    out[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (right == ord(letter))))
+    return out
 
 
-@F.pandas_udf(T.StringType())
-def lcs_text(left: pd.Series, right: pd.Series) -> pd.Series:
-    """The longest common subsequence itself; of several, the one found from the ends by preferring to drop from ``left``."""
+def _lcs_length(a: str, b: str) -> int:
+    right = np.frombuffer(b.encode("utf-32-le"), np.uint32)
+    row = np.zeros(len(b) + 1, np.int32)
+    for letter in a:
+        row = _lcs_next(row, letter, right)
+    return int(row[-1])
+
 
-    def one(a, b):
-        rows, i, j, found = _lcs_rows(a, b), len(a), len(b), []
-        while i and j:
+def _lcs_text(a: str, b: str, cells: int = LCS_CELLS) -> str:
+    """The subsequence, walked from the ends over some rows of the table at a time.
+
+    Rows at equal distances are kept, as a bit per cell (neighbours differ by 0
+    or 1); the rows between two of them are computed again when the walk gets there.
+    """
+    right = np.frombuffer(b.encode("utf-32-le"), np.uint32)
+    step = max(1, min(int(len(a) ** 0.5) + 1, cells // (len(b) + 1)))
+    row, kept = np.zeros(len(b) + 1, np.int32), []
+    for i, letter in enumerate(a):
+        if i % step == 0:
+            kept.append(np.packbits(np.diff(row).astype(bool)))
+        row = _lcs_next(row, letter, right)
+    i, j, found = len(a), len(b), []
+    while i and j:
+        first = (i - 1) // step * step
+        rows = [np.concatenate([[0], np.cumsum(np.unpackbits(kept[first // step], count=len(b)), dtype=np.int32)])]
+        for letter in a[first:i]:
+            rows.append(_lcs_next(rows[-1], letter, right))
+        while i > first and j:
             if a[i - 1] == b[j - 1]:
                 i, j = i - 1, j - 1
                 found.append(a[i])
-            elif rows[i - 1, j] < rows[i, j - 1]:
+            elif rows[i - 1 - first][j] < rows[i - first][j - 1]:
                 j -= 1
             else:
                 i -= 1
-        return "".join(reversed(found))
+    return "".join(reversed(found))
+
+
+@F.pandas_udf(T.IntegerType())
+def lcs_length(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence of two strings."""
+    return pd.Series([None if a is None or b is None else _lcs_length(a, b) for a, b in zip(left, right)], dtype="Int32")
+
 
-    return pd.Series([None if a is None or b is None else one(a, b) for a, b in zip(left, right)], dtype=object)
+@F.pandas_udf(T.StringType())
+def lcs_text(left: pd.Series, right: pd.Series) -> pd.Series:
+    """The longest common subsequence itself; of several, the one found from the ends by preferring to drop from ``left``."""
+    return pd.Series([None if a is None or b is None else _lcs_text(a, b) for a, b in zip(left, right)], dtype=object)

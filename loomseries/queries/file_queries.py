@@ -58,12 +58,11 @@ def count_csv_round_trip(spark, d):
     return spark.read.schema("subject string, path_count long").csv(folder, header=True)
 
 
-@query("matrix_text_round_trip", r"""SELECT array_to_string(list_transform(range(1, 9), lambda i:
-    printf('%.4g', vec_id::DOUBLE / (i * i * 8))), ',') AS line FROM embeddings""")
+@query("matrix_text_round_trip", """SELECT array_to_string(list_transform(embedding, lambda x: printf('%.4g', x::DOUBLE)), ',') AS line FROM embeddings""")
 def matrix_text_round_trip(spark, d):
+    """The whole matrix of embeddings as text."""
     folder = scratch_path(spark, "files")
-    cells = F.array(*[F.col("vec_id") / F.lit(i * i * 8.0) for i in range(1, 9)])
-    files.write_matrix(table(spark, d, "embeddings").select(cells.alias("cells")), "cells", folder)
+    files.write_matrix(table(spark, d, "embeddings").select("embedding"), "embedding", folder)
     return spark.read.text(folder).withColumnRenamed("value", "line")
 
 

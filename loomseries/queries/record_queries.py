@@ -9,6 +9,7 @@ from ..operators import calls
 from ..operators import records as rec
 from ..plans.numbering import global_rank, time_then_id
 from ..plans.series import Series
+from ..sources import files
 from .tables import rounded, table
 
 QUERIES: dict = {}
@@ -164,11 +165,19 @@ def filter_non_empty(spark, d):
     return df.filter((F.trim("text") != "") & (F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))) > 0)).select("item_id")
 
 
-@query("filter_test_files", """SELECT page_id, split_part(regexp_replace(url, '[?#].*$', ''), '/', -1) AS file FROM pages
-  WHERE NOT starts_with(split_part(regexp_replace(url, '[?#].*$', ''), '/', -1), '8')""")
+@query("filter_test_files", """WITH s AS (SELECT page_id, 'p' || page_id // 6 AS subject, page_id % 3 = 0 OR page_id // 6 % 2 = 0 AS deep,
+    CASE WHEN page_id % 5 = 0 THEN 'test_' ELSE 'file_' END || page_id || '.c' AS file, html FROM pages),
+  whole AS (SELECT *, bool_and(deep) OVER (PARTITION BY subject) AS inner_only FROM s)
+  SELECT subject, subject || CASE WHEN deep THEN '/src/' ELSE '/' END || file AS path, length(html) AS size FROM whole
+  WHERE (NOT deep OR inner_only) AND NOT starts_with(file, 'test')""")
 def filter_test_files(spark, d):
-    file = F.element_at(F.split(F.regexp_replace("url", "[?#].*$", ""), "/"), -1)
-    return table(spark, d, "pages").select("page_id", file.alias("file")).filter(~F.col("file").startswith("8"))
+    """Pages as sources of subjects: in the subject's folder, or under src, which counts where there are no others; tests are left out."""
+    subject = F.concat(F.lit("p"), F.expr("page_id div 6"))
+    deep = F.expr("page_id % 3 = 0 or page_id div 6 % 2 = 0")
+    file = F.concat(F.when(F.col("page_id") % 5 == 0, "test_").otherwise("file_"), F.col("page_id"), F.lit(".c"))
+    path = F.concat(subject, F.when(deep, "/src/").otherwise("/"), file)
+    sources = table(spark, d, "pages").select(path.alias("path"), F.col("html").alias("text"))
+    return files.subject_sources(sources).select("subject", "path", F.length("text").alias("size"))
 
 
 for _label, _spec, _where in (
