@@ -8,7 +8,7 @@ from ..functions import text as tx
 from ..operators import graph as gr
 from ..plans.numbering import global_rank
 from ..session import scratch_path
-from ..sources import files
+from ..sources import clusters, files
 from ..sources import graphs as gs
 from .graph_queries import TALK_SQL, talk_edges
 from .record_queries import WORDS_SQL
@@ -102,6 +102,22 @@ def dot_file_round_trip(spark, d):
     return gs.parse_edges(gs.read_dot(spark, folder), "statement").select("graph", "src", "dst")
 
 
+@query("dot_clusters_round_trip", """SELECT CAST(conv_id AS VARCHAR) AS graph, CAST(turn AS VARCHAR) AS node, role AS type, text AS code,
+    CASE WHEN turn = 0 THEN NULL WHEN role = 'user' THEN 'asked' ELSE 'answered' END AS cluster FROM conversations""")
+def dot_clusters_round_trip(spark, d):
+    """Turns in nested clusters, their whole texts as codes, written with their loops' edges turned round and read back."""
+    talk = table(spark, d, "conversations")
+    place = F.when(F.col("turn") > 0, F.when(F.col("role") == "user", "asked").otherwise("answered"))
+    nodes = talk.select(F.col("conv_id").alias("graph"), F.col("turn").alias("node"), F.col("role").alias("type"), F.col("text").alias("code"), place.alias("cluster"))
+    graphs = talk.select(F.col("conv_id").alias("graph")).distinct()
+    tree = F.array(*[F.struct(F.lit(c).alias("cluster"), F.lit(p).cast("string").alias("parent")) for c, p in (("talk", None), ("asked", "talk"), ("answered", "talk"))])
+    parts = graphs.select("graph", F.explode(tree).alias("x")).select("graph", "x.*")
+    entries = talk.filter("turn = 0").select(F.col("conv_id").alias("graph"), F.col("turn").alias("node"))
+    folder = scratch_path(spark, "files")
+    clusters.write_clusters(clusters.clustered_statements(nodes, talk_edges(spark, d, True), parts, entries), folder)
+    return clusters.parse_nodes(clusters.read_statements(spark, folder))
+
+
 PATHS_SQL = f"""WITH RECURSIVE {TALK_SQL}, ends AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY 1),
   named AS (SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'START' ELSE 'STATEMENT' END AS type, role || ' ' || turn AS label FROM conversations),
   p AS (SELECT conv_id, turn, [turn] AS nodes, [label] AS labels, [type] AS types FROM named WHERE turn = 0 UNION ALL
