@@ -106,6 +106,26 @@ def test_mixing_equals_sql(spark):
     assert [r.shuffle_key for r in rows] == sorted(r.shuffle_key for r in rows)
 
 
+def test_mixing_in_many_partitions(spark, monkeypatch):
+    """Order and rows don't depend on the number of partitions, nor on how the rates come to the rows."""
+    df = spark.createDataFrame(mixed_rows(), DOCS)
+    names = ["doc_id", "text", "source", "copy", "shuffle_key"]
+    want = mixing.mix(df).select(*names).collect()
+    monkeypatch.setattr(mixing, "LARGE", 1000)
+    monkeypatch.setattr(mixing, "NUMBERS", 0)
+    out = mixing.mix(df).select(*names)
+    assert out.rdd.getNumPartitions() > 20
+    rows = out.collect()
+    assert [r.shuffle_key for r in rows] == sorted(r.shuffle_key for r in rows)
+    assert collections.Counter(rows) == collections.Counter(want)
+
+
+def test_mixing_shuffles_texts_once(spark, tmp_path):
+    spark.createDataFrame(mixed_rows(), DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    plan = mixing.mix(spark.read.parquet(str(tmp_path / "documents.parquet")))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.count("Exchange shuffle") + plan.count("Exchange hash") + plan.count("Exchange range") <= 1, plan
+
+
 def test_given_weights_and_high_rates(spark):
     docs = [(i, "w" * 10, "en", "big" if i % 10 else "small", i, "x", i) for i in range(1000)]
     df = spark.createDataFrame(docs, DOCS)
