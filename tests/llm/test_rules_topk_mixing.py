@@ -6,6 +6,7 @@ import re
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from loomseries.llm import mixing, queries, rules, topk
@@ -82,6 +83,40 @@ def test_few_candidates_repeated_ids_and_none(spark):
     assert topk.search(none, none, 5).count() == 0 and topk.search(two, none, 5).count() == 0 and topk.search(none, two, 5).count() == 0
 
 
+def test_queries_go_to_blocks_that_can_reach_the_cutoff():
+    """Every pair that reaches the cutoff is at a centre the query is sent to; with separate groups few others are."""
+    rng = np.random.default_rng(5)
+    middles = rng.integers(-500, 500, (6, 8))
+    rows = (middles[rng.integers(0, 6, 300)] + rng.integers(-9, 10, (300, 8))).tolist()
+    batch = pa.record_batch({"id": pa.array(range(300)), "v": pa.array(rows, pa.list_(pa.int64()))})
+    for lists in (1, 2, 3):
+        map_ = topk._Map(middles, lists)
+        filed = pa.Table.from_batches(map_.file([batch]))
+        centre, far = filed["centre"].to_numpy(), np.array(filed["far"].to_pylist())
+        map_.blocks, map_.starts = np.ones(6, int), np.arange(6)
+        map_.radii = np.array([far[centre == i].max(axis=0) for i in range(6)])
+        scores = np.array(rows) @ np.array(rows).T
+        cutoff = np.sort(scores, axis=1)[:, -5]
+        asked = batch.append_column("cutoff", pa.array([None, *cutoff[1:].tolist()], pa.int64()))
+        sent = pa.Table.from_batches(map_.reach([asked]))
+        pairs = set(zip(sent["id"].to_pylist(), sent["centre"].to_pylist(), strict=True))
+        assert {(int(q), int(centre[v])) for q, v in zip(*np.nonzero(scores >= cutoff[:, None]), strict=True)} <= pairs
+        assert {c for q, c in pairs if q == 0} == set(range(6)) and len(pairs) < 3 * 300
+        first = pa.Table.from_batches(map_.first([batch]))
+        assert len(first) == 2 * 300 and set(first["block"].to_pylist()) <= set(range(6))
+
+
+def test_cutoffs_beyond_the_scores_of_a_block(spark, monkeypatch):
+    """Blocks of small numbers meet cutoffs from blocks of large ones, in each kind of number."""
+    monkeypatch.setattr(topk, "VECTOR_BLOCK", 6)
+    rows = {i: [i % 5 - 2, i % 3] for i in range(40)} | {100 + i: [3 * 10**6 + i, 5] for i in range(8)} | {200 + i: [-(10**9), i] for i in range(8)}
+    asked = {i: rows[i] for i in (0, 3, 7, 104, 203)} | {-1: [1, 0], -2: [-1, 0]}
+    as_frame = lambda d: spark.createDataFrame(list(d.items()), "id long, v array<long>")
+    for lists in (1, 2):
+        got = sorted(tuple(r) for r in topk.search(as_frame(rows), as_frame(asked), 5, lists).collect())
+        assert got == sorted(brute_top(rows, asked, 5))
+
+
 def test_quantised_vectors(spark):
     rows = [(1, [0.5, -0.001], 1), (2, [math.nan], 1), (3, [None], 1), (4, None, 1), (5, [], 1), (6, [math.inf], 1), (7, [-math.inf, 1.0], 1)]
     out = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>, v int")).collect()
