@@ -36,6 +36,7 @@ VECTOR_BLOCK = 4096
 QUERY_BLOCK = 512
 CENTRES = 256  # vectors that others are filed under, at most: these come to the driver
 FIRST = 2
+SPANS = 500_000  # blocks whose bounds, three numbers each, are broadcast; beyond it they are joined by centre
 TASKS = 20_000  # partitions that blocks are dealt to, at most
 _SENT = 8192  # rows sent out at once
 _SLACK = 1e-9  # of a bound, far beyond the rounding of doubles
@@ -272,6 +273,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, lists: int = LISTS) -
     known = saved(asked.join(cutoffs, "id", "left").select("id", "v", "cutoff"))
     reached = known.mapInArrow(map_.reach, "id long, v array<bigint>, cutoff long, centre int, base double, norms array<double>")
     bound = F.aggregate(F.zip_with("norms", "radii", lambda n, r: n * r * (1 + _SLACK)), F.col("base"), lambda a, x: a + x)
+    # Queries are many times their table's size here, so Spark must not take them for the small side.
+    spans = F.broadcast(spans) if map_.blocks.sum() <= SPANS else spans.hint("merge")
     sent = reached.join(spans, "centre").where(F.col("cutoff").isNull() | (bound >= F.col("cutoff").cast("double")))
     sent = sent.select("block", F.lit(True).alias("query"), "id", "v", "cutoff")
     return ranked(met(sent, _resolve)).select("query_id", "rank", "vec_id", "score")

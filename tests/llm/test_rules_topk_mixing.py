@@ -112,8 +112,11 @@ def test_cutoffs_beyond_the_scores_of_a_block(spark, monkeypatch):
     rows = {i: [i % 5 - 2, i % 3] for i in range(40)} | {100 + i: [3 * 10**6 + i, 5] for i in range(8)} | {200 + i: [-(10**9), i] for i in range(8)}
     asked = {i: rows[i] for i in (0, 3, 7, 104, 203)} | {-1: [1, 0], -2: [-1, 0]}
     as_frame = lambda d: spark.createDataFrame(list(d.items()), "id long, v array<long>")
-    for lists in (1, 2):
-        got = sorted(tuple(r) for r in topk.search(as_frame(rows), as_frame(asked), 5, lists).collect())
+    for lists, spans in ((1, 500), (2, 0)):
+        monkeypatch.setattr(topk, "SPANS", spans)
+        out = topk.search(as_frame(rows), as_frame(asked), 5, lists)
+        assert ("SortMergeJoin [centre" in out._jdf.queryExecution().executedPlan().toString()) == (spans == 0)
+        got = sorted(tuple(r) for r in out.collect())
         assert got == sorted(brute_top(rows, asked, 5))
 
 
