@@ -54,7 +54,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates stays; rows without a doc_id of their own are documents like any other."""
+    """One row of each group of near duplicates stays; rows without a doc_id of their own are documents like any other.
+
+    Texts that are NULL or without a word are near to nothing and stay; of equal
+    texts the smallest doc_id stays. Rows are taken whole, so columns may have
+    any names. An empty table gives an empty one.
+    """
     words.text_batches(spark)
     repeated = saved(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 or doc_id is null").select(F.col("doc_id").alias("_id")))
     if repeated.isEmpty():
@@ -72,12 +77,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated, or left out, at their source's rate, and shuffled."""
+    """Documents are repeated, or left out, at their source's rate, and shuffled.
+
+    A NULL source is a source; a NULL or empty text weighs nothing and goes at
+    its source's rate. Rows with one doc_id are drawn alike. The other columns
+    travel in a struct, so none clashes with the operator's own.
+    """
     return _unpacked(mixing.mix(_packed(docs)), docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document's ids and of the text decoded from them."""
+    """Token counts and digests of every document's ids and of the text decoded from them.
+
+    A row in gives a row out: NULL and empty texts have no tokens, repeated rows
+    repeat, and an empty table stays empty. Only doc_id and text are read.
+    """
     words.text_batches(spark)
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
