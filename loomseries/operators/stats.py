@@ -172,7 +172,8 @@ def range_aggregate(
     middle = f"c < d AND level < {levels}"
     blocks = f"IF({middle}, concat({run.format('a', 'c')}, {run.format('d', 'b')}), sequence(a, b - 1))"
     needed = asked.selectExpr(f"{ident}", "level", f"explode({blocks}) AS block")
-    found = needed.join(tree, ["level", "block"]).select(ident, "lo", "hi", "total")
+    # Spark's size estimates do not see that rows are exploded, so no side is left to them for a broadcast.
+    found = needed.hint("merge").join(tree, ["level", "block"]).select(ident, "lo", "hi", "total")
     every = queries.select(ident, *[F.lit(None).cast(found.schema[n].dataType).alias(n) for n in ("lo", "hi", "total")])
     return found.unionByName(every).groupBy(ident).agg(
         F.min("lo").alias("min_value"), F.max("hi").alias("max_value"), F.coalesce(F.sum("total"), F.lit(0)).alias("sum_value"))
