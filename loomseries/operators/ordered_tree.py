@@ -135,7 +135,8 @@ class Tree:
         every = held[0]
         for more in held[1:]:
             every = every.unionByName(more)
-        met = needed.join(every, ["level", "block"]).select("id", (F.col("block") * F.col("w")).alias("at"), "value")
+        # Spark's size estimates do not see that rows are exploded, so no side is left to them for a broadcast.
+        met = needed.hint("merge").join(every, ["level", "block"]).select("id", (F.col("block") * F.col("w")).alias("at"), "value")
         width, combine, kind = len(self.identity), self.combine, self.kind
         name = met.schema["id"].dataType.simpleString()
 
