@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,6 +98,48 @@ def outer_braces(text: Column) -> Column:
     return F.coalesce(*[F.when((x != "") & F.try_parse_json(x).isNotNull(), x) for x in found])
 
 
+PIECE_BYTES = 1 << 20  # of text that are cut at once
+
+
+def _cut(batches: Iterator[pa.RecordBatch], cuts: bytes) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(1).cast(pa.large_binary())
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+        part = (np.cumsum(sizes) - sizes) // PIECE_BYTES
+        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist() if len(part) else []
+        for a, b in zip(edges, [*edges[1:], len(part)], strict=True):
+            some = np.flatnonzero(texts[a:b].is_valid().to_numpy(zero_copy_only=False)) + a
+            if not len(some):
+                continue
+            data = np.frombuffer(b"".join(texts.take(pa.array(some)).to_pylist()), np.uint8)
+            ends = np.cumsum(sizes[some])
+            begins = ends - sizes[some]
+            letter = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # characters before each byte
+            at = np.flatnonzero(np.isin(data, np.frombuffer(cuts, np.uint8)))
+            # Pieces begin with their text or after a cut, and end at a cut or with their text.
+            owner = np.concatenate([np.arange(len(some)), np.searchsorted(ends, at, side="right")])
+            order = np.argsort(owner, kind="stable")
+            owner = owner[order]
+            first = np.concatenate([begins, at + 1])[order]
+            is_last = np.concatenate([owner[1:] != owner[:-1], [True]])
+            last = np.where(is_last, ends[owner], np.concatenate([first[1:] - 1, [0]]))
+            count = np.bincount(owner, minlength=len(some))
+            number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(some[owner])), pa.array(number.astype(np.int32)), pa.array(letter[first] - letter[begins[owner]]), pa.array(letter[last] - letter[first])],
+                [batch.schema.names[0], "k", "start", "n"])
+
+
+def pieces(texts: DataFrame, ident: str, text: str, cuts: str) -> DataFrame:
+    """(ident, k, start, n): the parts of each text between any of the ASCII characters ``cuts``, numbered from 0, with their offsets and lengths in characters.
+
+    Empty parts count. Texts are cut where they are, without a shuffle.
+    """
+    kind = texts.schema[ident].dataType
+    schema = T.StructType([T.StructField(ident, kind), T.StructField("k", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("n", T.LongType())])
+    return texts.select(ident, text).mapInArrow(lambda batches: _cut(batches, cuts.encode()), schema)
+
+
 LCS_CELLS = 1 << 24  # cells of the table of lengths held at once
 
 

@@ -7,9 +7,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as nm
+from ..functions import text as tx
 from ..operators import combine, intervals, ordered_tree, schedule, som, stats, vector, vector_index
 from ..plans.series import Series
-from ..session import scratch_path
+from ..session import saved, scratch_path
 from .tables import TICK_GRAIN, rounded, table, ticks
 
 QUERIES: dict = {}
@@ -268,17 +269,24 @@ points AS (SELECT doc_id, k AS point_id, CAST(start AS BIGINT) AS pos FROM piece
 def narrowest_interval(spark, d):
     """Every word start of a text in its line, or in the whole text."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-
-    def pieces(cut):
-        """(doc_id, k, piece, start): parts of the text between cuts, with a running offset."""
-        parts = docs.select("doc_id", F.posexplode(F.split("text", cut, -1)).alias("k", "piece"))
+    # Rows of one doc_id, or of none, are one text whose pieces are mixed by their numbers.
+    same = saved(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_id")))
+    match = docs["doc_id"].eqNullSafe(same["_id"])
+    mixed = not same.isEmpty()
+    alone = docs.join(same, match, "left_anti") if mixed else docs
+
+    def pieces(cuts):
+        """(doc_id, k, start, n): parts of the text between cuts, with a running offset."""
+        parts = tx.pieces(alone, "doc_id", "text", cuts)
+        if not mixed:
+            return parts
+        others = tx.pieces(docs.join(same, match, "left_semi"), "doc_id", "text", cuts)
         before = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-        return parts.withColumn("start", F.coalesce(F.sum(F.length("piece") + 1).over(before), F.lit(0)))
+        return parts.unionByName(others.withColumn("start", F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0))))
 
-    stop = (F.col("start") + F.length("piece")).cast("long")
-    lines = pieces("\n").select("doc_id", (F.col("k") + 1).alias("node_id"), "start", stop.alias("stop"))
+    lines = pieces("\n").select("doc_id", (F.col("k") + 1).alias("node_id"), "start", (F.col("start") + F.col("n")).alias("stop"))
     whole = docs.select("doc_id", F.lit(0).alias("node_id"), F.lit(0).cast("long").alias("start"), F.length("text").cast("long").alias("stop"))
-    points = pieces("[ \n]").filter("piece <> ''").select("doc_id", F.col("k").alias("point_id"), F.col("start").alias("pos"))
+    points = pieces(" \n").filter("n > 0").select("doc_id", F.col("k").alias("point_id"), F.col("start").alias("pos"))
     out = intervals.narrowest_interval(points, whole.unionByName(lines), "doc_id")
     return out.select("doc_id", "point_id", "node_id")
 
