@@ -14,7 +14,8 @@ import base64
 import hashlib
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 
 # The white space of \s in the tokenizer's pattern (Unicode White_Space).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+GROUP_CHARS = 1 << 20  # of texts that are encoded at once
 CACHE_ENTRIES = 300_000  # cut pieces of text remembered by a task
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -83,8 +85,9 @@ class Codec:
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
         self.ranks = ranks
-        self.letters = spelling()
-        self.back = {c: b for b, c in enumerate(self.letters)}
+        letters = spelling()
+        self.letters = {b: c for b, c in enumerate(letters) if ord(c) != b}  # of bytes that do not stand for themselves
+        self.back = {c: b for b, c in enumerate(letters)}
         # Decoding: the bytes of every id, by the inverse spelling of the model's pieces.
         self.bytes_of = [
             bytes(self.back[c] for c in self.model.id_to_piece(i + 1)) for i in range(self.model.get_piece_size() - 1)]
@@ -97,38 +100,62 @@ class Codec:
 
     def _learn(self, pieces: set[str]) -> None:
         """Encode pieces that are new to the cache; a piece starts with its blank, if any."""
-        if len(self.cache) + len(pieces) > self.cache_entries:
-            self.cache.clear()
-        plan, spelled = [], []
+        plan, spelled, ranks, letters, cache = [], [], self.ranks, self.letters, self.cache
+        blank = letters[32]
         for piece in pieces:
-            plan.append(cuts := [t.encode() for t in self.pre_tokens.findall(piece)])
-            spelled += ["".join([self.letters[b] for b in t]) for t in cuts if t not in self.ranks]
-        merged = iter(self.model.encode(spelled, out_type=int, num_threads=1) if spelled else ())
-        for piece, cuts in zip(pieces, plan, strict=True):
-            ids = []
-            for t in cuts:
-                whole = self.ranks.get(t)
+            # A pre-token stands as its id, or as None where its letters have to be merged.
+            cuts = []
+            for t in self.pre_tokens.findall(piece):
+                cuts.append(whole := ranks.get(t.encode()))
                 if whole is None:
-                    ids += [i - 1 for i in next(merged)]
-                else:
-                    ids.append(whole)
-            self.cache[piece] = np.array(ids, "<u4").tobytes()
+                    plain = t.isascii() and t.isprintable()
+                    spelled.append(t.replace(" ", blank) if plain else t.encode().decode("latin-1").translate(letters))
+            plan.append(cuts)
+        merged = iter(self._merged(spelled))
+        for piece, cuts in zip(pieces, plan, strict=True):
+            cache[piece] = b"".join([next(merged) if whole is None else whole.to_bytes(4, "little") for whole in cuts])
+
+    def _merged(self, spelled: list[str]) -> list[bytes]:
+        """The ids of each spelled pre-token; the model numbers them from 1."""
+        if not spelled:
+            return []
+        found = self.model.encode(spelled, out_type=int, num_threads=1)
+        flat = (np.fromiter(chain.from_iterable(found), np.int64) - 1).astype("<u4").tobytes()
+        ends = [4 * n for n in accumulate(map(len, found))]
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        parts = self.cut.split(text) if self.odd.search(text) else text.split(" ")
-        out, cache = [], self.cache
-        for i in range(0, len(parts), 50_000):
-            some = [" " + p for p in parts[i : i + 50_000]]
-            if i == 0:
-                some[0] = parts[0]
-            if new := {p for p in some if p not in cache}:
+        return self._encoded([text])[0]
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text. Pieces of neighbouring texts are learnt together: a call of the model costs as much as some hundred of them."""
+        group, size = [], 0
+        for text in texts:
+            if group and size + len(text) > GROUP_CHARS:
+                yield from self._encoded(group)
+                group, size = [], 0
+            group.append(text)
+            size += len(text)
+        yield from self._encoded(group)
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        pieces, ends, ids, cache = [], [], [], self.cache
+        for text in texts:
+            parts = self.cut.split(text) if self.odd.search(text) else text.split(" ")
+            pieces.append(parts[0])
+            pieces += [" " + p for p in parts[1:]]
+            ends.append(len(pieces))
+        for i in range(0, len(pieces), 50_000):
+            some = pieces[i : i + 50_000]
+            needed = set(some)
+            if new := needed.difference(cache):
+                if len(cache) + len(new) > self.cache_entries:
+                    cache.clear()
+                    new = needed
                 self._learn(new)
-                # A cleared cache may lack pieces that were there before.
-                if lost := {p for p in some if p not in cache}:
-                    self._learn(lost)
-            out += [cache[p] for p in some]
-        return b"".join(out)
+            ids += map(cache.__getitem__, some)
+        return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
     def decode(self, ids: bytes) -> bytes:
         table = self.bytes_of
@@ -151,8 +178,7 @@ def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, text: str = "t
         for batch in batches:
             codec = codec or Codec(read_ranks(ranks.value), pattern)
             counts, first, second, lists = [], [], [], []
-            for text in batch.column(1):
-                out = codec.encode(text.as_py() or "")
+            for out in codec.encode_all(text.as_py() or "" for text in batch.column(1)):
                 counts.append(len(out) // 4)
                 first.append(hashlib.sha256(out).hexdigest())
                 second.append(hashlib.sha256(codec.decode(out)).hexdigest())
