@@ -140,51 +140,81 @@ def pieces(texts: DataFrame, ident: str, text: str, cuts: str) -> DataFrame:
     return texts.select(ident, text).mapInArrow(lambda batches: _cut(batches, cuts.encode()), schema)
 
 
-LCS_CELLS = 1 << 24  # cells of the table of lengths held at once
+LCS_CELLS = 1 << 24  # cells of the table of lengths held at once, as bits
 
 
-def _lcs_next(row: np.ndarray, letter: str, right: np.ndarray) -> np.ndarray:
-    """Lengths of the longest common subsequences with every beginning of ``right``, one letter of the other string later."""
-    out = np.zeros_like(row)
-    out[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (right == ord(letter))))
-    return out
+def _lcs_places(right: str):
+    """letter -> whole number with a bit for each place of it in ``right``."""
+    if len(right) > 1000:
+        codes = np.frombuffer(right.encode("utf-32-le", "surrogatepass"), np.uint32)
+        places = {}
+
+        def place(letter: str) -> int:
+            if letter not in places:
+                places[letter] = int.from_bytes(np.packbits(codes == ord(letter), bitorder="little").tobytes(), "little")
+            return places[letter]
+
+        return place
+    few: dict[str, int] = {}
+    for j, letter in enumerate(right):
+        few[letter] = few.get(letter, 0) | 1 << j
+    return lambda letter: few.get(letter, 0)
+
+
+def _lcs_next(row: int, places: int, full: int) -> int:
+    """A row of the table of lengths, one letter of the left string later; ``places`` are those of the letter on the right.
+
+    A row is a whole number with a bit for each cell that is as large as the one before it; the others are larger by 1.
+    """
+    met = row & places
+    return (row + met | row - met) & full
 
 
 def _lcs_length(a: str, b: str) -> int:
-    right = np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    row = np.zeros(len(b) + 1, np.int32)
+    place, full = _lcs_places(b), (1 << len(b)) - 1
+    row = full
     for letter in a:
-        row = _lcs_next(row, letter, right)
-    return int(row[-1])
+        row = _lcs_next(row, place(letter), full)
+    return len(b) - row.bit_count()
 
 
 def _lcs_text(a: str, b: str, cells: int = LCS_CELLS) -> str:
     """The subsequence, walked from the ends over some rows of the table at a time.
 
-    Rows at equal distances are kept, as a bit per cell (neighbours differ by 0
-    or 1); the rows between two of them are computed again when the walk gets there.
+    Rows at equal distances are kept; the rows between two of them are computed
+    again when the walk gets there.
     """
-    right = np.frombuffer(b.encode("utf-32-le"), np.uint32)
+    place, full = _lcs_places(b), (1 << len(b)) - 1
     step = max(1, min(int(len(a) ** 0.5) + 1, cells // (len(b) + 1)))
-    row, kept = np.zeros(len(b) + 1, np.int32), []
+    row, kept = full, []
     for i, letter in enumerate(a):
         if i % step == 0:
-            kept.append(np.packbits(np.diff(row).astype(bool)))
-        row = _lcs_next(row, letter, right)
+            kept.append(row)
+        row = _lcs_next(row, place(letter), full)
     i, j, found = len(a), len(b), []
     while i and j:
         first = (i - 1) // step * step
-        rows = [np.concatenate([[0], np.cumsum(np.unpackbits(kept[first // step], count=len(b)), dtype=np.int32)])]
+        rows = [kept[first // step]]
         for letter in a[first:i]:
-            rows.append(_lcs_next(rows[-1], letter, right))
+            rows.append(_lcs_next(rows[-1], place(letter), full))
+        # The length at (i, j) and at (i - 1, j), which are equal or differ by 1.
+        below = (1 << j) - 1
+        here = j - (rows[i - first] & below).bit_count()
+        above = j - (rows[i - 1 - first] & below).bit_count()
         while i > first and j:
+            left = here - (~rows[i - first] >> j - 1 & 1)  # at (i, j - 1)
             if a[i - 1] == b[j - 1]:
                 i, j = i - 1, j - 1
                 found.append(a[i])
-            elif rows[i - 1 - first][j] < rows[i - first][j - 1]:
-                j -= 1
+                here = above - (~rows[i - first] >> j & 1)
+            elif above < left:
+                above -= ~rows[i - 1 - first] >> j - 1 & 1
+                j, here = j - 1, left
+                continue
             else:
-                i -= 1
+                i, here = i - 1, above
+            if i > first:
+                above = j - (rows[i - 1 - first] & (1 << j) - 1).bit_count()
     return "".join(reversed(found))
 
 
