@@ -9,7 +9,8 @@ A NULL graph, and a NULL node, is one like any other.
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -46,32 +47,58 @@ def _opened(df: DataFrame) -> DataFrame:
     return df.select(*[_open_column(f.name, f.dataType) for f in df.schema.fields])
 
 
+def _lacks_key(df: DataFrame) -> bool:
+    """Whether a key is NULL somewhere; a scan that ends at the first one."""
+    keys = [F.col(c).isNull() for c in df.columns if c in KEYS]
+    return bool(keys) and df.filter(functools.reduce(or_, keys)).limit(1).count() > 0
+
+
 def over_boxed_keys(core: Callable) -> Callable:
-    """The operator on tables as they come: their keys are boxed for ``core`` and opened in its results."""
+    """The operator on tables as they come: if a key is NULL, all are boxed for ``core`` and opened in its results.
+
+    Plain keys are half as wide as boxed ones, and Spark sorts them several times faster.
+    """
 
     @functools.wraps(core)
     def run(*args, **named):
-        box = lambda x: _boxed(x) if isinstance(x, DataFrame) else x
+        boxing = any(_lacks_key(x) for x in (*args, *named.values()) if isinstance(x, DataFrame))
+        box = lambda x: _boxed(x) if boxing and isinstance(x, DataFrame) else x
         out = core(*map(box, args), **{k: box(v) for k, v in named.items()})
         return tuple(map(_opened, out)) if isinstance(out, tuple) else _opened(out)
 
     return run
 
 
+# -- joins --------------------------------------------------------------
+HASH = "_hash"
+
+
+def _hashed(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    return df.withColumn(HASH, F.xxhash64(*on))
+
+
+def _met(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys, led by a hash of them.
+
+    Spark's sort compares whole rows where the first eight bytes of the first
+    key agree. Those of a graph's name do for all its rows, those of a hash do not.
+    """
+    return _hashed(left, on).join(_hashed(right, on), [HASH, *on], how).drop(HASH)
+
+
 # -- operators ----------------------------------------------------------
 def _bfs_levels(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """Distance of every reachable node from the entries ``(graph, node)``: ``(graph, node, level)``."""
-    steps = saved(edges.select(G, "src", "dst").distinct())
-    table = GrowingTable(edges.sparkSession)
-    frontier = table.append(entries.select(G, "node").distinct().withColumn("level", F.lit(0).cast("long")))
+    return _levels(saved(edges.select(G, "src", "dst").distinct()), entries)
+
+
+def _levels(steps: DataFrame, entries: DataFrame) -> DataFrame:
+    """The same over different ``steps`` that are read anew in each round."""
+    table, on = GrowingTable(steps.sparkSession), [G, "node"]
+    frontier = table.append(entries.select(*on).distinct().withColumn("level", F.lit(0).cast("long")))
     while not frontier.isEmpty():
-        nxt = (
-            frontier.withColumnRenamed("node", "src")
-            .join(steps, [G, "src"])
-            .select(G, F.col("dst").alias("node"))
-            .distinct()
-            .join(table.all().select(G, "node"), [G, "node"], "left_anti")
-        )
+        ends = _met(frontier.withColumnRenamed("node", "src"), steps, [G, "src"]).select(G, F.col("dst").alias("node"))
+        nxt = _hashed(ends, on).distinct().join(_hashed(table.all().select(*on), on), [HASH, *on], "left_anti").drop(HASH)
         frontier = table.append(nxt.withColumn("level", F.lit(table.batches).cast("long")))
     return table.all()
 
@@ -116,28 +143,27 @@ def _simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame) -> DataF
 
     All paths are listed, so the result grows with their number; a start that
     is an end is a path of one node. Only nodes from which an end can be reached
-    are walked, found by a search from the ends against the edges.
+    are walked, found by a search from the ends against the edges. A step says
+    whether it leads to an end, and whether any step may follow it, so paths are
+    written once and those that are done are not joined again.
     """
-    goal = saved(ends.select(G, F.col("node").alias("last")).distinct())
-    every = edges.select(G, "src", "dst").distinct()
+    every = saved(edges.select(G, "src", "dst").distinct())
+    goal = saved(ends.select(G, "node").distinct())
     against = every.select(G, F.col("dst").alias("src"), F.col("src").alias("dst"))
-    useful = saved(_reachable_nodes(against, goal.select(G, F.col("last").alias("node"))))
-    steps = saved(every.join(useful.withColumnRenamed("node", "dst"), [G, "dst"], "left_semi"))
+    useful = saved(_levels(against, goal))
+    onward = _met(every.select(G, F.col("src").alias("node")), goal, [G, "node"], "left_semi").distinct().withColumn("_on", F.lit(True))
+    marked = _met(useful, onward, [G, "node"], "left").select(
+        G, "node", (F.col("level") == 0).alias("goal"), ((F.col("level") > 0) | F.coalesce("_on", F.lit(False))).alias("more"))
+    marked = saved(marked)
+    steps = saved(_met(every, marked.withColumnRenamed("node", "dst"), [G, "dst"]).select(G, "src", "dst", "goal", "more"))
     table = GrowingTable(edges.sparkSession)
-    first = starts.select(G, "node").distinct().join(useful, [G, "node"], "left_semi").withColumnRenamed("node", "start")
-    frontier = saved(first.select(G, "start", F.col("start").alias("last"), F.array("start").alias("nodes")))
-    while not frontier.isEmpty():
-        table.append(frontier.join(goal, [G, "last"], "left_semi").select(G, "start", F.col("last").alias("end"), "nodes"))
-        nxt = (
-            frontier.withColumnRenamed("last", "src")
-            .join(steps, [G, "src"])
-            .filter(~F.array_contains("nodes", F.col("dst")))
-            .select(G, "start", F.col("dst").alias("last"), F.array_append("nodes", F.col("dst")).alias("nodes"))
-        )
-        frontier = saved(nxt)
-    if not table.schema:
-        return frontier.select(G, "start", F.col("last").alias("end"), "nodes")
-    return table.all()
+    first = _met(starts.select(G, "node").distinct(), marked, [G, "node"]).withColumnRenamed("node", "start")
+    frontier = table.append(first.select(G, "start", F.col("start").alias("last"), F.array("start").alias("nodes"), "goal", "more"))
+    while not (going := frontier.filter("more")).isEmpty():
+        nxt = _met(going.drop("goal", "more").withColumnRenamed("last", "src"), steps, [G, "src"])
+        frontier = table.append(nxt.filter(~F.array_contains("nodes", F.col("dst"))).select(
+            G, "start", F.col("dst").alias("last"), F.array_append("nodes", F.col("dst")).alias("nodes"), "goal", "more"))
+    return table.all().filter("goal").select(G, "start", F.col("last").alias("end"), "nodes")
 
 
 def _topological_layers(nodes: DataFrame, depends: DataFrame) -> DataFrame:
@@ -258,7 +284,7 @@ def _tangled_loops(steps: DataFrame, entries: DataFrame) -> DataFrame:
         return pd.DataFrame({G: [pdf[G].iloc[0]] * len(found), "src": [a for a, _ in found], "dst": [b for _, b in found]})
 
     opened = every.groupBy(G, "part").applyInPandas(search, every.select(G, "src", "dst").schema)
-    return _boxed(opened)
+    return _boxed(opened) if _is_box(node) else opened
 
 
 def _place(node) -> tuple:

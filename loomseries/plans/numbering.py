@@ -85,5 +85,6 @@ def global_rank(df: DataFrame, *order, name: str = "rank") -> DataFrame:
     sizes = fixed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"))
-    joined = fixed.withColumn("_part", part).join(offsets, "_part")
+    # One row per partition, whatever Spark estimates: the rows themselves are not shuffled again.
+    joined = fixed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
     return joined.withColumn(name, (F.col("_skip") + place + 1).cast("long")).drop("_id", "_part", "_skip")
