@@ -110,7 +110,7 @@ def _reachable_nodes(edges: DataFrame, entries: DataFrame) -> DataFrame:
 def _trim_unreachable(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """Edges whose two ends can be reached; a reachable source makes its target reachable."""
     nodes = _reachable_nodes(edges, entries).withColumnRenamed("node", "src")
-    return edges.join(nodes, [G, "src"], "left_semi")
+    return _met(edges, nodes, [G, "src"], "left_semi")
 
 
 def _transitive_closure(edges: DataFrame) -> DataFrame:

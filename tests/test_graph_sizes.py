@@ -27,10 +27,13 @@ def test_paths_through_ends(spark):
     assert gr.simple_paths(edges, nodes("e"), nodes("x")).count() == 0
 
 
-def test_offsets_of_ranks_are_broadcast(spark):
+def test_joins_sort_by_a_hash(spark):
+    edges = spark.createDataFrame([("g", "a", "b")], "graph string, src string, dst string")
+    entry = spark.createDataFrame([("g", "a")], "graph string, node string")
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
+        assert "SortMergeJoin [_hash" in plan_of(gr.trim_unreachable(edges, entry))
         # The offsets of partitions are sent to the rows, not the rows to them.
         ranked = global_rank(spark.range(20).toDF("v"), "v")
         assert "BroadcastHashJoin" in plan_of(ranked) and sorted(r["rank"] for r in ranked.collect()) == list(range(1, 21))
