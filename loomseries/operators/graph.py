@@ -126,13 +126,13 @@ def _transitive_closure(edges: DataFrame) -> DataFrame:
     table.append(steps)
     while True:
         on = steps.select(G, F.col("dst").alias("mid"), F.col("src").alias("from"))
-        twice = on.join(steps.withColumnRenamed("src", "mid"), [G, "mid"]).select(G, F.col("from").alias("src"), "dst").distinct()
+        twice = _met(on, steps.withColumnRenamed("src", "mid"), [G, "mid"]).select(G, F.col("from").alias("src"), "dst").distinct()
         steps = saved(twice)
         if steps.isEmpty():
             return table.all()
         on = steps.select(G, F.col("dst").alias("mid"), F.col("src").alias("from"))
         known = table.all()
-        further = on.join(known.withColumnRenamed("src", "mid"), [G, "mid"]).select(G, F.col("from").alias("src"), "dst")
+        further = _met(on, known.withColumnRenamed("src", "mid"), [G, "mid"]).select(G, F.col("from").alias("src"), "dst")
         found = steps.unionByName(further).withColumn("_old", F.lit(0)).unionByName(known.withColumn("_old", F.lit(1)))
         if table.append(found.groupBy(G, "src", "dst").agg(F.max("_old").alias("_old")).filter("_old = 0").drop("_old")).isEmpty():
             return table.all()
