@@ -180,26 +180,26 @@ def _topological_layers(nodes: DataFrame, depends: DataFrame) -> DataFrame:
     every = saved(nodes.select(G, "node").distinct())
     named = [every.withColumnRenamed("node", n) for n in ("src", "dst")]
     needs = depends.filter("src <> dst").select(G, F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
-    flow = saved(needs.join(named[0], [G, "src"], "left_semi").join(named[1], [G, "dst"], "left_semi"))
+    flow = saved(_met(_met(needs, named[0], [G, "src"], "left_semi"), named[1], [G, "dst"], "left_semi"))
     placed = saved(_chain_blocks(every.withColumns({"cluster": F.lit(0), "fixed": F.lit(False)}), flow))
     a = placed.select(G, F.col("node").alias("src"), F.col("block").alias("from"), F.col("place").alias("p"))
     b = placed.select(G, F.col("node").alias("dst"), F.col("block").alias("to"), F.col("place").alias("q"))
-    joined = flow.join(a, [G, "src"]).join(b, [G, "dst"]).filter("from <> to or q <> p + 1")
+    joined = _met(_met(flow, a, [G, "src"]), b, [G, "dst"]).filter("from <> to or q <> p + 1")
     edges = saved(joined.select(G, "from", "to", (F.col("p") + 1).alias("more")))
     degrees = saved(edges.groupBy(G, "to").agg(F.count(F.lit(1)).alias("degree")))
 
     sent, done = GrowingTable(nodes.sparkSession), GrowingTable(nodes.sparkSession)
     blocks = placed.select(G, F.col("block").alias("from")).distinct()
-    roots = blocks.join(degrees.select(G, F.col("to").alias("from")), [G, "from"], "left_anti")
+    roots = _met(blocks, degrees.select(G, F.col("to").alias("from")), [G, "from"], "left_anti")
     free = done.append(roots.withColumn("layer", F.lit(0).cast("long")))
     while not free.isEmpty():
-        news = free.join(edges, [G, "from"]).groupBy(G, "to").agg(
+        news = _met(free, edges, [G, "from"]).groupBy(G, "to").agg(
             F.count(F.lit(1)).alias("n"), F.max(F.col("layer") + F.col("more")).alias("layer"))
         touched = sent.append(news).select(G, "to")
-        so_far = sent.all().join(touched, [G, "to"], "left_semi").groupBy(G, "to").agg(F.sum("n").alias("n"), F.max("layer").alias("layer"))
-        complete = so_far.join(degrees, [G, "to"]).filter("n = degree")
+        so_far = _met(sent.all(), touched, [G, "to"], "left_semi").groupBy(G, "to").agg(F.sum("n").alias("n"), F.max("layer").alias("layer"))
+        complete = _met(so_far, degrees, [G, "to"]).filter("n = degree")
         free = done.append(complete.select(G, F.col("to").alias("from"), "layer"))
-    layered = placed.join(done.all().withColumnRenamed("from", "block"), [G, "block"], "left")
+    layered = _met(placed, done.all().withColumnRenamed("from", "block"), [G, "block"], "left")
     layered = saved(layered.select(G, "node", (F.col("layer") + F.col("place")).alias("layer")))
     last = layered.groupBy(G).agg(F.coalesce(F.max("layer") + 1, F.lit(0)).alias("top"))
     return layered.join(last, G).select(G, "node", F.coalesce("layer", "top").alias("layer"))
@@ -408,16 +408,13 @@ def _chain_blocks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     single_in = steps.groupBy(G, "dst").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select(G, "dst")
     left = nodes.select(G, F.col("node").alias("src"), F.col("cluster").alias("c1"), F.col("fixed").alias("f1"))
     right = nodes.select(G, F.col("node").alias("dst"), F.col("cluster").alias("c2"), F.col("fixed").alias("f2"))
+    single = _met(_met(steps.filter("src <> dst"), single_out, [G, "src"], "left_semi"), single_in, [G, "dst"], "left_semi")
     links = saved(
-        steps.filter("src <> dst")
-        .join(single_out, [G, "src"], "left_semi")
-        .join(single_in, [G, "dst"], "left_semi")
-        .join(left, [G, "src"])
-        .join(right, [G, "dst"])
+        _met(_met(single, left, [G, "src"]), right, [G, "dst"])
         .filter("c1 <=> c2 AND NOT f1 AND NOT f2")
         .select(G, F.col("dst").alias("node"), F.col("src").alias("up"))
     )
-    every = nodes.select(G, "node").join(links, [G, "node"], "left")
+    every = _met(nodes.select(G, "node"), links, [G, "node"], "left")
     hops = saved(
         every.select(
             G, "node", F.coalesce("up", "node").alias("block"),
@@ -428,12 +425,12 @@ def _chain_blocks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     rounds = max(hops.count(), 2).bit_length()
     for _ in range(rounds):
         far = hops.select(G, F.col("node").alias("block"), F.col("block").alias("next"), F.col("place").alias("more"))
-        moved = hops.join(far, [G, "block"])
+        moved = _met(hops, far, [G, "block"])
         if moved.filter("next <> block").isEmpty():
             break
         hops = saved(moved.select(G, "node", F.col("next").alias("block"), (F.col("place") + F.col("more")).alias("place")))
     heads = links.select(G, F.col("node").alias("block"), F.lit(True).alias("ring"))
-    settled = hops.join(heads, [G, "block"], "left")
+    settled = _met(hops, heads, [G, "block"], "left")
     return settled.select(
         G, "node",
         F.when(F.col("ring"), F.col("node")).otherwise(F.col("block")).alias("block"),
