@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 FAN = 8
 PART = 1 << 20  # blocks per part
 GROUP = FAN << 12  # blocks folded in one task at most
+LEVELS = 32  # more than a tree over 64-bit positions has
 
 Combine = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -136,7 +137,9 @@ class Tree:
         for more in held[1:]:
             every = every.unionByName(more)
         # Spark's size estimates do not see that rows are exploded, so no side is left to them for a broadcast.
-        met = needed.hint("merge").join(every, ["level", "block"]).select("id", (F.col("block") * F.col("w")).alias("at"), "value")
+        # Level and block in one number, which Spark sorts by its bits; levels alone are the same for most rows.
+        key = (F.col("block") * F.lit(LEVELS) + F.col("level")).alias("key")
+        met = needed.select("id", "w", "block", key).hint("merge").join(every.select(key, "value"), "key").select("id", (F.col("block") * F.col("w")).alias("at"), "value")
         width, combine, kind = len(self.identity), self.combine, self.kind
         name = met.schema["id"].dataType.simpleString()
 

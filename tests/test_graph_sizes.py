@@ -1,6 +1,9 @@
 """What graph operators and ranks send through Spark's shuffles and sorts."""
 
+import numpy as np
+
 from loomseries.operators import graph as gr
+from loomseries.operators import ordered_tree
 from loomseries.plans.numbering import global_rank
 
 
@@ -39,3 +42,14 @@ def test_joins_sort_by_a_hash(spark):
         assert "BroadcastHashJoin" in plan_of(ranked) and sorted(r["rank"] for r in ranked.collect()) == list(range(1, 21))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_ranges_join_by_one_number(spark, tmp_path):
+    """Blocks of all levels, also before 0, meet by one number of level and block."""
+    values = {i: i * i for i in range(-70, 90) if i % 3}
+    data = spark.createDataFrame([(k, [v]) for k, v in values.items()], "p long, v array<long>")
+    tree = ordered_tree.build(data, "p", "v", str(tmp_path / "t"), lambda x, y: x + y, (0,))
+    asks = [(i, int(a), int(b)) for i, (a, b) in enumerate(np.random.default_rng(1).integers(-90, 100, (40, 2)))]
+    out = tree.ranges(spark.createDataFrame(asks, "id long, a long, b long"), "id", "a", "b")
+    assert "SortMergeJoin [key" in plan_of(out)
+    assert {r.id: r.value[0] for r in out.collect()} == {i: sum(v for k, v in values.items() if a <= k <= b) for i, a, b in asks}
