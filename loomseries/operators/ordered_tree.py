@@ -138,8 +138,8 @@ class Tree:
             every = every.unionByName(more)
         # Spark's size estimates do not see that rows are exploded, so no side is left to them for a broadcast.
         # Level and block in one number, which Spark sorts by its bits; levels alone are the same for most rows.
-        key = (F.col("block") * F.lit(LEVELS) + F.col("level")).alias("key")
-        met = needed.select("id", "w", "block", key).hint("merge").join(every.select(key, "value"), "key").select("id", (F.col("block") * F.col("w")).alias("at"), "value")
+        key = (F.col("block") * F.lit(LEVELS) + F.col("level")).alias("level_block")
+        met = needed.select("id", "w", "block", key).hint("merge").join(every.select(key, "value"), "level_block").select("id", (F.col("block") * F.col("w")).alias("at"), "value")
         width, combine, kind = len(self.identity), self.combine, self.kind
         name = met.schema["id"].dataType.simpleString()
 

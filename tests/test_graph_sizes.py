@@ -51,5 +51,5 @@ def test_ranges_join_by_one_number(spark, tmp_path):
     tree = ordered_tree.build(data, "p", "v", str(tmp_path / "t"), lambda x, y: x + y, (0,))
     asks = [(i, int(a), int(b)) for i, (a, b) in enumerate(np.random.default_rng(1).integers(-90, 100, (40, 2)))]
     out = tree.ranges(spark.createDataFrame(asks, "id long, a long, b long"), "id", "a", "b")
-    assert "SortMergeJoin [key" in plan_of(out)
+    assert "SortMergeJoin [level_block" in plan_of(out)
     assert {r.id: r.value[0] for r in out.collect()} == {i: sum(v for k, v in values.items() if a <= k <= b) for i, a, b in asks}
