@@ -461,27 +461,41 @@ def _contract_chains(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Dat
     return stays.select(G, "node", "type", "code", "size"), kept
 
 
+def _short(node: Column) -> Column:
+    return F.xxhash64(node)
+
+
+def _numbered_ends(edges: DataFrame) -> DataFrame:
+    """(edge, ca, cb) of ``(edge, a, b)``: a number for each node. It is a hash, unless two nodes share one."""
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    if nodes.groupBy(_short(F.col("node"))).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return edges.select("edge", _short(F.col("a")).alias("ca"), _short(F.col("b")).alias("cb"))
+    numbers = saved(nodes.withColumn("number", F.monotonically_increasing_id()))
+    a, b = (numbers.select(F.col("node").alias(n), F.col("number").alias(f"c{n}")) for n in ("a", "b"))
+    return edges.join(a, "a").join(b, "b").select("edge", "ca", "cb")
+
+
 def _minimum_spanning_forest(edges: DataFrame) -> DataFrame:
     """Edges ``(a, b, weight)`` of the lightest forest that joins what the given edges join.
 
-    In each round every component takes its lightest outgoing edge; ties are
-    broken by the ends, so no ring can form. Components at least halve.
+    Edges are numbered by weight, ties by their ends, so no ring can form, and
+    rounds move three numbers an edge. In each round every component takes its
+    lightest outgoing edge, and of the edges between two components only the
+    lightest is kept. Components at least halve.
     """
     spark = edges.sparkSession
-    pairs = edges.select(
+    pairs = saved(edges.select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight"
-    ).filter("a <> b").groupBy("a", "b").agg(F.min("weight").alias("weight"))
-    left = saved(pairs.withColumns({"ca": F.col("a"), "cb": F.col("b")}))
+    ).filter("a <> b").groupBy("a", "b").agg(F.min("weight").alias("weight")))
+    order = ["weight", "a", "b"]
+    ordered = saved(pairs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("edge", F.monotonically_increasing_id()))
+    left = saved(_numbered_ends(ordered))
     chosen = GrowingTable(spark)
     while not left.isEmpty():
-        best = F.struct("weight", "a", "b", "ca", "cb")
-        sides = left.select(F.col("ca").alias("c"), best.alias("e")).unionByName(
-            left.select(F.col("cb").alias("c"), best.alias("e")))
-        picks = saved(
-            sides.groupBy("c").agg(F.min("e").alias("e")).select(
-                "c", "e.*", F.when(F.col("c") == F.col("e.ca"), F.col("e.cb")).otherwise(F.col("e.ca")).alias("to"))
-        )
-        chosen.append(picks.select("a", "b", "weight").distinct())
+        sides = left.select(F.col("ca").alias("c"), "edge", F.col("cb").alias("to")).unionByName(
+            left.select(F.col("cb").alias("c"), "edge", F.col("ca").alias("to")))
+        picks = saved(sides.groupBy("c").agg(F.min("edge").alias("edge"), F.min_by("to", "edge").alias("to")))
+        chosen.append(picks.select("edge").distinct())
         # Each component points at the one it joins; of a pair that points at each other the smaller is the root.
         back = picks.select(F.col("c").alias("to"), F.col("to").alias("back"))
         root = saved(
@@ -489,19 +503,17 @@ def _minimum_spanning_forest(edges: DataFrame) -> DataFrame:
                 "c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c"))
                 .otherwise(F.col("to")).alias("root"))
         )
-        while True:
+        moving = True
+        while moving:
             up = root.select(F.col("c").alias("root"), F.col("root").alias("top"))
-            moved = root.join(up, "root")
-            if moved.filter("top <> root").isEmpty():
-                break
-            root = saved(moved.select("c", F.col("top").alias("root")))
+            far = saved(root.join(up, "root").select("c", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")))
+            moving = not far.filter("moved").isEmpty()
+            root = far.drop("moved")
         ra = root.select(F.col("c").alias("ca"), F.col("root").alias("na"))
         rb = root.select(F.col("c").alias("cb"), F.col("root").alias("nb"))
-        left = saved(
-            left.join(ra, "ca").join(rb, "cb").filter("na <> nb")
-            .select("a", "b", "weight", F.col("na").alias("ca"), F.col("nb").alias("cb"))
-        )
-    return chosen.all().distinct() if chosen.schema else pairs
+        joined = left.join(ra, "ca").join(rb, "cb").filter("na <> nb")
+        left = saved(joined.groupBy(F.least("na", "nb").alias("ca"), F.greatest("na", "nb").alias("cb")).agg(F.min("edge").alias("edge")))
+    return chosen.all().join(ordered, "edge").select("a", "b", "weight") if chosen.schema else pairs
 
 
 bfs_levels = over_boxed_keys(_bfs_levels)

@@ -1,6 +1,9 @@
 """What graph operators and ranks send through Spark's shuffles and sorts."""
 
+import random
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from loomseries.operators import graph as gr
 from loomseries.operators import ordered_tree
@@ -53,3 +56,40 @@ def test_ranges_join_by_one_number(spark, tmp_path):
     out = tree.ranges(spark.createDataFrame(asks, "id long, a long, b long"), "id", "a", "b")
     assert "SortMergeJoin [level_block" in plan_of(out)
     assert {r.id: r.value[0] for r in out.collect()} == {i: sum(v for k, v in values.items() if a <= k <= b) for i, a, b in asks}
+
+
+def lightest_forest(rows):
+    """Kruskal over edges in the order of weight and ends, NULL first."""
+    kinds, up, out = {}, {}, []
+    for a, b, w in rows:
+        if a != b:
+            key = (min(a, b), max(a, b))
+            known = [x for x in (kinds.get(key), w) if x is not None]
+            kinds[key] = min(known, default=None)
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for (a, b), w in sorted(kinds.items(), key=lambda e: (e[1] is not None, e[1] or 0, e[0])):
+        if root(a) != root(b):
+            up[root(a)] = root(b)
+            out.append((a, b, w))
+    return sorted(out, key=str)
+
+
+def test_forest_moves_numbers(spark, monkeypatch):
+    """Many ties, copies and NULL weights: the same forest by hashes and by counted numbers, without a sort aggregate."""
+    rng = random.Random(5)
+    rows = [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}", rng.choice([None, 1.0, 2.0, 3.0])) for _ in range(150)]
+    rows += [("x", "y", 2.0), ("y", "x", 1.0), ("z", "z", 1.0)]
+    edges = spark.createDataFrame(rows, "a string, b string, weight double")
+    plans, real = [], gr.saved
+    monkeypatch.setattr(gr, "saved", lambda df: (plans.append(plan_of(df)), real(df))[1])
+    want = lightest_forest(rows)
+    assert sorted(map(tuple, gr.minimum_spanning_forest(edges).collect()), key=str) == want
+    assert plans and not any("SortAggregate" in p for p in plans)
+    monkeypatch.setattr(gr, "_short", lambda node: F.pmod(F.xxhash64(node), F.lit(3)))
+    assert sorted(map(tuple, gr.minimum_spanning_forest(edges).collect()), key=str) == want
+    assert gr.minimum_spanning_forest(edges.filter("a = b")).count() == 0
