@@ -13,6 +13,7 @@ from collections.abc import Callable, Sequence
 from operator import or_
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 from ..session import GrowingTable, saved
 
 G = "graph"
-SMALL_CORE = 100_000  # edges of a graph's core that are split into components in one task
+SMALL_CORE = 100_000  # edges of a graph that are searched in one task, or, of a larger graph's core, split into components there
 
 # -- keys ---------------------------------------------------------------
 KEYS, BOX = (G, "src", "dst", "node", "a", "b"), "_boxed"
@@ -208,13 +209,51 @@ def _topological_layers(nodes: DataFrame, depends: DataFrame) -> DataFrame:
 def _back_edges(edges: DataFrame, entries: DataFrame, tangled: bool = True) -> DataFrame:
     """Edges into a node that every way from the entry to their source passes: the loops.
 
-    For each candidate target the graph is searched from the entry without it;
-    sources not found are dominated by it. Graphs of structured code have the
-    same loops in every depth-first order, and these are those. What cycles are
-    left without them can be entered at several nodes; there, if ``tangled``, the
-    loops are those of a depth-first search that takes up the last neighbour first.
+    Graphs of structured code have the same loops in every depth-first order,
+    and these are those. What cycles are left without them can be entered at
+    several nodes; there, if ``tangled``, the loops are those of a depth-first
+    search that takes up the last neighbour first.
+
+    Graphs of up to ``SMALL_CORE`` edges are spread over the tasks, each searched
+    by itself in one; only larger ones take a round of joins for each step of depth.
     """
     steps = saved(edges.select(G, "src", "dst").distinct())
+    large = saved(steps.groupBy(G).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > SMALL_CORE).select(G))
+    if large.isEmpty():
+        return _loops_by_graph(steps, entries, tangled)
+    small = _loops_by_graph(_met(steps, large, [G], "left_anti"), entries, tangled)
+    return small.unionByName(_loops_by_rounds(saved(_met(steps, large, [G], "left_semi")), _met(entries, large, [G], "left_semi"), tangled))
+
+
+def _loops_by_graph(steps: DataFrame, entries: DataFrame, tangled: bool) -> DataFrame:
+    """The loops of small graphs, one graph at a time in a task."""
+    # Only entries with an edge out of them matter, so there are no more of them than edges.
+    node = steps.schema["src"].dataType
+    starts = steps.select(G, "src").distinct().join(entries.select(G, F.col("node").alias("src")), [G, "src"], "left_semi")
+    starts = starts.select(G, F.lit(None).cast(node).alias("src"), F.col("src").alias("dst"), F.lit(True).alias("root"))
+    every = _opened(steps.withColumn("root", F.lit(False)).unionByName(starts))
+
+    def search(rows: pa.Table) -> pa.Table:
+        pairs, roots = [], set()
+        for a, b, root in zip(*(rows.column(n).to_pylist() for n in ("src", "dst", "root"))):
+            if root:
+                roots.add(b)
+            else:
+                pairs.append((a, b))
+        found = _loops_of(sorted(pairs, key=lambda p: [_place(x) for x in p]), roots, tangled)
+        values = {G: rows.column(G).to_pylist()[:1] * len(found), "src": [a for a, _ in found], "dst": [b for _, b in found]}
+        return pa.table({n: pa.array(v, rows.schema.field(n).type) for n, v in values.items()})
+
+    opened = saved(every.groupBy(G).applyInArrow(search, every.select(G, "src", "dst").schema))
+    return _boxed(opened) if _is_box(node) else opened
+
+
+def _loops_by_rounds(steps: DataFrame, entries: DataFrame, tangled: bool) -> DataFrame:
+    """The same by joins over all graphs at once.
+
+    For each candidate target the graph is searched from the entry without it;
+    sources not found are dominated by it.
+    """
     levels = saved(_bfs_levels(steps, entries))
     here = levels.select(G, F.col("node").alias("src"), F.col("level").alias("src_level"))
     there = levels.select(G, F.col("node").alias("dst"), F.col("level").alias("dst_level"))
@@ -222,7 +261,7 @@ def _back_edges(edges: DataFrame, entries: DataFrame, tangled: bool = True) -> D
         steps.join(here, [G, "src"]).join(there, [G, "dst"]).filter("dst_level <= src_level").select(G, "src", "dst")
     )
     heads = candidates.select(G, F.col("dst").alias("head")).distinct()
-    table = GrowingTable(edges.sparkSession)
+    table = GrowingTable(steps.sparkSession)
     frontier = table.append(heads.join(entries.select(G, "node").distinct(), G).filter("node <> head"))
     while not frontier.isEmpty():
         nxt = (
@@ -292,15 +331,85 @@ def _place(node) -> tuple:
     return (False,) if node is None else (True, node)
 
 
+def _loops_of(pairs: list[tuple], entries: set, tangled: bool) -> list[tuple]:
+    """Loops of one graph, given by its edges (sorted) and entries."""
+    ahead: dict = {}
+    for a, b in pairs:
+        ahead.setdefault(a, []).append(b)
+    tree = _dominators(ahead, entries)
+    known = [(a, b) for a, b in pairs if a in tree]
+    loops = [(a, b) for a, b in known if tree[b][0] <= tree[a][0] < tree[b][1]]
+    if not tangled:
+        return loops
+    own = set(loops)
+    rest = [p for p in known if p not in own]
+    return loops + _searched(rest, entries.intersection(n for p in rest for n in p))
+
+
+def _dominators(ahead: dict, entries: set) -> dict:
+    """(place, end) of each reached node in the tree of dominators: a node dominates those placed from its place to before its end.
+
+    By Lengauer and Tarjan. Nodes are numbered depth first; 0 stands above the entries.
+    """
+    number, parent, before, stack = {}, [0], [[]], [(0, iter(entries))]
+    while stack:
+        at, rest = stack[-1]
+        for n in rest:
+            if n not in number:
+                number[n] = len(parent)
+                parent.append(at)
+                before.append([at])
+                stack.append((number[n], iter(ahead.get(n, ()))))
+                break
+            before[number[n]].append(at)
+        else:
+            stack.pop()
+    count = len(parent)
+    semi, best, up, above = list(range(count)), list(range(count)), [-1] * count, [0] * count
+    waiting: list = [[] for _ in range(count)]
+
+    def lowest(v: int) -> int:
+        path, at = [], v
+        while up[at] >= 0 and up[up[at]] >= 0:
+            path.append(at)
+            at = up[at]
+        for x in reversed(path):
+            if semi[best[up[x]]] < semi[best[x]]:
+                best[x] = best[up[x]]
+            up[x] = up[up[x]]
+        return best[v]
+
+    for w in range(count - 1, 0, -1):
+        semi[w] = min(semi[lowest(v)] for v in before[w])
+        waiting[semi[w]].append(w)
+        up[w] = parent[w]
+        for v in waiting[parent[w]]:
+            low = lowest(v)
+            above[v] = low if semi[low] < semi[v] else parent[w]
+        waiting[parent[w]] = []
+    size = [1] * count
+    for w in range(1, count):
+        if above[w] != semi[w]:
+            above[w] = above[above[w]]
+    for w in range(count - 1, 0, -1):
+        size[above[w]] += size[w]
+    place, free = [0] * count, [1] * count
+    for w in range(1, count):
+        place[w] = free[above[w]]
+        free[above[w]] += size[w]
+        free[w] = place[w] + 1
+    return {n: (place[i], place[i] + size[i]) for n, i in number.items()}
+
+
 def _searched(pairs: list[tuple], roots: set) -> list[tuple]:
     """Loops of the components among ``pairs`` (sorted): edges to a node on the path of a depth-first search, last neighbour first."""
-    part = _local_components(pairs)
+    part, roots = _local_components(pairs), set(roots)
     children: dict = {}
     for a, b in pairs:
         if part[a] == part[b]:
             children.setdefault(a, []).append(b)
         else:
-            roots = roots | {b}
+            roots.add(b)
     found, seen = [], set()
     by_part: dict = {}
     for n in sorted(roots, key=_place):

@@ -131,3 +131,40 @@ def test_large_and_small_cores_alike(spark, monkeypatch):
         monkeypatch.setattr(gr, "SMALL_CORE", small)
         out.append(pairs(gr.back_edges(edges, entry)))
     assert out[0] == out[1] and len(out[0]) > 8
+
+
+def dominated(rows, entries):
+    """Edges (graph, src, dst) that are reached, and not without their target."""
+    out = set()
+    for g, a, b in rows:
+        def reach(without):
+            seen, todo = set(), [n for h, n in entries if h == g and n != without]
+            while todo:
+                n = todo.pop()
+                if n not in seen:
+                    seen.add(n)
+                    todo += [y for h, x, y in rows if h == g and x == n and y != without]
+            return seen
+        if a in reach(-9) and (a == b or a not in reach(b)):
+            out.add((g, a, b))
+    return out
+
+
+def test_loops_of_deep_graphs_take_no_rounds(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = {("deep", i, i + 1) for i in range(40)} | {("deep", i, i + 2) for i in range(0, 40, 3)} | {("deep", i, i - 2) for i in range(2, 40, 5)}
+    rows |= {(f"g{g}", rng.randrange(7), rng.randrange(7)) for g in range(12) for _ in range(12)}
+    starts = [("deep", 0), ("none", 0)] + [(f"g{g}", n) for g in range(12) for n in (0, g % 3)]
+    edges = spark.createDataFrame(sorted(rows), "graph string, src long, dst long")
+    entries = spark.createDataFrame(starts, "graph string, node long")
+    rounds, real = [], gr.GrowingTable.append
+    monkeypatch.setattr(gr.GrowingTable, "append", lambda self, df: (rounds.append(1), real(self, df))[1])
+    got = [tuple(r) for r in gr.back_edges(edges, entries, tangled=False).collect()]
+    every = pairs(gr.back_edges(edges, entries))
+    assert not rounds
+    assert len(got) == len(set(got)) and set(got) == dominated(rows, starts) and len(got) > 8 and len(every) > len(got)
+    # Some graphs by rounds of joins, the others each in a task.
+    some = edges.filter("graph like 'g%'")
+    counts = {r["count"] for r in some.groupBy("graph").count().collect()}
+    monkeypatch.setattr(gr, "SMALL_CORE", min(counts))
+    assert len(counts) > 1 and pairs(gr.back_edges(some, entries)) == [r for r in every if r[0] != "deep"] and rounds
