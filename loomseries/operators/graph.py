@@ -9,7 +9,7 @@ A NULL graph, and a NULL node, is one like any other.
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from operator import or_
 
 import pandas as pd
@@ -215,7 +215,7 @@ def _back_edges(edges: DataFrame, entries: DataFrame, tangled: bool = True) -> D
     search that takes up the last neighbour first.
 
     Graphs of up to ``SMALL_CORE`` edges are spread over the tasks, each searched
-    by itself in one; only larger ones take a round of joins for each step of depth.
+    by itself; only larger ones take a round of joins for each step of depth.
     """
     steps = saved(edges.select(G, "src", "dst").distinct())
     large = saved(steps.groupBy(G).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > SMALL_CORE).select(G))
@@ -226,26 +226,52 @@ def _back_edges(edges: DataFrame, entries: DataFrame, tangled: bool = True) -> D
 
 
 def _loops_by_graph(steps: DataFrame, entries: DataFrame, tangled: bool) -> DataFrame:
-    """The loops of small graphs, one graph at a time in a task."""
+    """The loops of small graphs, one graph after the other in a task.
+
+    Rows come sorted by graph, so a task holds one graph and one batch of rows,
+    and a call of Python serves as many graphs as a batch has.
+    """
     # Only entries with an edge out of them matter, so there are no more of them than edges.
     node = steps.schema["src"].dataType
-    starts = steps.select(G, "src").distinct().join(entries.select(G, F.col("node").alias("src")), [G, "src"], "left_semi")
+    starts = _met(entries.select(G, F.col("node").alias("src")).distinct(), steps.select(G, "src"), [G, "src"], "left_semi")
     starts = starts.select(G, F.lit(None).cast(node).alias("src"), F.col("src").alias("dst"), F.lit(True).alias("root"))
     every = _opened(steps.withColumn("root", F.lit(False)).unionByName(starts))
 
-    def search(rows: pa.Table) -> pa.Table:
-        pairs, roots = [], set()
-        for a, b, root in zip(*(rows.column(n).to_pylist() for n in ("src", "dst", "root"))):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, kinds in _by_graph(batches, tangled):
+            yield pa.record_batch([pa.array(v, kinds.field(n).type) for n, v in found.items()], names=list(found))
+
+    opened = every.repartition(G).sortWithinPartitions(F.xxhash64(G), G).mapInArrow(search, every.select(G, "src", "dst").schema)
+    opened = saved(opened)
+    return _boxed(opened) if _is_box(node) else opened
+
+
+def _by_graph(batches: Iterable[pa.RecordBatch], tangled: bool) -> Iterator[tuple[dict, pa.Schema]]:
+    """Loops as columns, batch by batch, and the types of the columns; a graph may go on in the next batch."""
+    names, kinds = (G, "src", "dst"), None
+    graph, pairs, roots = None, [], set()
+    found: dict = {n: [] for n in names}
+
+    def finish() -> None:
+        loops = _loops_of(sorted(pairs, key=lambda p: [_place(x) for x in p]), roots, tangled)
+        for n, values in zip(names, ([graph] * len(loops), [a for a, _ in loops], [b for _, b in loops])):
+            found[n] += values
+
+    for batch in batches:
+        kinds = batch.schema
+        for g, a, b, root in zip(*(batch.column(n).to_pylist() for n in (*names, "root"))):
+            if g != graph and (g == g or graph == graph):
+                finish()
+                graph, pairs, roots = g, [], set()
             if root:
                 roots.add(b)
             else:
                 pairs.append((a, b))
-        found = _loops_of(sorted(pairs, key=lambda p: [_place(x) for x in p]), roots, tangled)
-        values = {G: rows.column(G).to_pylist()[:1] * len(found), "src": [a for a, _ in found], "dst": [b for _, b in found]}
-        return pa.table({n: pa.array(v, rows.schema.field(n).type) for n, v in values.items()})
-
-    opened = saved(every.groupBy(G).applyInArrow(search, every.select(G, "src", "dst").schema))
-    return _boxed(opened) if _is_box(node) else opened
+        yield found, kinds
+        found = {n: [] for n in names}
+    if kinds:
+        finish()
+        yield found, kinds
 
 
 def _loops_by_rounds(steps: DataFrame, entries: DataFrame, tangled: bool) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as gr
+from ..session import saved
 from ..sources import graphs as gs
 from .tables import rounded, table
 
@@ -95,15 +96,14 @@ TALK_SQL = """flow AS (SELECT t.conv_id, t.turn AS src, u.turn AS dst FROM conve
 
 
 def talk_edges(spark, d, loops: bool = False):
+    """The edges as a table: texts are read once, for their lengths, however often the edges are."""
     talk = table(spark, d, "conversations").select(F.col("conv_id").alias("graph"), "turn", F.length("text").alias("n"))
-    nxt = talk.select("graph", F.col("turn").alias("src"), (F.col("turn") + 1).alias("dst"))
-    skip = talk.filter("n > 900").select("graph", F.col("turn").alias("src"), (F.col("turn") + 2).alias("dst"))
-    edges = nxt.unionByName(skip)
+    ends = [F.col("turn") + 1, F.when(F.col("n") > 900, F.col("turn") + 2)]
     if loops:
-        back = talk.filter("turn >= 2 AND n < 300").select("graph", F.col("turn").alias("src"), (F.col("turn") - 2).alias("dst"))
-        edges = edges.unionByName(back)
+        ends.append(F.when((F.col("turn") >= 2) & (F.col("n") < 300), F.col("turn") - 2))
+    edges = talk.select("graph", F.col("turn").alias("src"), F.explode(F.array(*ends)).alias("dst")).filter("dst is not null")
     known = talk.select("graph", F.col("turn").alias("dst"))
-    return edges.join(known, ["graph", "dst"], "left_semi").select("graph", "src", "dst")
+    return saved(edges.join(known, ["graph", "dst"], "left_semi").select("graph", "src", "dst"))
 
 
 BACK_SQL = """WITH RECURSIVE """ + TALK_SQL + """, e AS (SELECT * FROM flow UNION SELECT conv_id, turn, turn - 2 FROM conversations

@@ -3,6 +3,7 @@
 import random
 
 from loomseries.operators import graph as gr
+from loomseries.queries import graph_queries
 from test_graph import edges_of, nodes_of, plain_loops
 
 NULL_EDGES = [(None, "A", "B"), (None, "B", "C"), (None, "C", "B"), ("g", "A", "B"), ("g", "B", None), (None, None, "A")]
@@ -168,3 +169,42 @@ def test_loops_of_deep_graphs_take_no_rounds(spark, monkeypatch):
     counts = {r["count"] for r in some.groupBy("graph").count().collect()}
     monkeypatch.setattr(gr, "SMALL_CORE", min(counts))
     assert len(counts) > 1 and pairs(gr.back_edges(some, entries)) == [r for r in every if r[0] != "deep"] and rounds
+
+
+def test_graphs_share_a_call_of_python(spark, monkeypatch):
+    """Graphs that go on over batches, a NULL one and one of NaN: a stream of sorted rows, not a call for each graph."""
+    rng = random.Random(14)
+    names = [None, float("nan"), *map(float, range(20))]
+    rows = [(g, rng.randrange(6), rng.randrange(6)) for g in names for _ in range(14)]
+    edges = spark.createDataFrame(rows, "graph double, src long, dst long")
+    entries = spark.createDataFrame([(g, n) for g in names for n in (0, 1, 99)], "graph double, node long")
+    plans, real = [], gr.saved
+    monkeypatch.setattr(gr, "saved", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df))[1])
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, out = spark.conf.get(size), []
+    try:
+        for rows_at_once in ("4", "10000"):
+            spark.conf.set(size, rows_at_once)
+            out.append(pairs(gr.back_edges(edges, entries)))
+    finally:
+        spark.conf.set(size, before)
+    assert any("MapInArrow" in p for p in plans) and not any("FlatMapGroups" in p for p in plans)
+    want = []
+    for name in names:
+        own = sorted({(a, b) for g, a, b in rows if str(g) == str(name)})
+        want += [(name, a, b) for a, b in gr._loops_of(own, {0, 1} & {a for a, _ in own}, True)]
+    assert str(out[0]) == str(out[1]) == str(sorted(want, key=str)) and len(want) > 40
+
+
+def test_edges_of_talks_read_texts_once(spark, tmp_path, monkeypatch):
+    rows = [(1, t, "x" * n) for t, n in enumerate((10, 950, 200, 400, 299, 901, 20))] + [(2, 0, None), (2, 1, ""), (2, 1, ""), (None, 0, "a"), (3, None, "b"), (3, 4, "c"), (3, 5, "d")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    plans, real = [], graph_queries.saved
+    monkeypatch.setattr(graph_queries, "saved", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df))[1])
+    got = pairs(graph_queries.talk_edges(spark, str(tmp_path), True))
+    there = {(g, t) for g, t, _ in rows}
+    want = [(g, t, to) for g, t, x in rows if t is not None for to, on in (
+        (t + 1, True), (t + 2, x is not None and len(x) > 900), (t - 2, t >= 2 and x is not None and len(x) < 300))
+        if on and g is not None and (g, to) in there]
+    assert got == sorted(want, key=str) and len(got) == 12
+    assert [p.count("text:string") for p in plans] == [1]
