@@ -31,11 +31,13 @@ def components(links: DataFrame) -> DataFrame:
     links. Links of an id to itself give that id its own component; NULLs and
     repeated links don't count, and an empty table gives an empty result.
     """
-    edges = saved(
-        links.where("a is not null and b is not null and a <> b")
+    # Written with the links of ids to themselves, so that ``links`` is computed once.
+    pairs = saved(
+        links.where("a is not null and b is not null")
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
+    edges = pairs.where("a <> b")
     before = _check(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -50,6 +52,6 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = after
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component"))
-    alone = links.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("component"))
+    alone = pairs.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("component"))
     found = edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots).unionByName(alone)
     return _few(found.groupBy("id").agg(F.min("component").alias("component")), max(1, before[0]))

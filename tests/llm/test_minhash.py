@@ -113,3 +113,70 @@ def test_components(spark, links):
             if b is not None:
                 root[a] = root[b] = min(root[a], root[b])
     assert found == root
+
+
+def test_components_compute_their_links_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    links = spark.createDataFrame([(i, i + 1) for i in range(0, 40, 2)] + [(99, 99)], "a long, b long")
+    found = components.components(links.mapInArrow(seen, "a long, b long")).collect()
+    assert len(found) == 41
+    assert read.value == 21
+
+
+def family(spark, docs, main=()):
+    """Of some docs (id, text), one family, as ``Join.in_families`` has them: the join, its members and their sets."""
+    join = minhash.Join(spark.createDataFrame(docs, "doc_id long, text string"), None)
+    members = spark.createDataFrame([(d, min(main) if d in main else d, 0, d not in main) for d, _ in docs], "id long, part long, family long, rest boolean")
+    return join, members, join.sets(members.select("id"))
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_a_common_line_makes_no_pairs_in_a_family(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "PIECE", 64)
+    rng = random.Random(8)
+    line = " ".join(f"common{i}" for i in range(24))
+    docs = [(i, line + " " + " ".join(str(rng.randrange(10**9)) for _ in range(12))) for i in range(300)]
+    near = [(1000 + i, docs[0][1].rsplit(" ", 1 + i % 2)[0] + f" other{i}") for i in range(9)]
+    alike = {(min(a, b), max(a, b)) for a in (0, *range(1000, 1009)) for b in (0, *range(1000, 1009)) if a != b}
+    for main in ((), (1000, 1001, 1002, 1003, 1004, 1005)):
+        join, members, sets = family(spark, docs + near, main)
+        found = [(r.a, r.b) for r in join.in_prefixes(members, sets).collect()]
+        wanted = {(a, b) for a, b in alike if not (a in main and b in main)}
+        assert len(found) == len(set(found))
+        assert wanted <= set(found)
+        assert len(found) <= 2 * len(alike)
+
+
+@pytest.mark.parametrize("block", [1024, 5])
+def test_no_link_of_a_family_is_missed(spark, monkeypatch, block):
+    """Sets around the threshold: the links that prefixes, signatures and whole sets leave are those of all pairs."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "PIECE", 100)
+    rng = random.Random(9)
+    base = [str(rng.randrange(10**6)) for _ in range(150)]
+    docs = []
+    for i in range(130):
+        w = base[: rng.choice([5, 8, 20, 60, 150])]
+        for _ in range(rng.choice([0, 1, 2, 4])):
+            w = [*w[: (k := rng.randrange(len(w)))], f"x{rng.randrange(40)}", *w[k + 1 :]] + [f"y{rng.randrange(40)}"] * rng.randint(0, 2)
+        docs.append((i, " ".join(w)))
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in docs}
+    main = set(range(0, 130, 3))
+    join, members, found = family(spark, docs, main)
+    signs = {r.id: r for df in [found.mapInArrow(minhash._signatures, "id long, n long, bits array<long>")] for r in df.collect()}
+    assert all(signs[d].n == len(x) for d, x in sets.items())
+    links = {(a, b) for a in sets for b in sets if a < b and not (a in main and b in main) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    pairs = {(r.a, r.b) for r in join.in_prefixes(members, found).collect()}
+    assert len(links) > 50
+    assert links <= pairs
+    rows = spark.createDataFrame([(a, b, signs[a].n, signs[b].n, list(signs[a].bits), list(signs[b].bits)) for a, b in pairs],
+                                 "a long, b long, n1 long, n2 long, s1 array<long>, s2 array<long>")
+    left = rows.where(minhash._may_be_linked(*(rows[c] for c in ("n1", "n2", "s1", "s2"))))
+    assert {(r.a, r.b) for r in join.confirmed(left.select("a", "b"), found).collect()} == links
